@@ -112,8 +112,8 @@ def pack(
     ``window_id, container_id, doc_id, token_start, token_end, loss_tokens``.
 
     An example stays whole unless it exceeds the capacity (or the limit of
-    loss-bearing tokens) itself; then it is cut into equal pieces, as few as
-    possible. Examples without tokens need no room: they come out with a null
+    loss-bearing tokens) itself; then it is cut into pieces as large as allowed
+    and a remainder. Examples without tokens need no room: they come out with a null
     container. A null or negative count means none. Containers less than ``full``
     after a round are emptied and their examples dealt anew, but for the last round.
     """
@@ -123,14 +123,13 @@ def pack(
     items = items.groupBy("doc_id").agg(F.max_by(F.struct("tokens", "loss"), F.struct("tokens", "loss")).alias("x")).select("doc_id", "x.*")
     # One row per example and kind of container: kinds are a small table, not a data axis.
     every = items.crossJoin(windows)
-    cuts = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity_tokens")), F.ceil(F.col("loss") / F.col("max_loss_tokens"))).cast("bigint")
-    parts = every.withColumn("cuts", cuts).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)))
-    edge = lambda total, k: F.floor(F.col(total) * k / F.col("cuts"))
-    parts = parts.select(
-        "window_id", "capacity_tokens", "max_segments", "max_loss_tokens", "doc_id",
-        edge("tokens", F.col("k")).alias("token_start"), edge("tokens", F.col("k") + 1).alias("token_end"),
-        (edge("loss", F.col("k") + 1) - edge("loss", F.col("k"))).alias("loss"),
-    )
+    # The tokens of a piece: the capacity, or as many as bear the loss allowed.
+    dense = F.col("loss") * F.col("capacity_tokens") > F.col("max_loss_tokens") * F.col("tokens")
+    step = F.when(dense, F.floor(F.col("max_loss_tokens") * F.col("tokens") / F.col("loss"))).otherwise(F.col("capacity_tokens")).cast("bigint")
+    cut = every.withColumn("step", step).withColumn("token_start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("tokens") - 1, F.lit(0)), F.col("step"))))
+    cut = cut.withColumn("token_end", F.least(F.col("token_start") + F.col("step"), F.col("tokens")))
+    borne = lambda at: F.floor(F.col("loss") * F.col(at) / F.greatest(F.col("tokens"), F.lit(1))).cast("bigint")
+    parts = cut.select("window_id", "capacity_tokens", "max_segments", "max_loss_tokens", "doc_id", "token_start", "token_end", (borne("token_end") - borne("token_start")).alias("loss"))
     parts = stage(parts)
     none = parts.filter("token_end = token_start").select("window_id", F.lit(None).cast("string").alias("container_id"), "doc_id", "token_start", "token_end", F.col("loss").alias("loss_tokens"))
     schema = parts.select("window_id", F.lit("").alias("container_id"), "doc_id", "token_start", "token_end", F.col("loss").alias("loss_tokens"), F.lit(0.0).alias("used"), "capacity_tokens", "max_segments", "max_loss_tokens").schema
