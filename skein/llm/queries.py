@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import canonical, leakage, neighbours, packing, rankwalk, sentences, splitting, topn
+from . import canonical, leakage, neighbours, oracles, packing, rankwalk, sentences, splitting, topn
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,3 +58,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
     return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_packed, p7_found, p8_found)}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for the queries that have it; sentences and packings are held against invariants in the tests."""
+    return dict(oracles.SQL)
