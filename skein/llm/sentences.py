@@ -15,6 +15,7 @@ bracket is a boundary.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections import Counter
 from functools import lru_cache
 
@@ -354,29 +355,34 @@ def train(texts: DataFrame, text_col: str = "content", vocabulary_size: int = 20
 
     top = counted(words, "string").orderBy(F.desc("n"), "key").limit(vocabulary_size).collect()
     vocabulary = {r.key: FIRST_WORD + i for i, r in enumerate(top)}
-    shared = spark.sparkContext.broadcast((vocabulary, None))
+    shared = SharedModel(spark, vocabulary)
     for k in range(passes + 1):
 
         def events(p: Paragraph, counter: Counter, shared=shared, first=k == 0) -> None:
-            model = _model(shared)
+            model = shared.get()
             model.expected(p, p.seeds if first else model.posteriors(p), counter, UNSURE if first else 1.0)
 
         grams = counted(events, "long").filter(F.col("n") > 0.01).orderBy(F.desc("n"), "key").limit(max_ngrams).toArrow()
-        shared = spark.sparkContext.broadcast((vocabulary, (grams.column(0).to_numpy(), grams.column(1).to_numpy())))
-    return _model(shared)
+        shared = SharedModel(spark, vocabulary, grams.column(0).to_numpy(), grams.column(1).to_numpy())
+    return shared.get()
 
 
-_MODELS: dict[int, Model] = {}
+_MODELS: dict[str, Model] = {}
 
 
-def _model(shared) -> Model:
-    """The model of a broadcast, made once in each worker."""
-    if shared.id not in _MODELS if hasattr(shared, "id") else id(shared) not in _MODELS:
-        vocabulary, grams = shared.value
-        counts = dict(zip(grams[0].tolist(), grams[1].tolist())) if grams else None
-        _MODELS.clear()
-        _MODELS[getattr(shared, "id", id(shared))] = Model(vocabulary, counts)
-    return _MODELS[getattr(shared, "id", id(shared))]
+class SharedModel:
+    """A model for the workers: broadcast, and built once in each of them."""
+
+    def __init__(self, spark, vocabulary: dict[str, int], keys=None, values=None):
+        self.name = uuid.uuid4().hex
+        self.held = spark.sparkContext.broadcast((vocabulary, keys, values))
+
+    def get(self) -> Model:
+        if self.name not in _MODELS:
+            vocabulary, keys, values = self.held.value
+            _MODELS.clear()
+            _MODELS[self.name] = Model(vocabulary, None if keys is None else dict(zip(keys.tolist(), values.tolist())))
+        return _MODELS[self.name]
 
 
 def split_sentences(df: DataFrame, id_col: str = "document_id", text_col: str = "content", model: Model | None = None, threshold: float = 0.5) -> DataFrame:
@@ -389,11 +395,11 @@ def split_sentences(df: DataFrame, id_col: str = "document_id", text_col: str =
     model = model or train(rows, text_col)
     keys = np.fromiter(model.counts, dtype=np.int64, count=len(model.counts))
     values = np.fromiter(model.counts.values(), dtype=np.float64, count=len(model.counts))
-    shared = df.sparkSession.sparkContext.broadcast((model.vocabulary, (keys, values)))
+    shared = SharedModel(df.sparkSession, model.vocabulary, keys, values)
     kind = df.schema[id_col].dataType.simpleString()
 
     def make():
-        own = _model(shared)
+        own = shared.get()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, starts, ends = [], [], []
