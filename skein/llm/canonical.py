@@ -8,12 +8,12 @@ results are spliced into the rest, which stays as it is.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,18 +77,20 @@ def _tables() -> tuple[dict[int, str], str]:
         if whole != ch or form != ch or unicodedata.combining(ch) or c in seconds or c in jamo:
             unstable.append(c)
     ranges, start = [], None
-    for a, b in zip(unstable, [*unstable[1:], sys.maxunicode + 9]):
+    within = [c for c in unstable if c <= 0xFFFF]
+    for a, b in zip(within, [*within[1:], sys.maxunicode]):
         start = a if start is None else start
         if b != a + 1:
-            ranges.append(f"\\U{start:08x}-\\U{a:08x}")
+            ranges.append(f"\\u{start:04x}-\\u{a:04x}")
             start = None
-    return fold, "".join(ranges)
+    # Characters beyond the basic plane are rare: all count as unstable, and the class stays one table.
+    return fold, "".join(ranges) + "\\U00010000-\\U0010ffff"
 
 
 _FOLD, _CLASS = _tables()
 _ALIKE = {ord(k): v for k, v in LOOK_ALIKES.items()}
-#: A run of unstable characters with the stable one before it, which it may combine with.
-UNSTABLE = regex.compile(f"[^{_CLASS}]?[{_CLASS}]+", regex.DOTALL | regex.V0)
+#: A run of unstable characters.
+UNSTABLE = re.compile(f"[{_CLASS}]+")
 
 
 @lru_cache(maxsize=100_000)
@@ -106,7 +108,18 @@ def canonical(text: str) -> str:
     go. Case, accents, superscripts, digits, and numbers of spaces are kept, and
     tabs and line breaks remain different from spaces.
     """
-    return UNSTABLE.sub(lambda m: _segment(m.group()) if len(m.group()) < 64 else _segment.__wrapped__(m.group()), text)
+    if text.isascii() and text.isprintable():
+        return text
+    out, at = [], 0
+    for m in UNSTABLE.finditer(text):
+        start, end = m.span()
+        start -= start > at  # the stable character before may combine with the run
+        out.append(text[at:start])
+        part = text[start:end]
+        out.append(_segment(part) if end - start < 64 else _segment.__wrapped__(part))
+        at = end
+    out.append(text[at:])
+    return "".join(out)
 
 
 def canonical_text(df: DataFrame, text_col: str = "text", out_col: str = "canonical") -> DataFrame:
