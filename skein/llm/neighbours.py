@@ -44,10 +44,14 @@ def fit_codes(sample: np.ndarray, bits: int, rounds: int = 40, seed: int = 7) ->
     return np.concatenate(parts, axis=1)
 
 
-def substring_bits(rows: int, target: int = 2048) -> tuple[int, int]:
-    """Bits of a substring, and bits to probe, for cells of about ``target`` rows."""
-    bits = int(np.clip(np.ceil(np.log2(max(rows, 1) / target)), 8, 16))
-    return bits, 0 if bits <= 8 else 1 if bits <= 12 else 2
+def index_plan(rows: int, target: int = 8192) -> tuple[int, int, int]:
+    """Bits of a substring, bits to probe, and number of substrings, for ``rows`` codes.
+
+    Cells shall hold about ``target`` rows. Short substrings are met exactly in many
+    indexes; longer ones, which more rows need, within a bit or two in fewer.
+    """
+    bits = int(np.clip(np.ceil(np.log2(max(rows, 1) / target)), 8, 24))
+    return (bits, 0, 16) if bits <= 10 else (bits, 1, 8) if bits <= 14 else (bits, 2, 6)
 
 
 def _read_vectors(column) -> np.ndarray:
@@ -129,7 +133,7 @@ def similar_pairs(
     k: int = 5,
     least: float = 0.80,
     width: int = 96,
-    code_bits: int = 128,
+    plan: tuple[int, int, int] | None = None,
     sample_rows: int = 20_000,
     cell_rows: int = 8192,
     hot_rows: int = 100_000,
@@ -141,7 +145,7 @@ def similar_pairs(
     similarity is the cosine rounded to 6 decimals, ties go to the smaller id, and
     neighbours below ``least`` don't count, so a row may have fewer than ``k`` or none.
 
-    The rotations are fitted on ``sample_rows`` vectors at most, picked by hash; every
+    ``plan`` sets the index (see ``index_plan``). The rotations are fitted on ``sample_rows`` vectors at most, picked by hash; every
     vector is indexed. Neighbours within the radius of the codes are found for
     certain; others if they share a cell. See the README for the measured recall.
     """
@@ -154,8 +158,7 @@ def similar_pairs(
         return empty
     picked = classes.filter(F.pmod(F.xxhash64("key"), F.lit(total)) < 2 * sample_rows).select("vector").limit(sample_rows).toArrow()
     sample = _unit(_read_vectors(picked.column(0)))
-    bits, probe = substring_bits(total)
-    tables = code_bits // bits
+    bits, probe, tables = plan or index_plan(total)
     rotation = spark.sparkContext.broadcast(fit_codes(sample, tables * bits))
     flips = [sum(1 << b for b in c) for n in range(probe + 1) for c in combinations(range(bits), n)]
 
@@ -178,7 +181,7 @@ def similar_pairs(
         visits = F.explode(F.array(*[F.lit(f) for f in flips]))
         rows = rows.withColumn("flip", visits).filter(F.col("cell").bitwiseAND(F.col("flip")) == 0).withColumn("cell", F.col("cell").bitwiseOR(F.col("flip"))).drop("flip")
     rows = stage(rows)
-    # At most tables * 2 ** bits cells, by construction a small table.
+    # Cells of several blocks: at most one for each cell_rows rows, so a small table.
     sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("blocks")).filter("blocks > 1")
     placed = rows.join(F.broadcast(stage(sizes, partitions=1)), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

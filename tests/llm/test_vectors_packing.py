@@ -16,8 +16,8 @@ def brute(vectors, k, least):
     return out
 
 
-@pytest.mark.parametrize("cell", [16, 8192])
-def test_neighbours_equal_brute_force(spark, cell):
+@pytest.mark.parametrize(("cell", "plan"), [(16, None), (8192, None), (8192, (12, 1, 6)), (32, (14, 2, 4))])
+def test_neighbours_equal_brute_force(spark, cell, plan):
     r = np.random.default_rng(1)
     centres = r.standard_normal((12, 16))
     vectors = {f"v{i:03d}": (centres[i % 12] + 0.25 * r.standard_normal(16)).tolist() for i in range(240)}
@@ -25,21 +25,25 @@ def test_neighbours_equal_brute_force(spark, cell):
         vectors[f"c{i}"] = (np.array(vectors["v001"]) * (1 + i % 3)).tolist()
     rows = list(vectors.items()) + [("v000", vectors["v000"]), ("z", [0.0] * 16), ("n", None), ("w", [1.0] * 8), ("x", [float("nan")] * 16), (None, [1.0] * 16), ("y", [])]
     df = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
-    got = neighbours.similar_pairs(df, width=16, code_bits=64, cell_rows=cell, hot_rows=3)
+    got = neighbours.similar_pairs(df, width=16, plan=plan, cell_rows=cell, hot_rows=3)
     pairs = {(x.id, x.other) for x in got.collect()}
     truth = brute(vectors, 5, 0.8)
     assert len(pairs & truth) >= 0.97 * len(truth) and len(pairs - truth) <= 0.03 * len(truth)
     copies = {f"c{i}" for i in range(9)}
     assert all(sum(a == c for a, _ in pairs) == 5 for c in copies)
-    both = neighbours.neighbour_pairs(df, width=16, code_bits=64).collect()
+    both = neighbours.neighbour_pairs(df, width=16).collect()
     assert all(x.chunk_id_a < x.chunk_id_b for x in both)
     assert neighbours.similar_pairs(df.limit(0), width=16).count() == 0
     assert neighbours.similar_pairs(df.filter("chunk_id = 'z'"), width=16).count() == 0
 
 
+def test_plans_follow_the_rows():
+    assert neighbours.index_plan(1000) == neighbours.index_plan(2_000_000) == (8, 0, 16)
+    assert neighbours.index_plan(8_000_000)[:2] == (10, 0) and neighbours.index_plan(30_000_000)[:2] == (12, 1)
+
+
 @pytest.mark.parametrize(("bits", "probe"), [(10, 1), (14, 2)])
 def test_probing_visits_all_cells_within_reach(bits, probe):
-    assert neighbours.substring_bits(2048 << bits) == (bits, probe)
     flips = [f for f in range(1 << bits) if bin(f).count("1") <= probe]
     r = np.random.default_rng(2)
     for _ in range(200):
