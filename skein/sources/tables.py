@@ -192,3 +192,11 @@ def read_prompt(folder: str, version: str | None = None) -> dict[str, str]:
             raise ValueError(f"{path}: {len(files)} files {pattern}, not one")
         out[role] = files[0].read_text()
     return out
+
+
+def read_judged(spark: SparkSession, folder: str) -> DataFrame:
+    """``label`` and four marks from JSON files ``{"label": ..., "means": {...}}``; marks left out are 0."""
+    marks = ("relevance", "accuracy", "completeness", "citation_quality")
+    raw = spark.read.schema("label STRING, means MAP<STRING,DOUBLE>").option("multiLine", "true").json(folder)
+    name = F.coalesce("label", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1))
+    return raw.select(name.alias("label"), *[F.coalesce(F.try_element_at("means", F.lit(m)), F.lit(0.0)).alias(m) for m in marks])

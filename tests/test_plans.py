@@ -108,3 +108,45 @@ def test_entry_needs_no_optional_package():
     entry = importlib.import_module("__spark_entry__")
     names, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(names) and len(names) > 60
+
+
+def test_pipeline_and_commands(spark, tmp_path, capsys):
+    from skein import cli
+    from skein.operators.answers import NO_CONTEXT, with_retries
+    from skein.plans import pipeline
+    from skein.schema import DOCUMENTS
+
+    texts = ["Cells were imaged under a microscope. Staining followed the protocol.", "Ripley K function measures clustering of points. It needs a window.", "Gradient boosting fits trees to residuals. Trees are shallow."]
+    docs = spark.createDataFrame([(f"d{i}", f"p{i}", f"p{i}.pdf", None, None, 1, [0], t, None, None, None) for i, t in enumerate(texts)], DOCUMENTS)
+    queries = spark.createDataFrame([("a", "Ripley clustering function"), ("b", " "), ("c", "zzz")], "query_id string, query string")
+    cell = config.Pipeline.build({"chunker": "sentence:2:1", "embedder": "hashing", "retriever": "bm25"})
+    index = pipeline.build_index(docs, cell, tables_embedder := pipeline.V.get_embedder("hashing"))
+    source = {r.chunk_id: r.source for r in index.chunks.collect()}
+    for spec in ("dense", "bm25", "hybrid", "hybrid:0.3:rrf"):
+        got = pipeline.retrieve(index, queries, spec, 2).filter("query_id = 'a' and rank = 1").first()
+        assert source[got.chunk_id] == "p1.pdf" and got.retriever_type == spec.split(":")[0]
+    out = pipeline.answer(index, queries, "bm25", 2, "overlap")
+    said = {r.query_id: r.answer for r in out["answers"].collect()}
+    assert "[1]" in said["a"] and said["c"] == NO_CONTEXT and out["citations"].count() >= 1
+    for wrong in ("nothing", "dense:1"):
+        with pytest.raises(ValueError):
+            pipeline.retrieve(index, queries, wrong, 2)
+    pipeline.release(index)
+    judge = lambda rows: rows.filter("source = 'p1.pdf'").select(F.lit("a").alias("query_id"), "chunk_id")
+    runs = pipeline.evaluate_cells(spark, config.expand_grid({"grid": {"chunker": ["sentence:2:1"], "embedder": ["hashing"], "retriever": ["bm25", "dense"]}}), docs, queries, judge, lambda n: tables_embedder, "e")
+    assert runs.count() == 2 and all(r.means["mrr"] == 1.0 and r.num_queries == 1 for r in runs.collect())
+    docs.write.parquet(str(tmp_path / "docs"))
+    cli.main(["search", "Ripley clustering", "-d", str(tmp_path / "docs"), "-r", "bm25", "-s", "sentence:2:1"])
+    assert "p1.pdf" in capsys.readouterr().out
+    cli.main(["chunk", "-d", str(tmp_path / "docs"), "-s", "sentence:2:1", "-o", str(tmp_path / "chunks")])
+    assert spark.read.parquet(str(tmp_path / "chunks")).count() == 3
+    assert pipeline.clean_documents(docs).filter("page_starts is null").count() == 0
+    calls = []
+
+    def flaky(prompt):
+        calls.append(prompt)
+        if len(calls) < 3:
+            raise TimeoutError
+        return "ok"
+
+    assert with_retries(flaky, wait=0.0)("p") == "ok" and len(calls) == 3
