@@ -98,25 +98,34 @@ class Paragraph:
     def _pairs(self) -> dict[int, int]:
         """For each closing quote or bracket that has an opening one, that one."""
         open_at: list[tuple[int, str]] = []
+        waiting: Counter = Counter()  # closing marks of what is open
         closes: dict[int, int] = {}
         names, starts, ends = self.names, self.starts, self.ends
+
+        def close(i: int, mark: str) -> None:
+            while True:
+                at, wanted = open_at.pop()
+                waiting[wanted] -= 1
+                if wanted == mark:
+                    closes[i] = at
+                    return
+
         for i, s in enumerate(names):
             if self.kinds[i] != "mark":
                 continue
-            k = next((k for k in range(len(open_at) - 1, -1, -1) if open_at[k][1] == s), None)
             if s in STRAIGHT or s == "’":
                 glued_left = i > 0 and ends[i - 1] == starts[i]
                 glued_right = i + 1 < len(names) and starts[i + 1] == ends[i]
-                if k is not None and (glued_left or not glued_right) and (s != "'" or not (glued_right and self.kinds[i + 1] == "word")):
-                    closes[i] = open_at[k][0]
-                    del open_at[k:]
+                if waiting[s] and (glued_left or not glued_right) and (s != "'" or not (glued_right and self.kinds[i + 1] == "word")):
+                    close(i, s)
                 elif s in STRAIGHT and glued_right and not (glued_left and self.kinds[i - 1] in ("word", "num")):
                     open_at.append((i, s))
-            elif k is not None:
-                closes[i] = open_at[k][0]
-                del open_at[k:]
+                    waiting[s] += 1
+            elif waiting[s]:
+                close(i, s)
             elif s in PAIRS:
                 open_at.append((i, PAIRS[s]))
+                waiting[PAIRS[s]] += 1
         return closes
 
     def _find_gaps(self, text: str) -> None:
@@ -163,12 +172,31 @@ class Paragraph:
         while final >= 0 and (final in closes or names[final] in STRAIGHT) and names[final] not in ENDERS:
             final -= 1
         self.ended = final >= 0 and (names[final] in ENDERS or kinds[final] == "thai")
-        # A mark and the quotes or brackets closed after it are one token, such as ?”
-        for i, j in reversed(clusters):
-            names[i : j + 1] = ["".join(names[i : j + 1])]
-            starts[i : j + 1], ends[i : j + 1], kinds[i : j + 1] = [starts[i]], [ends[j]], ["mark"]
-            self.gaps = [g - (j - i) if g >= j else g for g in self.gaps]
-            self.skip -= (j - i) if self.skip > j else 0
+        if clusters:
+            self._merge(clusters)
+
+    def _merge(self, clusters: list[tuple[int, int]]) -> None:
+        """Make a mark and the quotes or brackets closed after it one token, such as ?”."""
+        names, starts, ends, kinds = [], [], [], []
+        at, skip = 0, self.skip
+        for i, j in [*clusters, (len(self.names), len(self.names))]:
+            names += self.names[at:i]
+            starts += self.starts[at:i]
+            ends += self.ends[at:i]
+            kinds += self.kinds[at:i]
+            if i < len(self.names):
+                names.append("".join(self.names[i : j + 1]))
+                starts.append(self.starts[i])
+                ends.append(self.ends[j])
+                kinds.append("mark")
+                skip -= (j - i) * (self.skip > j)
+            at = j + 1
+        lost = np.zeros(len(self.names) + 1, dtype=np.int64)
+        for i, j in clusters:
+            lost[j] += j - i
+        lost = np.cumsum(lost)
+        self.gaps = [int(g - lost[g]) for g in self.gaps]
+        self.names, self.starts, self.ends, self.kinds, self.skip = names, starts, ends, kinds, skip
 
     def _seed(self, i: int, j: int, nxt: str, lower: bool, announced: bool) -> float:
         """A first guess of the probability of a boundary, from the surface alone."""

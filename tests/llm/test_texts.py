@@ -144,3 +144,10 @@ def test_blank_lines_and_pairs_bound_sentences():
     assert spans("1.2 Methods\r\n\r\nA title\nover lines\n \n(a) An item") == ["1.2 Methods", "A title\nover lines", "(a) An item"]
     p = sentences.Paragraph("(One thing. Two.) “A? B!” said.", 0, 31)
     assert [p.names[g] for g in p.gaps] == [".)", "!”"]
+
+
+@pytest.mark.parametrize(("text", "sentences_"), [("(a. b.) " * 20_000, 20_000), ("((" * 50_000, 1), ("„x? " * 20_000, 20_000), ("a" * 200_000, 1)])
+def test_very_long_texts(text, sentences_):
+    spans = sentences.sentence_spans(text, sentences.Model({}))
+    assert len(spans) == sentences_ and spans[-1][1] == len(text.rstrip())
+    assert canonical.canonical(text) == text and splitting.piece_spans(text)[-1][1] == len(text)
