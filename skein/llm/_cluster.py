@@ -54,6 +54,15 @@ def _remove_staged() -> None:
             return
 
 
+def parts_for(spark: SparkSession, rows: int, each: int) -> int:
+    """A number of partitions for work that is heavy on each row, ``each`` rows apiece.
+
+    Given as a number it stays: adaptive execution would merge partitions by their
+    bytes, which say little about the work.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int, count_col: str, max_hot: int = 100_000) -> DataFrame:
     """Keys of ``df`` held by more than ``hot_rows`` rows, with their exact counts.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import arrow_map, hot_keys, key_runs, stage
+from ._cluster import arrow_map, hot_keys, key_runs, parts_for, stage
 
 
 def fit_codes(sample: np.ndarray, bits: int, rounds: int = 40, seed: int = 7) -> np.ndarray:
@@ -202,7 +202,8 @@ def similar_pairs(
                 if len(r):
                     yield pa.record_batch([reps.take(pa.array(own[r])), reps.take(pa.array(others[c])), pa.array(s)], names=["rep", "near", "similarity"])
 
-    ordered = units.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y", "rep")
+    visits = total * tables * (1 + probe * bits // 2)
+    ordered = units.repartition(parts_for(spark, visits, 50_000), "cell", "x", "y").sortWithinPartitions("cell", "x", "y", "rep")
     near = ordered.mapInArrow(meet, f"rep {kind}, near {kind}, similarity double").groupBy("rep", "near").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("rep").orderBy(F.desc("similarity"), "near")
     near = stage(near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import arrow_map, key_runs, stage
+from ._cluster import arrow_map, key_runs, parts_for, stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -152,7 +152,7 @@ def pack(
     for r in range(rounds):
         counts = F.broadcast(rest.groupBy("window_id").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards")))
         sharded = rest.join(counts, "window_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "token_start", F.lit(r)), "shards").cast("int"))
-        ordered = sharded.repartition("window_id", "shard").sortWithinPartitions("window_id", "shard", "doc_id", "token_start")
+        ordered = sharded.repartition(parts_for(rest.sparkSession, rest.count(), 2 * shard_rows), "window_id", "shard").sortWithinPartitions("window_id", "shard", "doc_id", "token_start")
         packed = stage(ordered.mapInArrow(lambda b, label=f"r{r}": run(b, label), schema))
         final = packed if r == rounds - 1 else packed.filter(F.col("used") >= full)
         done.append(final.select("window_id", "container_id", "doc_id", "token_start", "token_end", "loss_tokens"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import hot_keys, key_runs, stage
+from ._cluster import hot_keys, key_runs, parts_for, stage
 from .topn import valid_scores
 
 #: A low damping keeps the walk near its first jumps: what counts is an item's place
@@ -72,7 +72,7 @@ def _small(rows: DataFrame, group: str, kind: str, item: str, score: str, dampin
             key = pa.array([table.column(group)[0].as_py()] * len(ids), table.schema.field(group).type)
             yield pa.record_batch([key, pa.array(ids.tolist(), table.schema.field(item).type), pa.array(pi)], names=[group, item, "weight"])
 
-    return rows.repartition(group).sortWithinPartitions(group).mapInArrow(run, schema)
+    return rows.repartition(parts_for(rows.sparkSession, rows.count(), 100_000), group).sortWithinPartitions(group).mapInArrow(run, schema)
 
 
 def _large(rows: DataFrame, group: str, kind: str, item: str, score: str, damping: float, width: int) -> DataFrame:
