@@ -25,7 +25,7 @@ from .topn import valid_scores
 DAMPING = 0.2
 
 
-def steps_needed(damping: float, tolerance: float = 1e-7) -> int:
+def steps_needed(damping: float, tolerance: float = 1e-5) -> int:
     """Steps after which no probability changes by more than ``tolerance``, relatively."""
     return max(1, math.ceil(math.log(tolerance) / math.log(damping)))
 
