@@ -174,15 +174,15 @@ def similar_pairs(
         return one
 
     coded = arrow_map(classes.select("rep", "vector"), make_codes, f"rep {kind}, vector binary, cells array<int>")
-    rows = coded.select("rep", "vector", F.explode("cells").alias("cell"))
     # A row lies in its own cell and visits those with some of its zero bits set: of
     # two cells that differ, both meet in each cell between them.
+    at = F.explode(F.col("cells"))
     if probe:
-        visits = F.explode(F.array(*[F.lit(f) for f in flips]))
-        rows = rows.withColumn("flip", visits).filter(F.col("cell").bitwiseAND(F.col("flip")) == 0).withColumn("cell", F.col("cell").bitwiseOR(F.col("flip"))).drop("flip")
-    rows = stage(rows)
+        visited = F.flatten(F.transform("cells", lambda c: F.transform(F.filter(F.lit(flips), lambda f: c.bitwiseAND(f) == 0), lambda f: c.bitwiseOR(f))))
+        at = F.explode(visited)
+    rows = coded.select("rep", "vector", at.alias("cell"))
     # Cells of several blocks: at most one for each cell_rows rows, so a small table.
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("blocks")).filter("blocks > 1")
+    sizes = coded.select(at.alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("blocks")).filter("blocks > 1")
     placed = rows.join(F.broadcast(stage(sizes, partitions=1)), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = placed.select("cell", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "rep", "vector")
