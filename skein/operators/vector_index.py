@@ -72,18 +72,20 @@ def index_integrity(vectors: DataFrame, chunks: DataFrame, key: str = "chunk_id"
     return both.agg(F.count("v").alias("vectors"), F.count("c").alias("chunks"), F.count_if(F.col("c").isNull()).alias("without_chunk"), F.count_if(F.col("v").isNull()).alias("without_vector"))
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding") -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding", unique: bool = False) -> DataFrame:
     """``query_id, rank, id_col, score``: for each query the ``k`` rows of highest cosine.
 
     Scores are rounded to 6 decimals; ties go to the smaller id. Zero vectors score 0;
     null vectors take no part; a wrong width raises. ``k`` below 1 gives no rows. An
-    id with several rows is met once. Queries go to the workers in blocks of bounded
+    id with several rows is met once; where ids are known to be ``unique``, the
+    shuffle that sees to it is saved. Queries go to the workers in blocks of bounded
     size; every partition of rows keeps its own best, so rows are never shuffled.
     """
     spark = vectors.sparkSession
     kinds = queries.schema[query_id].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
     schema = f"`{query_id}` {kinds[0]}, `{id_col}` {kinds[1]}, score double"
     rows = vectors.select(id_col, vector).filter(F.col(vector).isNotNull())
+    rows = rows if unique else rows.dropDuplicates([id_col])
     found = spark.createDataFrame([], schema)
     asked = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull()).dropDuplicates([query_id])
     width = asked.select(F.max(F.size(query_vector))).first()[0]
@@ -101,26 +103,35 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
 
         def search(batches, shared=shared):
             ids, q = shared.value
+            best, names = np.empty((len(q), 0)), np.empty((len(q), 0), dtype=object)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                keys = batch.column(0)
-                order = np.argsort(np.array(keys.to_pylist(), dtype=object), kind="stable")
-                s = np.round(_unit(_matrix(batch.column(1), width)[order]) @ q.T, 6)
-                m = min(k, len(s))
+                keys = np.array(batch.column(0).to_pylist(), dtype=object)
+                order = np.argsort(keys, kind="stable")
+                s = np.round(q @ _unit(_matrix(batch.column(1), width)[order]).T, 6)
+                m = min(k, s.shape[1])
                 # Rows are in order of id, so equal scores at the edge resolve by position.
-                tie = s - np.arange(len(s))[:, None] * (1e-7 / max(len(s), 1))
-                top = np.argpartition(-tie, m - 1, axis=0)[:m]
-                pick = top.T.ravel()
-                who = np.repeat(np.arange(len(q)), m)
-                yield pa.record_batch([ids.take(pa.array(who)), keys.take(pa.array(order[pick])), pa.array(s[pick, who])], names=[query_id, id_col, "score"])
+                top = np.argpartition(np.arange(s.shape[1]) * (1e-7 / s.shape[1]) - s, m - 1, axis=1)[:, :m]
+                best, names = _merge_best(best, names, np.take_along_axis(s, top, axis=1), keys[order][top], k)
+            if best.shape[1]:
+                who = np.repeat(np.arange(len(q)), best.shape[1])
+                yield pa.record_batch([ids.take(pa.array(who)), pa.array(names.ravel().tolist(), batch.schema.field(0).type), pa.array(best.ravel())], names=[query_id, id_col, "score"])
 
         found = found.unionByName(rows.mapInArrow(search, schema))
     best = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
-    ranked = found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select(query_id, "rank", id_col, "score")
 
 
+def _merge_best(scores: np.ndarray, names: np.ndarray, new_scores: np.ndarray, new_names: np.ndarray, k: int):
+    """The ``k`` best of each row of both, by score and then name."""
+    s, n = np.concatenate([scores, new_scores], axis=1), np.concatenate([names, new_names], axis=1)
+    _, place = np.unique(n.ravel(), return_inverse=True)
+    order = np.lexsort((place.reshape(n.shape), -s), axis=1)[:, :k]
+    return np.take_along_axis(s, order, axis=1), np.take_along_axis(n, order, axis=1)
+
+
 def _matrix(column, width: int) -> np.ndarray:
     values = column.to_pylist()
     if any(len(v) != width for v in values):

@@ -63,7 +63,7 @@ def retrieve(index: Index, queries: DataFrame, spec: str = "hybrid", k: int = 5)
 
     def dense(depth: int) -> DataFrame:
         q = asked.select("query_id", V.embed_column(F.col("query"), index.embedder).alias("embedding"))
-        return V.dense_topk(index.vectors, q, depth)
+        return V.dense_topk(index.vectors, q, depth, unique=True)
 
     def sparse(depth: int) -> DataFrame:
         return lexical.search(index.lexical, asked, depth)

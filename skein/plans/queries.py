@@ -331,7 +331,7 @@ def index_integrity(spark: SparkSession, d: str) -> DataFrame:
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "embeddings")
     q = rows.filter(every_twentieth(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "embedding")
-    return V.dense_topk(rows, q, 10, "vec_id")
+    return V.dense_topk(rows, q, 10, "vec_id", unique=True)
 
 
 @query(
@@ -342,7 +342,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 def chunk_dense_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d)
     q = rows.filter(every_twentieth(F.right("chunk_id", F.lit(4)).cast("int"))).select(F.col("chunk_id").alias("query_id"), "embedding")
-    return V.dense_topk(rows, q, 5)
+    return V.dense_topk(rows, q, 5, unique=True)
 
 
 @query()
