@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import arrow_map
+from ._cluster import arrow_map, stage
 
 # Marks that may end a sentence; those that do so without white space;
 # pairs of quotes and brackets.
@@ -346,6 +346,23 @@ def sentence_spans(text: str, model: Model, threshold: float = 0.5) -> list[tupl
     return spans
 
 
+def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The rows of ``counts`` above the least frequency that leaves ``limit`` rows at most.
+
+    A histogram of frequencies gives it, so nothing is sorted.
+    """
+    table = stage(counts)
+    bucket = F.floor(F.log2("n") * 16)
+    sizes = sorted(((r.b, r.c) for r in table.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
+    kept, least = 0, None
+    for b, c in sizes:  # some hundreds
+        kept += c
+        if kept > limit:
+            break
+        least = b
+    return table.limit(0) if least is None else table.filter(bucket >= least)
+
+
 def train(texts: DataFrame, text_col: str = "content", vocabulary_size: int = 20_000, max_ngrams: int = 400_000, passes: int = 3) -> Model:
     """A model of all texts of ``texts``.
 
@@ -376,13 +393,13 @@ def train(texts: DataFrame, text_col: str = "content", vocabulary_size: int = 20
             if counter:
                 yield out()
 
-        return rows.mapInArrow(run, f"key {kind}, n double").groupBy("key").agg(F.sum("n").alias("n"))
+        return rows.mapInArrow(run, f"key {kind}, n double").groupBy("key").agg(F.round(F.sum("n"), 6).alias("n"))
 
     def words(p: Paragraph, counter: Counter) -> None:
         counter.update(w for w, k in zip(p.names, p.kinds) if k != "num")
 
-    top = counted(words, "string").orderBy(F.desc("n"), "key").limit(vocabulary_size).collect()
-    vocabulary = {r.key: FIRST_WORD + i for i, r in enumerate(top)}
+    top = _most_frequent(counted(words, "string"), vocabulary_size).toArrow().column("key").to_pylist()
+    vocabulary = {w: FIRST_WORD + i for i, w in enumerate(sorted(top))}
     shared = SharedModel(spark, vocabulary)
     for k in range(passes + 1):
 
@@ -390,7 +407,7 @@ def train(texts: DataFrame, text_col: str = "content", vocabulary_size: int = 20
             model = shared.get()
             model.expected(p, p.seeds if first else model.posteriors(p), counter, UNSURE if first else 1.0)
 
-        grams = counted(events, "long").filter(F.col("n") > 0.01).orderBy(F.desc("n"), "key").limit(max_ngrams).toArrow()
+        grams = _most_frequent(counted(events, "long").filter(F.col("n") > 0.01), max_ngrams).toArrow()
         shared = SharedModel(spark, vocabulary, grams.column(0).to_numpy(), grams.column(1).to_numpy())
     return shared.get()
 
