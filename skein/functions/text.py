@@ -116,11 +116,8 @@ def snippet(text: Column, limit: int, mark: str) -> Column:
 
 def lexical_terms(text: Column, remove_stopwords: bool = True) -> Column:
     """Terms of lexical search, unstemmed: runs of ASCII letters and digits of two or more, without stopwords."""
-    terms = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), lambda w: F.length(w) >= 2)
-    if remove_stopwords:
-        stop = F.lit(STOPWORDS)
-        terms = F.filter(terms, lambda w: ~F.array_contains(stop, w))
-    return terms
+    terms = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), 0)
+    return F.filter(terms, lambda w: ~w.isin(STOPWORDS)) if remove_stopwords else terms
 
 
 def config_slug(spec: Column, embedder: Column | None = None) -> Column:

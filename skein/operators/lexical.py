@@ -11,8 +11,6 @@ from ..functions.stem import stem_terms
 from ..functions.text import lexical_terms
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Stands for the content of a chunk without terms; no query has it.
-EMPTY = "\x00empty"
 
 
 @dataclass(frozen=True)
@@ -27,12 +25,9 @@ class LexicalIndex:
     stem: bool
 
 
-def term_rows(rows: DataFrame, id_col: str, text: str, stem: bool = True, placeholder: bool = False) -> DataFrame:
-    """``id_col, term``, a row for every occurrence; rows without terms have the placeholder if asked for."""
-    terms = F.coalesce(lexical_terms(F.col(text)), F.array().cast("array<string>"))
-    if placeholder:
-        terms = F.when(F.size(terms) > 0, terms).otherwise(F.array(F.lit(EMPTY)))
-    flat = rows.select(id_col, F.explode(terms).alias("term"))
+def term_rows(rows: DataFrame, id_col: str, text: str, stem: bool = True) -> DataFrame:
+    """``id_col, term``, a row for every occurrence."""
+    flat = rows.select(id_col, F.explode(lexical_terms(F.col(text))).alias("term"))
     return stem_terms(flat) if stem else flat
 
 
@@ -40,15 +35,23 @@ def fit(rows: DataFrame, id_col: str = "chunk_id", text: str = "content", k1: fl
     """Index of the texts of ``rows``, whose ids are unique.
 
     Inverse document frequency is ``ln(n - df + 0.5) - ln(df + 0.5)``; where that is
-    negative, ``epsilon`` times its mean over all terms.
+    negative, ``epsilon`` times its mean over all terms. A text without terms counts
+    as one occurrence of a term that no query has. Everything comes from one table
+    of counts, in which a document's length and its first term travel along.
     """
-    counts = term_rows(rows, id_col, text, stem, placeholder=True).groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"))
-    lengths = counts.groupBy(id_col).agg(F.sum("tf").alias("dl"))
-    postings = counts.join(lengths, id_col)
-    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(F.broadcast(size)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))  # one row, as is size
+    terms = rows.select(id_col, F.coalesce(lexical_terms(F.col(text)), F.array().cast("array<string>")).alias("ts"))
+    flat = terms.select(id_col, "ts", F.size("ts").alias("dl")).select(id_col, "dl", F.posexplode_outer("ts").alias("pos", "term"))
+    if stem:
+        flat = stem_terms(flat.filter("term is not null")).unionByName(flat.filter("term is null"))
+    counts = flat.groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("heads"))
+    postings = counts.filter("term is not null").select("term", id_col, "tf", "dl")
+    empty = F.count_if(F.col("term").isNull())
+    size = counts.agg(F.sum("heads").alias("n"), empty.alias("empty"), (F.sum(F.when(F.col("term").isNotNull(), F.col("tf")).otherwise(1)) / F.sum("heads")).alias("avgdl"))
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weight = lambda d: F.log(F.col("n") - d + 0.5) - F.log(d + 0.5)
+    raw = df.join(F.broadcast(size)).withColumn("raw", weight(F.col("df")))  # size is one row, as is mean
+    blank = F.when(F.max("empty") > 0, F.max(weight(F.col("empty"))))
+    mean = raw.agg(((F.sum("raw") + F.coalesce(blank, F.lit(0.0))) / (F.count("raw") + F.when(blank.isNotNull(), 1).otherwise(0))).alias("mean"))
     idf = F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))
     weights = raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf"), "avgdl")
     return LexicalIndex(postings, weights, id_col, k1, b, stem)

@@ -279,10 +279,10 @@ def verify_offsets(spark: SparkSession, d: str) -> DataFrame:
 # --- vectors ---------------------------------------------------------------------------
 
 
-@query(f"WITH {_VECTORS}, n AS (SELECT chunk_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM vectors_) SELECT chunk_id, round(l, 4) AS length, round(CASE WHEN l > 0 THEN embedding[1]::DOUBLE / l ELSE 0 END, 4) AS first FROM n")
+@query(f"WITH {_VECTORS}, n AS (SELECT chunk_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM vectors_) SELECT chunk_id, round(l, 4) AS length, round(CASE WHEN l > 0 THEN embedding[1]::DOUBLE / l ELSE 0 END, 4) + 0 AS first FROM n")
 def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    return v.select("chunk_id", F.round(norm(F.col("embedding")), 4).alias("length"), F.round(F.element_at(unit(F.col("embedding")), 1), 4).alias("first"))
+    return v.select("chunk_id", F.round(norm(F.col("embedding")), 4).alias("length"), (F.round(F.element_at(unit(F.col("embedding")), 1), 4) + 0.0).alias("first"))
 
 
 _ADJACENT = (
@@ -377,7 +377,7 @@ _INDEX = (
 @query(f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf WHERE term <> '<empty>'")
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
     w = lexical.fit(windows(spark, d), stem=False).weights
-    return w.filter(F.col("term") != lexical.EMPTY).select("term", "df", F.round("idf", 6).alias("idf"))
+    return w.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(
