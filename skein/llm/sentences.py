@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import arrow_map, stage
+from ._cluster import arrow_map, parts_for, stage
 
 # Marks that may end a sentence; those that do so without white space;
 # pairs of quotes and brackets.
@@ -437,7 +437,10 @@ def split_sentences(df: DataFrame, id_col: str = "document_id", text_col: str =
     no rows; repeated rows count once; a null id is kept; other columns are ignored.
     """
     rows = df.select(id_col, text_col).filter(F.col(text_col).rlike(r"\S"))
-    model = model or train(rows, text_col)
+    if model is None:
+        # Every pass is heavy on each text, and the files may be few.
+        rows = stage(rows.repartition(parts_for(df.sparkSession, df.count(), 400)))
+        model = train(rows, text_col)
     keys = np.fromiter(model.counts, dtype=np.int64, count=len(model.counts))
     values = np.fromiter(model.counts.values(), dtype=np.float64, count=len(model.counts))
     shared = SharedModel(df.sparkSession, model.vocabulary, keys, values)
