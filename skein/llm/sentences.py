@@ -17,7 +17,9 @@ from __future__ import annotations
 import unicodedata
 import uuid
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -236,6 +238,23 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+class Places(NamedTuple):
+    """The places of a paragraph where a boundary is possible.
+
+    For each the two words before (``u, v``) and after (``x, y``), whether a single
+    word parts it from the place before (1) or behind (2), and the first guess; and
+    the words at the paragraph's edges, or nothing if it doesn't end like a sentence.
+    """
+
+    u: list[int]
+    v: list[int]
+    x: list[int]
+    y: list[int]
+    link: list[int]
+    seed: list[float]
+    edges: list[int]
+
+
 class Model:
     """Interpolated trigram probabilities over words, marks and boundaries."""
 
@@ -265,28 +284,37 @@ class Model:
             lam = self.spread  # a rare mark must not own the few words seen after it
         return (c.get(u << 2 * BITS | vw, 0.0) + lam * p) / (ctx.get(u << BITS | v, 0.0) + lam)
 
-    def posteriors(self, p: Paragraph) -> list[float]:
-        """For each possible place in ``p`` the probability of a boundary there.
+    def places(self, p: Paragraph) -> Places:
+        """The words around every place of ``p`` where a boundary is possible."""
+        w = [EDGE, EDGE, *self.ids(p)[p.skip :], EDGE, EDGE]
+        last = len(w) - 3
+        at = [g - p.skip + 2 for g in p.gaps]
+        link = [(k > 0 and at[k - 1] == i - 1) + 2 * (k + 1 < len(at) and at[k + 1] == i + 1) for k, i in enumerate(at)]
+        edges = [w[2], w[3], w[last - 1], w[last]] if p.ended and last > 1 else []
+        return Places([w[i - 1] for i in at], [w[i] for i in at], [w[i + 1] for i in at], [w[i + 2] for i in at], link, p.seeds, edges)
+
+    def posteriors(self, q: Places) -> list[float]:
+        """For each place the probability of a boundary there.
 
         The surface cue stays in as evidence, its odds to the power ``trust``.
-
         Forward-backward over the chain of places. The event before matters to
         the next one only where a single word lies between them.
         """
-        if not p.gaps:
+        n = len(q.v)
+        if not n:
             return []
-        w = [EDGE, EDGE, *self.ids(p), EDGE, EDGE]  # token i is w[i + 2]
-        prob, gaps, n = self.prob, p.gaps, len(p.gaps)
+        prob = self.prob
         steps = np.empty((n, 2, 2))  # [place, event before, event]
-        for k, g in enumerate(gaps):
-            v, x, y = w[g + 2], w[g + 3], w[g + 4]
-            near = k > 0 and gaps[k - 1] == g - 1
-            follow = k + 1 < n and gaps[k + 1] == g + 1  # an event stands before y
-            after = [prob(v, e, x) * (1.0 if follow else prob(e, x, y)) for e in (CUT, STAY)]
+        for k, (u, v, x, y, link, seed) in enumerate(zip(q.u, q.v, q.x, q.y, q.link, q.seed)):
+            follow = link & 2  # an event stands before y
+            cut = prob(v, CUT, x) * (1.0 if follow else prob(CUT, x, y)) * seed**self.trust
+            stay = prob(v, STAY, x) * (1.0 if follow else prob(STAY, x, y)) * (1.0 - seed) ** self.trust
             for a in (0, 1):
-                u = (CUT if a else STAY) if near else w[g + 1]
-                steps[k, a, 1] = prob(u, v, CUT) * after[0] * p.seeds[k] ** self.trust
-                steps[k, a, 0] = prob(u, v, STAY) * after[1] * (1.0 - p.seeds[k]) ** self.trust
+                if a == 0 or link & 1:
+                    before = (CUT if a else STAY) if link & 1 else u
+                    steps[k, a] = prob(before, v, STAY) * stay, prob(before, v, CUT) * cut
+                else:
+                    steps[k, 1] = steps[k, 0]
         forward = np.empty((n, 2))
         state = np.array([1.0, 0.0])
         for k in range(n):
@@ -301,35 +329,36 @@ class Model:
             back /= back.sum()
         return out
 
-    def expected(self, p: Paragraph, post: list[float], into: Counter, unsure: float = 1.0) -> None:
+    def expected(self, q: Places, post: list[float], into: Counter, unsure: float = 1.0) -> None:
         """Add the expected counts of the n-grams around hidden events to ``into``.
 
         Events of a probability between 0.2 and 0.8 enter with weight ``unsure``.
+        The edges of a paragraph that ends like a sentence are certain boundaries.
         """
-        w = self.ids(p)[p.skip :]
-        if not w:
-            return
-        w = [EDGE, EDGE, *w, EDGE, EDGE]
-        last = len(w) - 3
-        places = [(1, 1.0), *((g - p.skip + 2, q) for g, q in zip(p.gaps, post))] if p.ended else [(g - p.skip + 2, q) for g, q in zip(p.gaps, post)]
-        if p.ended:
-            places.append((last, 1.0))
-        for i, q in places:
-            u, v, x, y = w[i - 1], w[i], w[i + 1] if i < last else EDGE, w[i + 2] if i < last else EDGE
-            weight = unsure if 0.2 < q < 0.8 else 1.0
-            for e, c in ((CUT, q * weight), (STAY, (1.0 - q) * weight)):
-                if c < 1e-4:
-                    continue
-                if i > 1:
-                    into[e] += c
-                    into[v << BITS | e] += c
-                    into[u << 2 * BITS | v << BITS | e] += c
-                if i < last:
-                    into[x] += c
-                    into[e << BITS | x] += c
-                    into[v << 2 * BITS | e << BITS | x] += c
-                    into[x << BITS | y] += c
-                    into[e << 2 * BITS | x << BITS | y] += c
+        if q.edges:
+            x, y, u, v = q.edges
+            self._after(EDGE, CUT, x, y, 1.0, into)
+            self._before(u, v, CUT, 1.0, into)
+        for u, v, x, y, p in zip(q.u, q.v, q.x, q.y, post):
+            weight = unsure if 0.2 < p < 0.8 else 1.0
+            for e, c in ((CUT, p * weight), (STAY, (1.0 - p) * weight)):
+                if c >= 1e-4:
+                    self._before(u, v, e, c, into)
+                    self._after(v, e, x, y, c, into)
+
+    @staticmethod
+    def _before(u: int, v: int, e: int, c: float, into: Counter) -> None:
+        into[e] += c
+        into[v << BITS | e] += c
+        into[u << 2 * BITS | v << BITS | e] += c
+
+    @staticmethod
+    def _after(v: int, e: int, x: int, y: int, c: float, into: Counter) -> None:
+        into[x] += c
+        into[e << BITS | x] += c
+        into[v << 2 * BITS | e << BITS | x] += c
+        into[x << BITS | y] += c
+        into[e << 2 * BITS | x << BITS | y] += c
 
 
 def sentence_spans(text: str, model: Model, threshold: float = 0.5) -> list[tuple[int, int]]:
@@ -338,7 +367,7 @@ def sentence_spans(text: str, model: Model, threshold: float = 0.5) -> list[tupl
     for a, b in paragraphs(text):
         p = Paragraph(text, a, b)
         at = a
-        for g, q in zip(p.gaps, model.posteriors(p)):
+        for g, q in zip(p.gaps, model.posteriors(model.places(p))):
             if q > threshold:
                 spans.append((at, p.ends[g]))
                 at = p.starts[g + 1]
@@ -372,46 +401,64 @@ def train(texts: DataFrame, text_col: str = "content", vocabulary_size: int = 20
     """
     spark = texts.sparkSession
     rows = texts.select(text_col).filter(F.col(text_col).rlike(r"\S"))
-    held = 300_000
-
-    def counted(use, kind):
-        def run(batches):
-            counter: Counter = Counter()
-
-            def out():
-                keys = list(counter)
-                batch = pa.record_batch([pa.array(keys, pa.string() if kind == "string" else pa.int64()), pa.array([float(counter[k]) for k in keys], pa.float64())], names=["key", "n"])
-                counter.clear()
-                return batch
-
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    for a, b in paragraphs(text):
-                        use(Paragraph(text, a, b), counter)
-                    if len(counter) > held:
-                        yield out()
-            if counter:
-                yield out()
-
-        return rows.mapInArrow(run, f"key {kind}, n double").groupBy("key").agg(F.round(F.sum("n"), 6).alias("n"))
 
-    def words(p: Paragraph, counter: Counter) -> None:
-        counter.update(w for w, k in zip(p.names, p.kinds) if k != "num")
+    def words(batch: pa.RecordBatch, counter: Counter) -> None:
+        for text in batch.column(0).to_pylist():
+            for a, b in paragraphs(text):
+                p = Paragraph(text, a, b)
+                counter.update(w for w, k in zip(p.names, p.kinds) if k != "num")
 
-    top = _most_frequent(counted(words, "string"), vocabulary_size).toArrow().column("key").to_pylist()
+    top = _most_frequent(_counted(rows, words, "string"), vocabulary_size).toArrow().column("key").to_pylist()
     vocabulary = {w: FIRST_WORD + i for i, w in enumerate(sorted(top))}
     shared = SharedModel(spark, vocabulary)
+
+    def make(shared=shared):
+        model = shared.get()
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [model.places(Paragraph(text, a, b)) for text in batch.column(0).to_pylist() for a, b in paragraphs(text)]
+            found = [q for q in found if q.v or q.edges]
+            kinds = [pa.list_(pa.float64()) if n == "seed" else pa.list_(pa.int32()) for n in Places._fields]
+            return pa.record_batch([pa.array([getattr(q, n) for q in found], t) for n, t in zip(Places._fields, kinds)], names=list(Places._fields))
+
+        return one
+
+    # The passes need only the words around possible boundaries, a small part of the texts.
+    placed = stage(arrow_map(rows, make, ", ".join(f"{n} array<{'double' if n == 'seed' else 'int'}>" for n in Places._fields)))
     for k in range(passes + 1):
 
-        def events(p: Paragraph, counter: Counter, shared=shared, first=k == 0) -> None:
+        def events(batch: pa.RecordBatch, counter: Counter, shared=shared, first=k == 0) -> None:
             model = shared.get()
-            model.expected(p, p.seeds if first else model.posteriors(p), counter, UNSURE if first else 1.0)
+            for q in map(Places, *(c.to_pylist() for c in batch.columns)):
+                model.expected(q, q.seed if first else model.posteriors(q), counter, UNSURE if first else 1.0)
 
-        grams = _most_frequent(counted(events, "long").filter(F.col("n") > 0.01), max_ngrams).toArrow()
+        grams = _most_frequent(_counted(placed, events, "long").filter(F.col("n") > 0.01), max_ngrams).toArrow()
         shared = SharedModel(spark, vocabulary, grams.column(0).to_numpy(), grams.column(1).to_numpy())
     return shared.get()
 
 
+def _counted(rows: DataFrame, use: Callable[[pa.RecordBatch, Counter], None], kind: str, held: int = 300_000) -> DataFrame:
+    """``key, n``: what ``use`` counts in the batches of ``rows``, ``held`` keys in a worker at most."""
+
+    def run(batches):
+        counter: Counter = Counter()
+
+        def out():
+            keys = list(counter)
+            batch = pa.record_batch([pa.array(keys, pa.string() if kind == "string" else pa.int64()), pa.array([float(counter[k]) for k in keys], pa.float64())], names=["key", "n"])
+            counter.clear()
+            return batch
+
+        for batch in batches:
+            use(batch, counter)
+            if len(counter) > held:
+                yield out()
+        if counter:
+            yield out()
+
+    return rows.mapInArrow(run, f"key {kind}, n double").groupBy("key").agg(F.round(F.sum("n"), 6).alias("n"))
+
+
 _MODELS: dict[str, Model] = {}
 
 
