@@ -103,7 +103,9 @@ def _large(rows: DataFrame, group: str, kind: str, item: str, score: str, dampin
         later = Window.partitionBy("g", "k").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
         over = flow.groupBy("g", "k", "bucket").agg(F.sum("f").alias("all")).withColumn("beyond", F.coalesce(F.sum("all").over(later), F.lit(0.0))).drop("all")
         reach = flow.withColumn("near", F.coalesce(F.sum("f").over(after), F.lit(0.0))).join(over, ["g", "k", "bucket"]).select("g", "k", "h", (F.col("near") + F.col("beyond")).alias("reach"))
-        moved = flat.join(reach, ["g", "k", "h"]).withColumn("r", F.when(F.col("in"), F.col("reach")).otherwise(0.0))
+        # Items that a kind doesn't have stand in one block at its end, which may be most rows; nothing flows there.
+        moved = flat.filter(F.col("in")).join(reach, ["g", "k", "h"]).withColumnRenamed("reach", "r")
+        moved = moved.unionByName(flat.filter(~F.col("in")).withColumn("r", F.lit(0.0)))
         moved = moved.groupBy("g", "i").agg(F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.sum("r").alias("new"), F.array_sort(F.collect_list(F.struct("k", "h", "in"))).alias("places"))
         moved = moved.join(F.broadcast(tops), "g")  # one row a large group
         pi = F.lit(1.0 - damping) + F.lit(damping) * (F.col("new") + F.col("restart") / F.col("n")) / F.col("kinds")
