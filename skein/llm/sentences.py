@@ -300,33 +300,32 @@ class Model:
         Forward-backward over the chain of places. The event before matters to
         the next one only where a single word lies between them.
         """
-        n = len(q.v)
-        if not n:
-            return []
-        prob = self.prob
-        steps = np.empty((n, 2, 2))  # [place, event before, event]
-        for k, (u, v, x, y, link, seed) in enumerate(zip(q.u, q.v, q.x, q.y, q.link, q.seed)):
-            follow = link & 2  # an event stands before y
-            cut = prob(v, CUT, x) * (1.0 if follow else prob(CUT, x, y)) * seed**self.trust
-            stay = prob(v, STAY, x) * (1.0 if follow else prob(STAY, x, y)) * (1.0 - seed) ** self.trust
-            for a in (0, 1):
-                if a == 0 or link & 1:
-                    before = (CUT if a else STAY) if link & 1 else u
-                    steps[k, a] = prob(before, v, STAY) * stay, prob(before, v, CUT) * cut
-                else:
-                    steps[k, 1] = steps[k, 0]
-        forward = np.empty((n, 2))
-        state = np.array([1.0, 0.0])
-        for k in range(n):
-            state = state @ steps[k]
-            state /= state.sum()
-            forward[k] = state
-        back, out = np.ones(2), [0.0] * n
-        for k in range(n - 1, -1, -1):
-            both = forward[k] * back
-            out[k] = float(both[1] / both.sum())
-            back = steps[k] @ back
-            back /= back.sum()
+        prob, trust = self.prob, self.trust
+        steps = []  # for each place the weights of (event before, event): 00, 01, 10, 11
+        for u, v, x, y, link, seed in zip(q.u, q.v, q.x, q.y, q.link, q.seed):
+            cut, stay = prob(v, CUT, x) * seed**trust, prob(v, STAY, x) * (1.0 - seed) ** trust
+            if not link & 2:  # else an event stands before y
+                cut *= prob(CUT, x, y)
+                stay *= prob(STAY, x, y)
+            if link & 1:
+                steps.append((prob(STAY, v, STAY) * stay, prob(STAY, v, CUT) * cut, prob(CUT, v, STAY) * stay, prob(CUT, v, CUT) * cut))
+            else:
+                one = prob(u, v, STAY) * stay, prob(u, v, CUT) * cut
+                steps.append(one + one)
+        forward, no, yes = [], 1.0, 0.0
+        for w00, w01, w10, w11 in steps:
+            no, yes = no * w00 + yes * w10, no * w01 + yes * w11
+            total = no + yes
+            no, yes = no / total, yes / total
+            forward.append((no, yes))
+        out, no, yes = [0.0] * len(steps), 1.0, 1.0
+        for k in range(len(steps) - 1, -1, -1):
+            f0, f1 = forward[k]
+            out[k] = f1 * yes / (f0 * no + f1 * yes)
+            w00, w01, w10, w11 = steps[k]
+            no, yes = w00 * no + w01 * yes, w10 * no + w11 * yes
+            total = no + yes
+            no, yes = no / total, yes / total
         return out
 
     def expected(self, q: Places, post: list[float], into: Counter, unsure: float = 1.0) -> None:
