@@ -35,6 +35,7 @@ ENDERS = set(".?!…。！？।॥؟｡．")
 SOLID_ENDERS = set("。！？।॥؟｡")
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "《": "》", "〈": "〉", "【": "】", "“": "”", "‘": "’", "«": "»", "„": "“", "‚": "‘", "‹": "›"}
 STRAIGHT = {'"', "'"}
+DASHES = set("—–-")
 
 BLANK_LINE = regex.compile(r"(?:\r\n|[\n\r\x85 ])[^\S\n\r\x85  ]*(?:\r\n|[\n\r\x85 ])\s*|\s* \s*")
 TOKEN = regex.compile(
@@ -51,8 +52,8 @@ THAI_END = regex.compile(r"[\p{Thai}--\p{Nd}]", regex.V1)
 # Symbols of the model: the paragraph's edge, the two values of the hidden event, the
 # shapes of rare words, then words.
 EDGE, CUT, STAY = 0, 1, 2
-SHAPES = {"<num>": 3, "<Xx>": 4, "<X>": 5, "<xx>": 6, "<x>": 7, "<XX>": 8, "<other>": 9, "<mark>": 10}
-FIRST_WORD = 11
+SHAPES = {"<num>": 3, "<Xx>": 4, "<X>": 5, "<xx>": 6, "<x>": 7, "<XX>": 8, "<other>": 9, "<mark>": 10, "<end>": 11}
+FIRST_WORD = 12
 #: Weight of uncertain surface cues in the first counts, which certain ones shall lead.
 UNSURE = 0.1
 BITS = 21
@@ -159,6 +160,8 @@ class Paragraph:
             nxt = text[starts[j + 1]]
             spaced = starts[j + 1] > ends[j]
             lower = nxt.islower()
+            if nxt in DASHES and j + 2 < n:
+                lower = text[starts[j + 2]].islower()
             if s in ENDERS and not spaced and (s not in SOLID_ENDERS) and not (nxt.isalpha() and not lower) and names[j + 1] not in PAIRS and nxt not in "¿¡—":
                 continue
             if kinds[j + 1] == "mark" and names[j + 1] in ",;:、，；،؛)]}":
@@ -178,7 +181,7 @@ class Paragraph:
             self._merge(clusters)
 
     def _merge(self, clusters: list[tuple[int, int]]) -> None:
-        """Make a mark and the quotes or brackets closed after it one token, such as ?”."""
+        """Make a mark and the quotes or brackets closed after it one token, such as ?”; of marks alone, the last."""
         names, starts, ends, kinds = [], [], [], []
         at, skip = 0, self.skip
         for i, j in [*clusters, (len(self.names), len(self.names))]:
@@ -187,7 +190,8 @@ class Paragraph:
             ends += self.ends[at:i]
             kinds += self.kinds[at:i]
             if i < len(self.names):
-                names.append("".join(self.names[i : j + 1]))
+                marks = self.names[i : j + 1]
+                names.append(marks[-1] if ENDERS.issuperset(marks) else "".join(marks))
                 starts.append(self.starts[i])
                 ends.append(self.ends[j])
                 kinds.append("mark")
@@ -203,7 +207,7 @@ class Paragraph:
     def _seed(self, i: int, j: int, nxt: str, lower: bool, announced: bool) -> float:
         """A first guess of the probability of a boundary, from the surface alone."""
         s, before = self.names[i], self.names[i - 1] if i else ""
-        if lower or nxt in "—–-":
+        if lower:
             return 0.08
         if self.kinds[i] == "thai":
             return 0.95
@@ -258,9 +262,11 @@ class Places(NamedTuple):
 class Model:
     """Interpolated trigram probabilities over words, marks and boundaries."""
 
-    def __init__(self, vocabulary: dict[str, int], counts: dict[int, float] | None = None, prior: float = 2.0, spread: float = 25.0, trust: float = 0.5):
+    def __init__(self, vocabulary: dict[str, int], counts: dict[int, float] | None = None, prior: float = 2.0, spread: float = 100.0, trust: float = 0.5):
         self.vocabulary, self.counts, self.prior = vocabulary, counts or {}, prior
         self.spread, self.trust = spread, trust
+        # What follows a closing mark alone doesn't depend on which it is.
+        self.plain = {vocabulary[m]: SHAPES["<end>"] for m in ENDERS if m in vocabulary}
         self.context: dict[int, float] = {}
         total = 0.0
         for key, c in self.counts.items():
@@ -300,10 +306,11 @@ class Model:
         Forward-backward over the chain of places. The event before matters to
         the next one only where a single word lies between them.
         """
-        prob, trust = self.prob, self.trust
+        prob, trust, plain = self.prob, self.trust, self.plain
         steps = []  # for each place the weights of (event before, event): 00, 01, 10, 11
         for u, v, x, y, link, seed in zip(q.u, q.v, q.x, q.y, q.link, q.seed):
-            cut, stay = prob(v, CUT, x) * seed**trust, prob(v, STAY, x) * (1.0 - seed) ** trust
+            end = plain.get(v, v)
+            cut, stay = prob(end, CUT, x) * seed**trust, prob(end, STAY, x) * (1.0 - seed) ** trust
             if not link & 2:  # else an event stands before y
                 cut *= prob(CUT, x, y)
                 stay *= prob(STAY, x, y)
@@ -343,7 +350,7 @@ class Model:
             for e, c in ((CUT, p * weight), (STAY, (1.0 - p) * weight)):
                 if c >= 1e-4:
                     self._before(u, v, e, c, into)
-                    self._after(v, e, x, y, c, into)
+                    self._after(self.plain.get(v, v), e, x, y, c, into)
 
     @staticmethod
     def _before(u: int, v: int, e: int, c: float, into: Counter) -> None:
