@@ -104,6 +104,7 @@ def pack(
     shard_rows: int = 8192,
     rounds: int = 2,
     full: float = 0.97,
+    loss_cuts: bool = True,
 ) -> DataFrame:
     """Assign every example to a container of every kind.
 
@@ -111,9 +112,11 @@ def pack(
     ``window_id, capacity_tokens, max_segments, max_loss_tokens``. Returns
     ``window_id, container_id, doc_id, token_start, token_end, loss_tokens``.
 
-    An example stays whole unless it exceeds the capacity (or the limit of
-    loss-bearing tokens) itself; then it is cut into pieces as large as allowed
-    and a remainder. Examples without tokens need no room: they come out with a null
+    An example stays whole unless it exceeds the capacity (or, with ``loss_cuts``,
+    the limit of loss-bearing tokens) itself; then it is cut into pieces as large as
+    allowed and a remainder. Without ``loss_cuts`` a piece that bears more loss than
+    the limit takes all of it: it shares its container only with pieces that bear
+    none. Examples without tokens need no room: they come out with a null
     container. A null or negative count means none. Containers less than ``full``
     after a round are emptied and their examples dealt anew, but for the last round.
     """
@@ -124,7 +127,7 @@ def pack(
     # One row per example and kind of container: kinds are a small table, not a data axis.
     every = items.crossJoin(windows)
     # The tokens of a piece: the capacity, or as many as bear the loss allowed.
-    dense = F.col("loss") * F.col("capacity_tokens") > F.col("max_loss_tokens") * F.col("tokens")
+    dense = F.lit(loss_cuts) & (F.col("loss") * F.col("capacity_tokens") > F.col("max_loss_tokens") * F.col("tokens"))
     step = F.when(dense, F.floor(F.col("max_loss_tokens") * F.col("tokens") / F.col("loss"))).otherwise(F.col("capacity_tokens")).cast("bigint")
     cut = every.withColumn("step", step).withColumn("token_start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("tokens") - 1, F.lit(0)), F.col("step"))))
     cut = cut.withColumn("token_end", F.least(F.col("token_start") + F.col("step"), F.col("tokens")))
@@ -139,7 +142,7 @@ def pack(
             col = {c: table.column(c).to_numpy() for c in ("token_start", "token_end", "loss")}
             cap, seg, most = (table.column(c)[0].as_py() for c in ("capacity_tokens", "max_segments", "max_loss_tokens"))
             tokens = col["token_end"] - col["token_start"]
-            demand = np.stack([tokens, np.ones(len(tokens), tokens.dtype), col["loss"]], axis=1).astype(np.float64)
+            demand = np.stack([tokens, np.ones(len(tokens), tokens.dtype), np.minimum(col["loss"], most)], axis=1).astype(np.float64)
             at = fill(demand, np.array([cap, seg, most], dtype=np.float64))
             used = (np.bincount(at, weights=tokens) / cap)[at]
             name = f"{label}-{table.column('shard')[0].as_py()}-"
@@ -175,14 +178,15 @@ def pack_documents(
     """``pack`` for texts: all tokens of the kinds in ``loss_kinds`` bear loss, others none.
 
     A window takes ``capacity_tokens / tokens_per_segment`` segments (8 at least) and
-    ``loss_share`` of its capacity in loss-bearing tokens.
+    ``loss_share`` of its capacity in loss-bearing tokens. Only a text longer than the
+    window is cut.
     """
     sizes = stage(token_counts(documents, "doc_id", "text", tokenizer, keep=("kind",)))
     bears = F.coalesce(F.col("kind").isin(*loss_kinds), F.lit(False))
     examples = sizes.select("doc_id", "tokens", F.when(bears, F.col("tokens")).otherwise(0).alias("loss_tokens"))
     capacity = F.col("capacity_tokens")
     limits = windows.select("window_id", "capacity_tokens", F.greatest(F.lit(8), F.floor(capacity / tokens_per_segment)).cast("int").alias("max_segments"), F.greatest(F.lit(1), F.floor(capacity * loss_share)).cast("int").alias("max_loss_tokens"))
-    return pack(examples, limits, **options)
+    return pack(examples, limits, loss_cuts=False, **options)
 
 
 def expected_containers(tokens: int, capacity: int) -> int:

@@ -85,6 +85,21 @@ def test_pack_keeps_everything(spark):
     assert packing.pack(examples.limit(0), kinds).count() == 0
 
 
+def test_texts_within_the_window_stay_whole(spark):
+    texts = [(i, "answer", "word " * n) for i, n in enumerate((200, 231, 250, 600))] + [(100 + i, "abstract", "word " * (1 + i % 25)) for i in range(60)]
+    documents = spark.createDataFrame(texts, "doc_id bigint, kind string, text string")
+    sizes = {x.doc_id: x.tokens for x in packing.token_counts(documents, "doc_id", "text").collect()}
+    assert all(192 < sizes[i] <= 256 for i in range(3)) and sizes[3] > 512
+    windows = spark.createDataFrame([(1, 256), (2, 1024)], "window_id int, capacity_tokens int")
+    got = packing.pack_documents(documents, windows).toPandas()
+    for w, cap in ((1, 256), (2, 1024)):
+        g = got[got.window_id == w]
+        assert g.groupby("doc_id").size().to_dict() == {i: -(-n // cap) for i, n in sizes.items()}
+        assert (g.token_end - g.token_start).groupby(g.doc_id).sum().to_dict() == sizes
+        used = g.assign(n=g.token_end - g.token_start, bears=g.loss_tokens > 0).groupby("container_id").agg(n=("n", "sum"), l=("loss_tokens", "sum"), b=("bears", "sum"))
+        assert used.n.max() <= cap and ((used.l <= 0.75 * cap) | (used.b == 1)).all()
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>")], "doc_id bigint, text string").selectExpr("*", "7 as tokens")
     got = {x.doc_id: x.tokens for x in packing.token_counts(df, "doc_id", "text").collect()}
