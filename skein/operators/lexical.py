@@ -15,7 +15,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``postings(term, id, tf, dl)`` and ``weights(term, df, idf, avgdl)``."""
+    """``postings(term, id, tf, dl)`` and ``weights(term, df, idf, avgdl)``, both with ``group`` where there is one."""
 
     postings: DataFrame
     weights: DataFrame
@@ -23,6 +23,7 @@ class LexicalIndex:
     k1: float
     b: float
     stem: bool
+    group: str | None = None
 
 
 def term_rows(rows: DataFrame, id_col: str, text: str, stem: bool = True) -> DataFrame:
@@ -31,44 +32,48 @@ def term_rows(rows: DataFrame, id_col: str, text: str, stem: bool = True) -> Dat
     return stem_terms(flat) if stem else flat
 
 
-def fit(rows: DataFrame, id_col: str = "chunk_id", text: str = "content", k1: float = K1, b: float = B, stem: bool = True, epsilon: float = EPSILON) -> LexicalIndex:
+def fit(rows: DataFrame, id_col: str = "chunk_id", text: str = "content", k1: float = K1, b: float = B, stem: bool = True, epsilon: float = EPSILON, group: str | None = None) -> LexicalIndex:
     """Index of the texts of ``rows``, whose ids are unique.
 
     Inverse document frequency is ``ln(n - df + 0.5) - ln(df + 0.5)``; where that is
     negative, ``epsilon`` times its mean over all terms. A text without terms counts
     as one occurrence of a term that no query has. Everything comes from one table
-    of counts, in which a document's length and its first term travel along.
+    of counts, in which a document's length and its first term travel along. Each value
+    of the column ``group`` (few values, none null) has an index and statistics of its own.
     """
-    terms = rows.select(id_col, F.coalesce(lexical_terms(F.col(text)), F.array().cast("array<string>")).alias("ts"))
-    flat = terms.select(id_col, "ts", F.size("ts").alias("dl")).select(id_col, "dl", F.posexplode_outer("ts").alias("pos", "term"))
+    by = [group] if group else []
+    terms = rows.select(id_col, *by, F.coalesce(lexical_terms(F.col(text)), F.array().cast("array<string>")).alias("ts"))
+    flat = terms.select(id_col, *by, "ts", F.size("ts").alias("dl")).select(id_col, *by, "dl", F.posexplode_outer("ts").alias("pos", "term"))
     if stem:
         flat = stem_terms(flat.filter("term is not null")).unionByName(flat.filter("term is null"))
-    counts = flat.groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("heads"))
-    postings = counts.filter("term is not null").select("term", id_col, "tf", "dl")
+    counts = flat.groupBy(id_col, *by, "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("heads"))
+    postings = counts.filter("term is not null").select(*by, "term", id_col, "tf", "dl")
     empty = F.count_if(F.col("term").isNull())
-    size = counts.agg(F.sum("heads").alias("n"), empty.alias("empty"), (F.sum(F.when(F.col("term").isNotNull(), F.col("tf")).otherwise(1)) / F.sum("heads")).alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    size = counts.groupBy(*by).agg(F.sum("heads").alias("n"), empty.alias("empty"), (F.sum(F.when(F.col("term").isNotNull(), F.col("tf")).otherwise(1)) / F.sum("heads")).alias("avgdl"))
+    df = postings.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
     weight = lambda d: F.log(F.col("n") - d + 0.5) - F.log(d + 0.5)
-    raw = df.join(F.broadcast(size)).withColumn("raw", weight(F.col("df")))  # size is one row, as is mean
+    raw = df.join(F.broadcast(size), by or None).withColumn("raw", weight(F.col("df")))  # size is one row a group, as is mean
     blank = F.when(F.max("empty") > 0, F.max(weight(F.col("empty"))))
-    mean = raw.agg(((F.sum("raw") + F.coalesce(blank, F.lit(0.0))) / (F.count("raw") + F.when(blank.isNotNull(), 1).otherwise(0))).alias("mean"))
+    mean = raw.groupBy(*by).agg(((F.sum("raw") + F.coalesce(blank, F.lit(0.0))) / (F.count("raw") + F.when(blank.isNotNull(), 1).otherwise(0))).alias("mean"))
     idf = F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))
-    weights = raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf"), "avgdl")
-    return LexicalIndex(postings, weights, id_col, k1, b, stem)
+    weights = raw.join(F.broadcast(mean), by or None).select(*by, "term", "df", idf.alias("idf"), "avgdl")
+    return LexicalIndex(postings, weights, id_col, k1, b, stem, group)
 
 
 def search(index: LexicalIndex, queries: DataFrame, k: int = 5, query_id: str = "query_id", query: str = "query") -> DataFrame:
     """``query_id, rank, id, score``: the ``k`` best chunks of each query, then only scores above 0.
 
     A repeated word of a query counts as often. Scores are rounded to 6 decimals;
-    ties go to the smaller id. Null queries and ``k`` below 1 give no rows.
+    ties go to the smaller id. An index in groups gives the best of each group, with
+    the group before the rank. Null queries and ``k`` below 1 give no rows.
     """
+    by = [index.group] if index.group else []
     asked = term_rows(queries.filter(F.col(query).isNotNull()), query_id, query, index.stem)
     asked = asked.groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf")).join(index.weights, "term")
-    hits = index.postings.join(asked, "term")
+    hits = index.postings.join(asked, [*by, "term"])
     damp = index.k1 * (1.0 - index.b + index.b * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (index.k1 + 1.0) / (F.col("tf") + damp)
-    scores = hits.groupBy(query_id, index.id_col).agg(F.round(F.sum(part), 6).alias("score"))
-    best = Window.partitionBy(query_id).orderBy(F.desc("score"), index.id_col)
+    scores = hits.groupBy(query_id, *by, index.id_col).agg(F.round(F.sum(part), 6).alias("score"))
+    best = Window.partitionBy(query_id, *by).orderBy(F.desc("score"), index.id_col)
     ranked = scores.withColumn("rank", F.row_number().over(best)).filter((F.col("rank") <= k) & (F.col("score") > 0))
-    return ranked.select(query_id, "rank", index.id_col, "score")
+    return ranked.select(query_id, *by, "rank", index.id_col, "score")

@@ -50,7 +50,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of the first chunker, those that have vectors."""
+    """Chunks of the first chunker, to which the SQL of its queries keeps, too."""
     return chunks(spark, d).filter(F.col("chunk_id").contains(":fs:"))
 
 
@@ -348,7 +348,7 @@ def chunk_dense_topk(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def embed_hash(spark: SparkSession, d: str) -> DataFrame:
     v = V.embed_column(F.col("content"), V.get_embedder("hashing"))
-    return windows(spark, d).select("chunk_id", v.alias("v")).select("chunk_id", F.size("v").alias("width"), F.round(norm(F.col("v")), 4).alias("length"))
+    return chunks(spark, d).select("chunk_id", v.alias("v")).select("chunk_id", F.size("v").alias("width"), F.round(norm(F.col("v")), 4).alias("length"))
 
 
 # --- lexical search and fusion ---------------------------------------------------------
@@ -391,7 +391,9 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bm25_topk_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.search(lexical.fit(windows(spark, d), stem=True), asked(spark, d), 5)
+    """The best chunks of every chunker, each with an index of its own."""
+    rows = chunks(spark, d).withColumn("chunker", F.coalesce("chunker", F.lit("")))
+    return lexical.search(lexical.fit(rows, stem=True, group="chunker"), asked(spark, d), 5)
 
 
 @query(

@@ -25,6 +25,21 @@ def test_bm25(spark, stem):
     assert lexical.search(index, queries, 0).count() == 0
 
 
+def test_chunks_of_every_chunker_are_indexed(spark, tmp_path):
+    from skein.plans.queries import QUERIES
+
+    rows = [(f"d:{mark}:{i:04d}", t, kind) for mark, kind in (("fs", "fixed_size:128:25%"), ("sn", "sentence:5:1"), ("xx", None)) for i, t in enumerate(CORPUS)]
+    rows += [("d:sn:0009", "Clustering, clustering", "sentence:5:1")]
+    spark.createDataFrame(rows + rows[:2], "chunk_id string, content string, chunker string").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([("q00000020", "Ripley K function"), ("q00000021", "Vienna")], "query_id string, query string").write.parquet(str(tmp_path / "queries.parquet"))
+    assert {r.chunk_id for r in QUERIES["embed_hash"](spark, str(tmp_path)).collect()} == {r[0] for r in rows}
+    got = {(r.chunker, r.chunk_id): (r["rank"], r.score) for r in QUERIES["bm25_topk_stemmed"](spark, str(tmp_path)).collect()}
+    assert set(got) == {("fixed_size:128:25%", "d:fs:0002"), ("sentence:5:1", "d:sn:0002"), ("", "d:xx:0002")}
+    alone = lexical.fit(corpus(spark, CORPUS), stem=True)
+    one = lexical.search(alone, spark.createDataFrame([("q", "Ripley K function")], "query_id string, query string"), 5).first()
+    assert got["fixed_size:128:25%", "d:fs:0002"] == got["", "d:xx:0002"] == (1, one.score) != got["sentence:5:1", "d:sn:0002"]
+
+
 def test_dense(spark):
     rows = spark.createDataFrame([("first", [1.0, 0.0, 0.0]), ("second", [0.0, 5.0, 0.0]), ("third", [0.0, 0.0, 1.0]), ("zero", [0.0] * 3), ("null", None), ("first", [1.0, 0.0, 0.0])], "chunk_id string, embedding array<float>")
     q = spark.createDataFrame([("a", [0.0, 1.0, 0.0]), ("b", [0.9, 0.4, 0.1]), ("n", None)], "query_id string, embedding array<float>")
