@@ -89,3 +89,7 @@ def test_units_do_not_matter(spark):
     top = lambda d: {x.chunk_id for x in rankwalk.fused_top(d).collect()}
     assert top(df(lambda t, s: s)) == top(df(lambda t, s: s * abs(scale[t]) + 7)) and len(top(df(lambda t, s: s))) == 3
     assert rankwalk.fused_top(df(lambda t, s: s).filter("retriever_type <> 'dense'")).count() == 0
+
+
+def test_the_walk_goes_on_until_weights_are_settled():
+    assert rankwalk.DAMPING ** rankwalk.steps_needed(rankwalk.DAMPING) <= 1e-7
