@@ -105,10 +105,12 @@ def pack(
     rounds: int = 2,
     full: float = 0.97,
     loss_cuts: bool = True,
+    apart: tuple[str, ...] = (),
 ) -> DataFrame:
     """Assign every example to a container of every kind.
 
-    ``examples``: ``doc_id, tokens, loss_tokens`` (an id counts once). ``containers``:
+    ``examples``: ``doc_id, tokens, loss_tokens``. Rows equal in id, counts and the columns
+    ``apart`` count once; rows with a null id all count. ``containers``:
     ``window_id, capacity_tokens, max_segments, max_loss_tokens``. Returns
     ``window_id, container_id, doc_id, token_start, token_end, loss_tokens``.
 
@@ -122,8 +124,10 @@ def pack(
     """
     windows = F.broadcast(containers.select("window_id", "capacity_tokens", "max_segments", "max_loss_tokens").filter("capacity_tokens > 0 and max_segments > 0 and max_loss_tokens > 0").distinct())
     size = F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("bigint")
-    items = examples.select("doc_id", size.alias("tokens"), F.least(F.greatest(F.coalesce("loss_tokens", F.lit(0)), F.lit(0)).cast("bigint"), size).alias("loss"))
-    items = items.groupBy("doc_id").agg(F.max_by(F.struct("tokens", "loss"), F.struct("tokens", "loss")).alias("x")).select("doc_id", "x.*")
+    items = examples.select("doc_id", *apart, size.alias("tokens"), F.least(F.greatest(F.coalesce("loss_tokens", F.lit(0)), F.lit(0)).cast("bigint"), size).alias("loss"))
+    # The salt deals rows of one id to different shards.
+    named = items.filter("doc_id is not null").distinct().withColumn("salt", F.xxhash64("tokens", "loss", *apart))
+    items = named.unionByName(items.filter("doc_id is null").withColumn("salt", F.monotonically_increasing_id())).drop(*apart)
     # One row per example and kind of container: kinds are a small table, not a data axis.
     every = items.crossJoin(windows)
     # The tokens of a piece: the capacity, or as many as bear the loss allowed.
@@ -132,10 +136,10 @@ def pack(
     cut = every.withColumn("step", step).withColumn("token_start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("tokens") - 1, F.lit(0)), F.col("step"))))
     cut = cut.withColumn("token_end", F.least(F.col("token_start") + F.col("step"), F.col("tokens")))
     borne = lambda at: F.floor(F.col("loss") * F.col(at) / F.greatest(F.col("tokens"), F.lit(1))).cast("bigint")
-    parts = cut.select("window_id", "capacity_tokens", "max_segments", "max_loss_tokens", "doc_id", "token_start", "token_end", (borne("token_end") - borne("token_start")).alias("loss"))
+    parts = cut.select("window_id", "capacity_tokens", "max_segments", "max_loss_tokens", "doc_id", "salt", "token_start", "token_end", (borne("token_end") - borne("token_start")).alias("loss"))
     parts = stage(parts)
     none = parts.filter("token_end = token_start").select("window_id", F.lit(None).cast("string").alias("container_id"), "doc_id", "token_start", "token_end", F.col("loss").alias("loss_tokens"))
-    schema = parts.select("window_id", F.lit("").alias("container_id"), "doc_id", "token_start", "token_end", F.col("loss").alias("loss_tokens"), F.lit(0.0).alias("used"), "capacity_tokens", "max_segments", "max_loss_tokens").schema
+    schema = parts.select("window_id", F.lit("").alias("container_id"), "doc_id", "token_start", "token_end", F.col("loss").alias("loss_tokens"), F.lit(0.0).alias("used"), "capacity_tokens", "max_segments", "max_loss_tokens", "salt").schema
 
     def run(batches, label=""):
         for table in key_runs(batches, ["window_id", "shard"]):
@@ -147,15 +151,15 @@ def pack(
             used = (np.bincount(at, weights=tokens) / cap)[at]
             name = f"{label}-{table.column('shard')[0].as_py()}-"
             yield from pa.table(
-                [table.column("window_id"), pa.array([f"{name}{i}" for i in at]), table.column("doc_id"), table.column("token_start"), table.column("token_end"), table.column("loss"), pa.array(used), *(table.column(c) for c in ("capacity_tokens", "max_segments", "max_loss_tokens"))],
+                [table.column("window_id"), pa.array([f"{name}{i}" for i in at]), table.column("doc_id"), table.column("token_start"), table.column("token_end"), table.column("loss"), pa.array(used), *(table.column(c) for c in ("capacity_tokens", "max_segments", "max_loss_tokens", "salt"))],
                 names=schema.names,
             ).to_batches()
 
     done, rest = [none], parts.filter("token_end > token_start")
     for r in range(rounds):
         counts = F.broadcast(rest.groupBy("window_id").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards")))
-        sharded = rest.join(counts, "window_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "token_start", F.lit(r)), "shards").cast("int"))
-        ordered = sharded.repartition(parts_for(rest.sparkSession, rest.count(), 2 * shard_rows), "window_id", "shard").sortWithinPartitions("window_id", "shard", "doc_id", "token_start")
+        sharded = rest.join(counts, "window_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "salt", "token_start", F.lit(r)), "shards").cast("int"))
+        ordered = sharded.repartition(parts_for(rest.sparkSession, rest.count(), 2 * shard_rows), "window_id", "shard").sortWithinPartitions("window_id", "shard", "doc_id", "token_start", "salt")
         packed = stage(ordered.mapInArrow(lambda b, label=f"r{r}": run(b, label), schema))
         final = packed if r == rounds - 1 else packed.filter(F.col("used") >= full)
         done.append(final.select("window_id", "container_id", "doc_id", "token_start", "token_end", "loss_tokens"))
@@ -179,14 +183,14 @@ def pack_documents(
 
     A window takes ``capacity_tokens / tokens_per_segment`` segments (8 at least) and
     ``loss_share`` of its capacity in loss-bearing tokens. Only a text longer than the
-    window is cut.
+    window is cut. Different texts under one id, and all texts with a null id, count.
     """
-    sizes = stage(token_counts(documents, "doc_id", "text", tokenizer, keep=("kind",)))
+    sizes = stage(token_counts(documents.withColumn("digest", F.unhex(F.sha2("text", 256))), "doc_id", "text", tokenizer, keep=("kind", "digest")))
     bears = F.coalesce(F.col("kind").isin(*loss_kinds), F.lit(False))
-    examples = sizes.select("doc_id", "tokens", F.when(bears, F.col("tokens")).otherwise(0).alias("loss_tokens"))
+    examples = sizes.select("doc_id", "digest", "tokens", F.when(bears, F.col("tokens")).otherwise(0).alias("loss_tokens"))
     capacity = F.col("capacity_tokens")
     limits = windows.select("window_id", "capacity_tokens", F.greatest(F.lit(8), F.floor(capacity / tokens_per_segment)).cast("int").alias("max_segments"), F.greatest(F.lit(1), F.floor(capacity * loss_share)).cast("int").alias("max_loss_tokens"))
-    return pack(examples, limits, loss_cuts=False, **options)
+    return pack(examples, limits, loss_cuts=False, apart=("digest",), **options)
 
 
 def expected_containers(tokens: int, capacity: int) -> int:

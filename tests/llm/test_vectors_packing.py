@@ -100,6 +100,16 @@ def test_texts_within_the_window_stay_whole(spark):
         assert used.n.max() <= cap and ((used.l <= 0.75 * cap) | (used.b == 1)).all()
 
 
+def test_rows_without_an_id_and_texts_of_one_id_all_count(spark):
+    rows = [(None, "abstract", "word " * n) for n in [*range(1, 40), 7]] + [(1, "abstract", "one two"), (1, "abstract", "two one"), (1, "abstract", "one two"), (1, "answer", "one two three four"), (2, "abstract", None)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, kind string, text string")
+    sizes = sorted(x.tokens for x in packing.token_counts(documents.filter("doc_id is null"), "doc_id", "text").collect())
+    got = packing.pack_documents(documents, spark.createDataFrame([(1, 256)], "window_id int, capacity_tokens int"), shard_rows=10).toPandas()
+    assert sorted(got.token_end[got.doc_id.isna()]) == sizes
+    assert (got.doc_id == 1).sum() == 3 and (got.doc_id == 2).sum() == 1
+    assert (got.token_end - got.token_start).groupby(got.container_id).sum().max() <= 256
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>")], "doc_id bigint, text string").selectExpr("*", "7 as tokens")
     got = {x.doc_id: x.tokens for x in packing.token_counts(df, "doc_id", "text").collect()}
