@@ -382,23 +382,22 @@ def sentence_spans(text: str, model: Model, threshold: float = 0.5) -> list[tupl
 
 
 def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """The rows of ``counts`` above the least frequency that leaves ``limit`` rows at most.
+    """The ``limit`` most frequent rows of ``counts``, the smaller key first; all where there are no more.
 
-    A histogram of frequencies gives it, so nothing is sorted.
+    A histogram of frequencies finds them, so only the bucket that reaches the limit is sorted.
     """
     table = stage(counts)
     bucket = F.floor(F.log2("n") * 16)
     sizes = sorted(((r.b, r.c) for r in table.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
-    kept, least = 0, None
+    kept = 0
     for b, c in sizes:  # some hundreds
+        if kept + c > limit:
+            return table.filter(bucket > b).unionByName(table.filter(bucket == b).orderBy(F.desc("n"), "key").limit(limit - kept))
         kept += c
-        if kept > limit:
-            break
-        least = b
-    return table.limit(0) if least is None else table.filter(bucket >= least)
+    return table
 
 
-def train(texts: DataFrame, text_col: str = "content", vocabulary_size: int = 20_000, max_ngrams: int = 400_000, passes: int = 3) -> Model:
+def train(texts: DataFrame, text_col: str = "content", vocabulary_size: int = 200_000, max_ngrams: int = 2_000_000, passes: int = 3) -> Model:
     """A model of all texts of ``texts``.
 
     Every text is counted. The model keeps the ``vocabulary_size`` most frequent
@@ -438,7 +437,7 @@ def train(texts: DataFrame, text_col: str = "content", vocabulary_size: int = 20
             for q in map(Places, *(c.to_pylist() for c in batch.columns)):
                 model.expected(q, q.seed if first else model.posteriors(q), counter, UNSURE if first else 1.0)
 
-        grams = _most_frequent(_counted(placed, events, "long").filter(F.col("n") > 0.01), max_ngrams).toArrow()
+        grams = _most_frequent(_counted(placed, events, "long").filter(F.col("n") > 0), max_ngrams).toArrow()
         shared = SharedModel(spark, vocabulary, grams.column(0).to_numpy(), grams.column(1).to_numpy())
     return shared.get()
 

@@ -151,3 +151,9 @@ def test_very_long_texts(text, sentences_):
     spans = sentences.sentence_spans(text, sentences.Model({}))
     assert len(spans) == sentences_ and spans[-1][1] == len(text.rstrip())
     assert canonical.canonical(text) == text and splitting.piece_spans(text)[-1][1] == len(text)
+
+
+def test_a_bound_keeps_part_of_the_words_seen_equally_often(spark):
+    counts = spark.createDataFrame([(f"w{i}", 1.0) for i in range(9)] + [("often", 8.0)], "key string, n double")
+    kept = lambda limit: {r.key for r in sentences._most_frequent(counts, limit).collect()}
+    assert kept(4) == {"often", "w0", "w1", "w2"} and kept(1) == {"often"} and len(kept(10)) == 10
