@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -42,6 +44,13 @@ def test_plans_follow_the_rows():
     assert neighbours.index_plan(8_000_000)[:2] == (10, 0) and neighbours.index_plan(30_000_000)[:2] == (12, 1)
 
 
+def test_plans_keep_the_chance_to_share_a_cell():
+    agree = 1 - math.acos(0.8) / math.pi
+    for rows in (1000, 3_000_000, 8_000_000):
+        bits, probe, tables = neighbours.index_plan(rows)
+        assert probe == 0 and 1 - (1 - agree**bits) ** tables > 0.935
+
+
 @pytest.mark.parametrize(("bits", "probe"), [(10, 1), (14, 2)])
 def test_probing_visits_all_cells_within_reach(bits, probe):
     flips = [f for f in range(1 << bits) if bin(f).count("1") <= probe]
