@@ -2,56 +2,66 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
-_STAGED: list[tuple[SparkSession, str]] = []
+
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent (tests on one machine) a temporary folder is
-    made, once per session.
+    Where the setting is absent and everything runs on this machine (tests), a
+    temporary folder is made, once per session; on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
-    return _OWN_DIRS[app]
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _OWN_DIRS:
+        _OWN_DIRS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
+    return _OWN_DIRS[context.applicationId]
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def stage(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the written table.
 
     Cuts the lineage so that losing an executor costs only unfinished tasks, and
-    so that a table used twice is computed once. Removed when Python exits.
+    so that a table used twice is computed once. Removed by ``release``, or when the
+    driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
-    _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
-@atexit.register
-def _remove_staged() -> None:
-    for spark, path in _STAGED:
-        try:
-            jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended already
-            return
+def release(df: DataFrame) -> None:
+    """Delete a table made by ``stage`` that nothing reads any more."""
+    path = getattr(df, "_staged_at", None)
+    if path:
+        files, target = _file_system(df.sparkSession, path)
+        files.delete(target, True)
 
 
 def parts_for(spark: SparkSession, rows: int, each: int) -> int:
@@ -63,17 +73,18 @@ def parts_for(spark: SparkSession, rows: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int, count_col: str, max_hot: int = 100_000) -> DataFrame:
-    """Keys of ``df`` held by more than ``hot_rows`` rows, with their exact counts.
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int, count_col: str) -> DataFrame:
+    """Keys of ``df`` held by more than ``hot_rows`` rows, with their exact counts; ``rows / hot_rows`` at most."""
+    return stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col)).filter(F.col(count_col) > hot_rows))
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has ``most`` rows at the most.
 
-    There are at most ``rows / hot_rows`` of them. If that exceeds ``max_hot`` the
-    limit is doubled until it doesn't, so the table may always be broadcast.
+    A larger one stays as it is: Spark joins it by a shuffle, whose skewed partitions
+    adaptive execution splits. ``df`` must be cheap to read, such as a staged table.
     """
-    found = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col)).filter(F.col(count_col) > hot_rows), partitions=1)
-    limit = hot_rows
-    while found.filter(F.col(count_col) > limit).count() > max_hot:
-        limit *= 2
-    return found.filter(F.col(count_col) > limit)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], right_keys: list[str] | None = None):
@@ -85,33 +96,36 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], right_keys: li
     return cond
 
 
-def key_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+def key_runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
     """Tables of consecutive rows with equal ``keys``, from batches sorted by them.
 
-    Only the rows of one key are held at a time (beside the current batch).
+    Whole runs are put together until a table has ``least`` rows; one run and the
+    current batch are held at a time beside them.
     """
-    held: list[pa.Table] = []
-    held_key = None
+    held: list[pa.RecordBatch] = []
+    held_key, rows = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        columns = [table.column(k).to_pylist() for k in keys]
-        rows = list(zip(*columns))
-        start = 0
-        for i in range(1, len(rows) + 1):
-            if i < len(rows) and rows[i] == rows[start]:
-                continue
-            piece = table.slice(start, i - start)
-            if held and rows[start] == held_key:
-                held.append(piece)
-            else:
-                if held:
-                    yield pa.concat_tables(held)
-                held, held_key = [piece], rows[start]
-            start = i
-    if held:
-        yield pa.concat_tables(held)
+        codes = [batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy() for k in keys]
+        changed = np.zeros(batch.num_rows - 1, dtype=bool)
+        for c in codes:
+            changed |= c[1:] != c[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(changed) + 1])
+        key_at = lambda i: tuple(batch.column(k)[int(i)].as_py() for k in keys)  # noqa: E731, B023
+        if held and key_at(0) == held_key:
+            starts = starts[1:]
+        at = 0
+        for start in starts:  # a run begins at each; what is held ends there
+            if rows + start - at >= least:
+                held.append(batch.slice(at, int(start) - at))
+                yield pa.Table.from_batches([h for h in held if h.num_rows])
+                held, rows, at = [], 0, int(start)
+        held.append(batch.slice(at))
+        rows += batch.num_rows - at
+        held_key = key_at(batch.num_rows - 1)
+    if rows:
+        yield pa.Table.from_batches([h for h in held if h.num_rows])
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:

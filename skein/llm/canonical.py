@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import arrow_map, hot_keys, stage
+from ._cluster import arrow_map, hot_keys, small, stage
 
 # Letters of Cyrillic and Greek that look like a Latin letter.
 LOOK_ALIKES = dict(
@@ -168,7 +168,7 @@ def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     varied = kinds.groupBy("form").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("form")
     members = stage(digests.join(varied, "form", "left_semi").distinct())
 
-    hot = F.broadcast(hot_keys(members, ["form", "raw"], hot_rows, "n"))
+    hot = small(hot_keys(members, ["form", "raw"], hot_rows, "n"))
     salted = members.join(hot, ["form", "raw"], "left").withColumn("salts", F.ceil(F.coalesce("n", F.lit(1)) / hot_rows).cast("int"))
     salted = salted.withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).drop("n")
     stored = salted.select("form", "raw", "salts").distinct()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import arrow_map, hot_keys, key_runs, parts_for, stage
+from ._cluster import arrow_map, hot_keys, key_runs, parts_for, small, stage
 
 
 def fit_codes(sample: np.ndarray, bits: int, rounds: int = 40, seed: int = 7) -> np.ndarray:
@@ -184,7 +184,7 @@ def similar_pairs(
     rows = coded.select("rep", "vector", at.alias("cell"))
     # Cells of several blocks: at most one for each cell_rows rows, so a small table.
     sizes = coded.select(at.alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("blocks")).filter("blocks > 1")
-    placed = rows.join(F.broadcast(stage(sizes, partitions=1)), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = rows.join(small(stage(sizes)), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = placed.select("cell", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "rep", "vector")
 
@@ -220,7 +220,7 @@ def similar_pairs(
     top = Window.partitionBy("rep").orderBy(F.desc("similarity"), "id")
     lists = around.unionByName(siblings).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k + 1)
     lists = lists.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("r", "id", "similarity"))).alias("near"))  # k + 1 entries
-    hot = F.broadcast(hot_keys(members, ["key"], hot_rows, "n"))
+    hot = small(hot_keys(members, ["key"], hot_rows, "n"))
     salts = F.ceil(F.coalesce("n", F.lit(1)) / hot_rows).cast("int")
     lists = lists.join(reps.select("key", "rep"), "rep").join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("key", "salt", "near")
     salted = members.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).select("key", "salt", "id")

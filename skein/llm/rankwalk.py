@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import hot_keys, key_runs, parts_for, stage
+from ._cluster import hot_keys, key_runs, parts_for, small, stage
 from .topn import valid_scores
 
 #: A low damping keeps the walk near its first jumps: what counts is an item's place
@@ -91,7 +91,7 @@ def _large(rows: DataFrame, group: str, kind: str, item: str, score: str, dampin
     kinds = sizes.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("sizes"))  # one entry a kind
     have = ranked.groupBy("g", "i").agg(F.map_from_entries(F.collect_list("p")).alias("have"))
     total = have.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    info = F.broadcast(stage(kinds.join(total, "g"), partitions=1))  # one row a large group
+    info = small(stage(kinds.join(total, "g")))  # one row a large group
     state = have.join(info, "g").select("g", "i", "n", F.size("sizes").alias("kinds"), F.lit(1.0).alias("pi"), F.transform(F.map_entries("sizes"), lambda e: F.struct(e.key.alias("k"), F.coalesce(F.try_element_at("have", e.key), e.value).alias("h"), F.map_contains_key("have", e.key).alias("in"))).alias("places"))
     state = stage(state)
     for _ in range(steps_needed(damping)):
@@ -132,7 +132,7 @@ def rank_walk(
     rows = df.select(group_col, kind_col, item_col, F.col(score_col).cast("double").alias(score_col)).na.drop().filter(~F.isnan(score_col))
     rows = stage(rows.groupBy(group_col, kind_col, item_col).agg(F.max(score_col).alias(score_col)))
     hot = hot_keys(rows, [group_col], hot_rows, "n")
-    few = F.broadcast(hot.select(group_col))
+    few = small(hot.select(group_col))
     small = _small(rows.join(few, group_col, "left_anti"), group_col, kind_col, item_col, score_col, damping)
     if hot.isEmpty():
         return small

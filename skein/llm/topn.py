@@ -10,7 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import hot_keys, same_keys
+from ._cluster import same_keys, small, stage
+
+
+#: Rows of a group beyond which it is hot in any case.
+MOST_ROWS = 100_000
+
+
+def hot_limit(total: int, partitions: int, n: int) -> int:
+    """Rows beyond which a group is hot: a quarter of what a partition would hold if all were even.
+
+    Never more than ``MOST_ROWS``, and not so few that splitting saves nothing for ``n``.
+    """
+    return min(MOST_ROWS, max(50 * n, total // (4 * max(partitions, 1))))
 
 
 def top_n_per_group(
@@ -20,8 +32,8 @@ def top_n_per_group(
     tie_cols: list[str],
     n: int,
     rank_col: str = "rank",
-    hot_rows: int = 100_000,
-    counted: DataFrame | None = None,
+    hot_rows: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """The ``n`` rows of highest ``score_col`` in each group, with their rank from 1.
 
@@ -31,8 +43,10 @@ def top_n_per_group(
     own. NaN and null scores come after all others. ``n`` below 1 and empty tables
     give no rows. All columns of ``df`` are kept; ``rank_col`` must not be one.
 
-    ``counted`` may be a cheaper table with the same groups and at least as many
-    rows, such as ``df`` before an aggregation; groups are divided by its counts.
+    Groups of more than ``hot_rows`` rows are hot; ``hot_limit`` of the counts by
+    default. ``df`` is read three times or four, so it should be cheap to read. Equal
+    rows of a hot group are counted before they are dealt, as they would all get the
+    same salt; that is left out where the rows are known to be ``unique``.
     """
     if rank_col in df.columns:
         raise ValueError(f"column {rank_col!r} exists already")
@@ -42,18 +56,28 @@ def top_n_per_group(
     if dict(df.dtypes)[score_col] in ("double", "float"):
         score = F.when(~F.isnan(score), score)
     order = [score.desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in tie_cols], F.xxhash64(*df.columns)]
-    hot = hot_keys(counted if counted is not None else df, group_cols, hot_rows, "__n")
-    hot = F.broadcast(hot.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group_cols)], "__n"))
-    on = same_keys(df, hot, group_cols, [f"__g{i}" for i in range(len(group_cols))])
+    keys = [f"__g{i}" for i in range(len(group_cols))]
+    counts = stage(df.groupBy(*[F.col(c).alias(k) for c, k in zip(group_cols, keys)]).agg(F.count(F.lit(1)).alias("__n")))
+    if hot_rows is None:
+        total = counts.agg(F.sum("__n")).first()[0] or 0
+        hot_rows = hot_limit(total, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n)
+    hot = small(counts.filter(F.col("__n") > hot_rows))
+    on = same_keys(df, hot, group_cols, keys)
 
     whole = Window.partitionBy(*group_cols).orderBy(*order)
     cold = df.join(hot, on, "left_anti").withColumn(rank_col, F.row_number().over(whole)).filter(F.col(rank_col) <= n)
 
     salts = F.ceil(F.col("__n") / hot_rows)
     salted = df.join(hot, on).withColumn("__salt", F.pmod(F.xxhash64(*df.columns), salts).cast("int"))
-    salted = salted.select(*df.columns, "__salt").repartitionByRange(*group_cols, "__salt")
+    if unique:
+        salted = salted.select(*df.columns, "__salt")
+    else:
+        salted = salted.groupBy(*df.columns, "__salt").agg(F.least(F.count(F.lit(1)), F.lit(n)).cast("int").alias("__copies"))
+    salted = salted.repartitionByRange(*group_cols, "__salt")
     part = Window.partitionBy(*group_cols, "__salt").orderBy(*order)
     best = salted.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= n).drop("__r", "__salt")
+    if not unique:
+        best = best.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
     warm = best.withColumn(rank_col, F.row_number().over(whole)).filter(F.col(rank_col) <= n)
     return cold.unionByName(warm)
 
@@ -69,7 +93,7 @@ def valid_scores(rankings: DataFrame) -> DataFrame:
     return rankings.filter(finite).select("query_id", kind.alias("retriever_type"), "chunk_id", (score + F.lit(0.0)).alias("score"))
 
 
-def best_chunks(rankings: DataFrame, relevance: DataFrame, n: int = 10, hot_rows: int = 100_000) -> DataFrame:
+def best_chunks(rankings: DataFrame, relevance: DataFrame, n: int = 10, hot_rows: int | None = None) -> DataFrame:
     """The ``n`` best chunks per query of ``relevance`` and retriever type.
 
     A chunk counts once, with its highest finite score. Returns ``query_id,
@@ -77,5 +101,5 @@ def best_chunks(rankings: DataFrame, relevance: DataFrame, n: int = 10, hot_rows
     """
     asked = relevance.select("query_id").filter(F.col("query_id").isNotNull()).distinct()
     rows = valid_scores(rankings).join(asked, "query_id", "left_semi")
-    best = rows.groupBy("query_id", "retriever_type", "chunk_id").agg(F.max("score").alias("score"))
-    return top_n_per_group(best, ["query_id", "retriever_type"], "score", ["chunk_id"], n, hot_rows=hot_rows, counted=rows)
+    best = stage(rows.groupBy("query_id", "retriever_type", "chunk_id").agg(F.max("score").alias("score")))
+    return top_n_per_group(best, ["query_id", "retriever_type"], "score", ["chunk_id"], n, hot_rows=hot_rows, unique=True)
