@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._cluster import hot_keys, key_runs, parts_for, small, stage
+from ._cluster import key_runs, parts_for, release, small, stage
 from .topn import valid_scores
 
 #: A low damping keeps the walk near its first jumps: what counts is an item's place
 #: in every kind of score, not the few items at the very top where long walks end.
 DAMPING = 0.2
+#: Rows of a group beyond which its walk is distributed: some 30 MB in a task, with its arrays 150.
+HOT_ROWS = 300_000
 
 
 def steps_needed(damping: float, tolerance: float = 1e-7) -> int:
@@ -30,86 +32,122 @@ def steps_needed(damping: float, tolerance: float = 1e-7) -> int:
     return max(1, math.ceil(math.log(tolerance) / math.log(damping)))
 
 
-def walk(kinds: list[tuple[np.ndarray, np.ndarray]], items: int, damping: float = DAMPING) -> np.ndarray:
-    """Stationary probabilities times ``items`` of the walk over ``items`` items.
+def walk(kind: np.ndarray, item: np.ndarray, higher: np.ndarray, ranked: np.ndarray, sizes: np.ndarray, group: np.ndarray, kinds: np.ndarray, damping: float = DAMPING) -> np.ndarray:
+    """Stationary probabilities, times the items of the group, of the walks in several groups at once.
 
-    ``kinds``: for each kind of score, the indices of the items it has and their
-    scores. All transitions of a step come from one running sum over the ranks.
+    An entry says that ``item`` has ``higher`` items above it in ``kind``, and whether
+    it is ``ranked`` there; every item has an entry for each kind of its group. ``sizes``
+    are the ranked items of each kind; ``group`` and ``kinds``, by item, its group and how
+    many kinds that has. All transitions of a step come from one running sum over ranks.
     """
-    above = []
-    for index, score in kinds:
-        order = np.argsort(-score, kind="stable")
-        ranked = index[order]
-        first = np.searchsorted(-score[order], -score[order], side="left")  # items strictly higher
-        higher = np.full(items, len(ranked))
-        higher[ranked] = first
-        above.append((ranked, higher, len(ranked)))
+    items = len(group)
+    ends = np.cumsum(sizes + 1)
+    slot = (ends - sizes - 1)[kind] + higher
+    last = (ends - 1)[kind]
+    top = higher == 0
+    rate = np.where(top, 0.0, 1.0 / np.maximum(higher, 1))
+    members = np.bincount(group)
     pi = np.ones(items)
     for _ in range(steps_needed(damping)):
-        new = np.zeros(items)
-        for ranked, higher, m in above:
-            top = higher == 0
-            flow = np.where(top, 0.0, pi / np.maximum(higher, 1))
-            by = np.bincount(higher, weights=flow, minlength=m + 1)
-            # The item at position j is reached from all with more than j items higher.
-            reached = by.sum() - np.cumsum(by)
-            new[ranked] += reached[:m]
-            new += pi[top].sum() / items
-        pi = (1.0 - damping) + damping * new / len(above)
+        here = pi[item]
+        upto = np.cumsum(np.bincount(slot, weights=here * rate, minlength=int(ends[-1])))
+        # An item with h items above it is reached from all with more than h.
+        new = np.bincount(item, weights=np.where(ranked, upto[last] - upto[slot], 0.0), minlength=items)
+        restart = np.bincount(group[item], weights=np.where(top, here, 0.0), minlength=len(members))
+        pi = (1.0 - damping) + damping * (new + (restart / members)[group]) / kinds
     return pi
 
 
-def _small(rows: DataFrame, group: str, kind: str, item: str, score: str, damping: float) -> DataFrame:
-    """Probabilities within groups that one task may hold."""
+def _codes(column) -> np.ndarray:
+    return column.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _walk_table(table: pa.Table, group: str, kind: str, item: str, score: str, damping: float) -> pa.RecordBatch:
+    """The walks in all groups of ``table``."""
+    g, k, i = (_codes(table.column(c)) for c in (group, kind, item))
+    s = table.column(score).to_numpy()
+    _, first, i = np.unique(g * (i.max() + 1) + i, return_index=True, return_inverse=True)
+    _, first_kind, k = np.unique(g * (k.max() + 1) + k, return_index=True, return_inverse=True)
+    of_item, of_kind = g[first], g[first_kind]
+    # Items strictly higher: where the block of equal scores begins within the kind.
+    order = np.lexsort((-s, k))
+    ks, ss = k[order], s[order]
+    sizes = np.bincount(ks)
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    fresh = np.concatenate([[True], (ks[1:] != ks[:-1]) | (ss[1:] != ss[:-1])])
+    block = np.maximum.accumulate(np.where(fresh, np.arange(len(ks)), 0))
+    higher = np.empty(len(ks), dtype=np.int64)
+    higher[order] = block - begin[ks]
+    # One entry for every item and kind of its group; below all where it isn't ranked.
+    kinds_of, kinds_at = np.bincount(of_kind), np.concatenate([[0], np.cumsum(np.bincount(of_kind))[:-1]])
+    kinds_in_order = np.argsort(of_kind, kind="stable")
+    rank_of_kind = np.empty(len(of_kind), dtype=np.int64)
+    rank_of_kind[kinds_in_order] = np.arange(len(of_kind)) - kinds_at[of_kind[kinds_in_order]]
+    each = kinds_of[of_item]
+    begin_item = np.concatenate([[0], np.cumsum(each)[:-1]])
+    entry_item = np.repeat(np.arange(len(of_item)), each)
+    within = np.arange(len(entry_item)) - begin_item[entry_item]
+    entry_kind = kinds_in_order[kinds_at[of_item[entry_item]] + within]
+    entry_higher, ranked = sizes[entry_kind].copy(), np.zeros(len(entry_item), dtype=bool)
+    at = begin_item[i] + rank_of_kind[k]
+    entry_higher[at], ranked[at] = higher, True
+    pi = walk(entry_kind, entry_item, entry_higher, ranked, sizes, of_item, each, damping)
+    rows = pa.array(first)
+    return pa.record_batch([table.column(group).combine_chunks().take(rows), table.column(item).combine_chunks().take(rows), pa.array(pi)], names=[group, item, "weight"])
+
+
+def _small(rows: DataFrame, total: int, group: str, kind: str, item: str, score: str, damping: float) -> DataFrame:
+    """Probabilities within groups that one task may hold; groups are walked many at a time."""
     schema = f"`{group}` {rows.schema[group].dataType.simpleString()}, `{item}` {rows.schema[item].dataType.simpleString()}, weight double"
 
     def run(batches):
-        for table in key_runs(batches, [group]):
-            ids, index = np.unique(np.array(table.column(item).to_pylist(), dtype=object), return_inverse=True)
-            names, scores = np.array(table.column(kind).to_pylist(), dtype=object), table.column(score).to_numpy()
-            kinds = [(index[names == n], scores[names == n]) for n in sorted(set(names))]
-            pi = walk(kinds, len(ids), damping)
-            key = pa.array([table.column(group)[0].as_py()] * len(ids), table.schema.field(group).type)
-            yield pa.record_batch([key, pa.array(ids.tolist(), table.schema.field(item).type), pa.array(pi)], names=[group, item, "weight"])
+        for table in key_runs(batches, [group], 50_000):
+            yield _walk_table(table, group, kind, item, score, damping)
 
-    return rows.repartition(parts_for(rows.sparkSession, rows.count(), 100_000), group).sortWithinPartitions(group).mapInArrow(run, schema)
+    return rows.repartition(parts_for(rows.sparkSession, total, 100_000), group).sortWithinPartitions(group).mapInArrow(run, schema)
 
 
 def _large(rows: DataFrame, group: str, kind: str, item: str, score: str, damping: float, width: int) -> DataFrame:
-    """The same for groups of any size: every running sum is made in buckets of ranks."""
+    """The same for groups of any size: every running sum is made in buckets of ranks.
+
+    A step moves each row twice: to the bucket of its rank, where what lies behind is
+    summed, and back to its item. What the buckets sum up to is a small table.
+    """
     blocks = rows.groupBy(group, kind, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("c"))
     # Items of one score form a block; h counts the items strictly higher.
     placed = stage(blocks.repartitionByRange(group, kind, F.desc("s")).withColumn("part", F.spark_partition_id()))
     sums = placed.groupBy(group, kind, "part").agg(F.sum("c").alias("all"))
     offset = F.coalesce(F.sum("all").over(Window.partitionBy(group, kind).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inner = F.coalesce(F.sum("c").over(Window.partitionBy(group, kind, "part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = placed.withColumn("inner", inner).join(sums.withColumn("offset", offset).drop("all"), [group, kind, "part"])
-    placed = stage(placed.select(group, kind, "s", (F.col("inner") + F.col("offset")).alias("h")))
-    ranked = rows.join(placed, (rows[group] == placed[group]) & (rows[kind] == placed[kind]) & (rows[score] == placed["s"]))
+    starts = placed.withColumn("inner", inner).join(sums.withColumn("offset", offset).drop("all"), [group, kind, "part"])
+    starts = starts.select(group, kind, "s", (F.col("inner") + F.col("offset")).alias("h"))
+    ranked = rows.join(starts, (rows[group] == starts[group]) & (rows[kind] == starts[kind]) & (rows[score] == starts["s"]))
     ranked = ranked.select(rows[group].alias("g"), rows[item].alias("i"), F.struct(rows[kind].alias("k"), "h").alias("p"))
     sizes = rows.groupBy(F.col(group).alias("g"), F.col(kind).alias("k")).agg(F.count(F.lit(1)).alias("m"))
     kinds = sizes.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("sizes"))  # one entry a kind
     have = ranked.groupBy("g", "i").agg(F.map_from_entries(F.collect_list("p")).alias("have"))
     total = have.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"))
     info = small(stage(kinds.join(total, "g")))  # one row a large group
-    state = have.join(info, "g").select("g", "i", "n", F.size("sizes").alias("kinds"), F.lit(1.0).alias("pi"), F.transform(F.map_entries("sizes"), lambda e: F.struct(e.key.alias("k"), F.coalesce(F.try_element_at("have", e.key), e.value).alias("h"), F.map_contains_key("have", e.key).alias("in"))).alias("places"))
-    state = stage(state)
+    places = F.transform(F.map_entries("sizes"), lambda e: F.struct(e.key.alias("k"), F.coalesce(F.try_element_at("have", e.key), e.value).alias("h"), F.map_contains_key("have", e.key).alias("in")))
+    state = stage(have.join(info, "g").select("g", "i", "n", F.lit(1.0).alias("pi"), places.alias("places")))
+    behind = Window.partitionBy("g", "k", "b").orderBy(F.desc("h")).rangeBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("g", "k").orderBy(F.col("b").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(steps_needed(damping)):
-        flat = state.select("g", "i", "n", "kinds", "pi", F.inline("places"))
-        flow = flat.groupBy("g", "k", "h").agg(F.sum("pi").alias("mass"))
-        flow = flow.withColumn("f", F.when(F.col("h") > 0, F.col("mass") / F.col("h")).otherwise(0.0)).withColumn("bucket", F.floor(F.col("h") / width))
-        tops = flow.filter("h = 0").groupBy("g").agg(F.sum("mass").alias("restart"))
-        after = Window.partitionBy("g", "k", "bucket").orderBy(F.desc("h")).rowsBetween(Window.unboundedPreceding, -1)
-        later = Window.partitionBy("g", "k").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-        over = flow.groupBy("g", "k", "bucket").agg(F.sum("f").alias("all")).withColumn("beyond", F.coalesce(F.sum("all").over(later), F.lit(0.0))).drop("all")
-        reach = flow.withColumn("near", F.coalesce(F.sum("f").over(after), F.lit(0.0))).join(over, ["g", "k", "bucket"]).select("g", "k", "h", (F.col("near") + F.col("beyond")).alias("reach"))
-        # Items that a kind doesn't have stand in one block at its end, which may be most rows; nothing flows there.
-        moved = flat.filter(F.col("in")).join(reach, ["g", "k", "h"]).withColumnRenamed("reach", "r")
-        moved = moved.unionByName(flat.filter(~F.col("in")).withColumn("r", F.lit(0.0)))
-        moved = moved.groupBy("g", "i").agg(F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.sum("r").alias("new"), F.array_sort(F.collect_list(F.struct("k", "h", "in"))).alias("places"))
-        moved = moved.join(F.broadcast(tops), "g")  # one row a large group
-        pi = F.lit(1.0 - damping) + F.lit(damping) * (F.col("new") + F.col("restart") / F.col("n")) / F.col("kinds")
-        state = stage(moved.select("g", "i", "n", "kinds", pi.alias("pi"), "places"))
+        # Items that a kind doesn't rank stand in one block at its end, which may be most
+        # rows: nothing flows there, and what flows from it enters as a sum, under no bucket.
+        flat = state.select("g", "i", "n", "pi", F.inline("places")).withColumn("b", F.when(F.col("in"), F.floor(F.col("h") / width)))
+        flat = flat.withColumn("f", F.when(F.col("h") > 0, F.col("pi") / F.col("h")).otherwise(0.0))
+        sums = flat.groupBy("g", "k", "b").agg(F.sum("f").alias("all"), F.sum(F.when(F.col("h") == 0, F.col("pi")).otherwise(0.0)).alias("top"))
+        sums = sums.select("g", "k", "b", F.coalesce(F.sum("all").over(later), F.lit(0.0)).alias("beyond"), F.sum("top").over(Window.partitionBy("g")).alias("restart"))
+        buckets = stage(sums.filter("b is not null"))
+        moved = flat.filter("in").withColumn("near", F.coalesce(F.sum("f").over(behind), F.lit(0.0))).join(small(buckets), ["g", "k", "b"])
+        moved = moved.select("g", "i", "n", "k", "h", "in", (F.col("near") + F.col("beyond")).alias("r"), "restart")
+        moved = moved.unionByName(flat.filter("not in").select("g", "i", "n", "k", "h", "in", F.lit(0.0).alias("r"), F.lit(None).cast("double").alias("restart")))
+        moved = moved.groupBy("g", "i").agg(F.first("n").alias("n"), F.sum("r").alias("new"), F.max("restart").alias("restart"), F.array_sort(F.collect_list(F.struct("k", "h", "in"))).alias("places"))
+        pi = F.lit(1.0 - damping) + F.lit(damping) * (F.col("new") + F.col("restart") / F.col("n")) / F.size("places")
+        done, state = state, stage(moved.select("g", "i", "n", pi.alias("pi"), "places"))
+        release(done)
+        release(buckets)
     return state.select(F.col("g").alias(group), F.col("i").alias(item), F.col("pi").alias("weight"))
 
 
@@ -120,7 +158,7 @@ def rank_walk(
     item_col: str = "chunk_id",
     score_col: str = "score",
     damping: float = DAMPING,
-    hot_rows: int = 50_000,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``group_col, item_col, weight``: for each group one weight per item, high first.
 
@@ -131,21 +169,31 @@ def rank_walk(
     """
     rows = df.select(group_col, kind_col, item_col, F.col(score_col).cast("double").alias(score_col)).na.drop().filter(~F.isnan(score_col))
     rows = stage(rows.groupBy(group_col, kind_col, item_col).agg(F.max(score_col).alias(score_col)))
-    hot = hot_keys(rows, [group_col], hot_rows, "n")
-    few = small(hot.select(group_col))
-    small = _small(rows.join(few, group_col, "left_anti"), group_col, kind_col, item_col, score_col, damping)
-    if hot.isEmpty():
-        return small
-    return small.unionByName(_large(rows.join(few, group_col, "left_semi"), group_col, kind_col, item_col, score_col, damping, hot_rows))
+    counts = stage(rows.groupBy(group_col).agg(F.count(F.lit(1)).alias("n")))
+    return _walk_all(rows, counts, (group_col, kind_col, item_col, score_col), damping, hot_rows)
+
+
+def _walk_all(rows: DataFrame, counts: DataFrame, names: tuple[str, str, str, str], damping: float, hot_rows: int) -> DataFrame:
+    """The walks in the groups of ``counts``, which has their rows as ``n``."""
+    group = names[0]
+    light = counts.filter(F.col("n") <= hot_rows)
+    hot = counts.filter(F.col("n") > hot_rows).select(group)
+    total, groups = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > hot_rows)).first()
+    done = _small(rows.join(light.select(group), group, "left_semi"), total, *names, damping)
+    if not groups:
+        return done
+    return done.unionByName(_large(rows.join(small(hot), group, "left_semi"), *names, damping, hot_rows))
 
 
-def fused_top(rankings: DataFrame, n: int = 3, kinds: tuple[str, ...] = ("dense", "bm25", "hybrid"), damping: float = DAMPING, hot_rows: int = 50_000) -> DataFrame:
+def fused_top(rankings: DataFrame, n: int = 3, kinds: tuple[str, ...] = ("dense", "bm25", "hybrid"), damping: float = DAMPING, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``query_id, chunk_id, weight, rank``: the ``n`` chunks that come first when all kinds count equally.
 
     Only queries with finite scores of every kind take part. Ties by chunk id.
     """
     valid = valid_scores(rankings).filter(F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull() & F.col("retriever_type").isin(*kinds))
-    complete = valid.groupBy("query_id").agg(F.count_distinct("retriever_type").alias("kinds")).filter(F.col("kinds") == len(kinds))
-    weights = rank_walk(valid.join(complete, "query_id", "left_semi"), damping=damping, hot_rows=hot_rows)
+    rows = stage(valid.groupBy("query_id", "retriever_type", "chunk_id").agg(F.max("score").alias("score")))
+    counts = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), *[F.max(F.col("retriever_type") == k).alias(f"has{i}") for i, k in enumerate(kinds)])
+    complete = stage(counts.filter(" and ".join(f"has{i}" for i in range(len(kinds)))).select("query_id", "n"))
+    weights = _walk_all(rows, complete, ("query_id", "retriever_type", "chunk_id", "score"), damping, hot_rows)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("weight", 9)), "chunk_id")
     return weights.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import rankwalk, topn
+from skein.llm import _cluster, rankwalk, topn
 
 
 def brute_top(rows, n):
@@ -62,12 +63,50 @@ def dense_walk(kinds, n, damping):
     return pi
 
 
-def test_walk_equals_its_matrix():
+def test_walks_of_several_groups_equal_their_matrices():
     r = np.random.default_rng(0)
-    for _ in range(20):
+    rows, truth = [], {}
+    for g in range(30):
         n = int(r.integers(1, 12))
-        kinds = [(i := r.permutation(n)[: r.integers(1, n + 1)], r.integers(0, 4, len(i)).astype(float)) for _ in range(3)]
-        assert np.allclose(rankwalk.walk(kinds, n, 0.4), dense_walk(kinds, n, 0.4), atol=1e-5)
+        kinds = [(i := r.permutation(n)[: r.integers(1, n + 1)], r.integers(0, 4, len(i)).astype(float)) for _ in range(1 + g % 3)]
+        have = sorted({int(x) for i, _ in kinds for x in i})
+        kinds = [(np.searchsorted(have, i), s) for i, s in kinds]
+        rows += [(f"g{g}", f"k{k}", f"i{x}", float(y)) for k, (i, s) in enumerate(kinds) for x, y in zip(i, s)]
+        truth |= {(f"g{g}", f"i{x}"): p for x, p in enumerate(dense_walk(kinds, len(have), 0.4))}
+    table = pa.table(dict(zip("gkis", map(list, zip(*rows)))))
+    got = rankwalk._walk_table(table, "g", "k", "i", "s", 0.4).to_pylist()
+    assert len(got) == len(truth) and all(abs(x["weight"] - truth[x["g"], x["i"]]) < 1e-5 for x in got)
+
+
+def test_key_runs_put_whole_groups_together():
+    r = random.Random(1)
+    keys = sorted(r.choice("abcdef") for _ in range(100))
+    table = pa.table({"k": keys, "v": list(range(100))})
+    for size in (1, 7, 30, 100):
+        for least in (1, 20, 1000):
+            parts = list(_cluster.key_runs(table.to_batches(size), ["k"], least))
+            assert pa.concat_tables(parts).equals(table.combine_chunks()) or [x for p in parts for x in p.column("v").to_pylist()] == list(range(100))
+            groups = [set(p.column("k").to_pylist()) for p in parts]
+            assert sum(map(len, groups)) == len(set(keys))
+            assert all(p.num_rows >= least for p in parts[:-1]) and (least > 1 or all(len(g) == 1 for g in groups))
+
+
+def test_many_hot_groups_are_joined_by_a_shuffle(spark):
+    df = spark.range(400).selectExpr("id % 40 as g", "id as k", "cast(id % 7 as double) as s")
+    hot = _cluster.hot_keys(df, ["g"], 5, "n")
+    plan = lambda t: df.join(t, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert hot.count() == 40 and "broadcast" in plan(_cluster.small(hot, 40)) and "broadcast" not in plan(_cluster.small(hot, 39))
+    assert topn.top_n_per_group(df, ["g"], "s", ["k"], 2, hot_rows=5).count() == 80
+
+
+def test_equal_rows_of_a_hot_group_each_count(spark):
+    df = spark.createDataFrame([("a", 1.0, "x")] * 50 + [("a", 0.5, "y")] * 50, "g string, s double, k string")
+    got = topn.top_n_per_group(df, ["g"], "s", ["k"], 60, hot_rows=10).collect()
+    assert sorted(x.k for x in got) == ["x"] * 50 + ["y"] * 10 and sorted(x["rank"] for x in got) == list(range(1, 61))
+
+
+def test_the_limit_of_hot_groups_follows_the_counts():
+    assert topn.hot_limit(1_660_000, 12, 10) < 50_000 and topn.hot_limit(10**13, 10_000, 10) == topn.MOST_ROWS and topn.hot_limit(100, 8, 10) == 500
 
 
 def test_large_groups_have_the_same_weights(spark):
