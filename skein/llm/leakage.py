@@ -3,7 +3,11 @@
 A document keeps the least k-gram hash of every window of ``span - k + 1`` k-grams,
 so any shared run of ``span`` words shares a kept hash with the item, all of whose
 k-grams are indexed. Items shorter than ``span`` are looked up by the hash of their
-whole word sequence. Each hit is extended to the full run and verified on words.
+whole word sequence. From every hit the shared run is extended to both sides, on the
+words themselves, until it is long enough or a word differs.
+
+Words and k-grams of many documents are hashed at once, in arrays over all their
+characters; only a document with a hit is cut into words.
 """
 
 from __future__ import annotations
@@ -17,59 +21,122 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import arrow_map, stage
+from ._cluster import arrow_map, small, stage
 from .canonical import canonical
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
-#: log2 of the bits of the filter sent to the workers, whatever the number of items.
-FILTER_BITS = 26
+#: log2 of the least and the most bits of the filter sent to the workers (8 kB, 128 MB).
+FILTER_BITS = (16, 30)
+#: Characters hashed at once, unless one text has more.
+BLOCK_CHARS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def folded(text: str) -> str:
+    """``text`` in canonical form and lower case."""
+    return canonical(text).lower()
 
 
 def words(text: str) -> list[str]:
     """The runs of letters and digits of ``text`` in canonical form and lower case."""
-    return WORD.findall(canonical(text).lower())
+    return WORD.findall(folded(text))
+
+
+@lru_cache(maxsize=1)
+def _word_characters() -> np.ndarray:
+    """Whether a code point belongs to a word."""
+    table = np.zeros(0x110000, dtype=bool)
+    for a, b in ((0, 0xD800), (0xE000, 0x110000)):
+        for m in WORD.finditer("".join(map(chr, range(a, b)))):
+            table[a + m.start() : a + m.end()] = True
+    return table
+
+
+_POWERS: list[np.ndarray] = []
 
 
-@lru_cache(maxsize=200_000)
-def _word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base, and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        both = [np.full(max(n, BLOCK_CHARS), x, np.uint64) for x in (_BASE, _INVERSE)]
+        for one in both:
+            one[0] = 1
+            np.cumprod(one, out=one)
+        _POWERS[:] = both
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def gram_hashes(tokens: list[str], k: int) -> np.ndarray:
-    """64-bit hashes of the k-grams of ``tokens``, in order."""
-    n = len(tokens) - k + 1
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every word of the (folded) texts, one text after the other: its text, and its hash."""
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = np.zeros(len(codes) + 2, dtype=np.int8)
+    inside[1:-1] = _word_characters()[codes]
+    edge = np.diff(inside)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    power, inverse = _powers(len(codes) + 1)
+    upto = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[:-1], out=upto[1:])
+    hashes = _mixed((upto[ends] - upto[starts]) * inverse[starts])
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    return np.searchsorted(begins, starts, side="right") - 1, hashes
+
+
+def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of the k-grams of a sequence of word hashes, in order."""
+    n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    one = np.fromiter((_word_hash(t) for t in tokens), np.uint64, len(tokens))
     out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            out = out * np.uint64(_BASE) + one[i : i + n]
-        out ^= out >> np.uint64(31)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(29)
-        out += np.uint64(k)
-    return out
+    for i in range(k):
+        out = out * np.uint64(_BASE) + hashes[i : i + n]
+    return _mixed(out) + np.uint64(k)
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the least hash (the last such) of every ``window`` consecutive ones."""
-    if len(hashes) <= window:
-        return np.array([len(hashes) - 1 - int(np.argmin(hashes[::-1]))]) if len(hashes) else np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1]
-    return np.unique(np.arange(len(view)) + window - 1 - np.argmin(view, axis=1))
-
-
-def shared_run(doc: list[str], item: list[str], at: int, item_at: int) -> int:
-    """Length of the longest run of equal words of ``doc`` and ``item`` on the diagonal of a hit."""
-    shift = at - item_at
-    lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-    best = run = 0
-    for i in range(lo, hi):
-        run = run + 1 if item[i] == doc[i + shift] else 0
-        best = max(best, run)
-    return best
+    """For each ``window`` consecutive hashes the position of the least (the last such)."""
+    if len(hashes) < window:
+        return np.empty(0, np.int64)
+    least, at = hashes[: len(hashes) - window + 1].copy(), np.arange(len(hashes) - window + 1)
+    for i in range(1, window):
+        other = hashes[i : i + len(least)]
+        less = other <= least
+        least[less] = other[less]
+        at[less] = np.flatnonzero(less) + i
+    return at
+
+
+def shared_run(doc: list[str], item: list[str], at: int, item_at: int, enough: int) -> int:
+    """Equal words of ``doc`` and ``item`` around a hit, counted up to ``enough``."""
+    a, b = at, item_at
+    while a and b and at - a < enough and doc[a - 1] == item[b - 1]:
+        a, b = a - 1, b - 1
+    run = 0
+    while run < enough and a + run < len(doc) and b + run < len(item) and doc[a + run] == item[b + run]:
+        run += 1
+    return run
+
+
+def _key(name: object, text: str) -> bytes:
+    return xxhash.xxh3_128_digest(f"{name!r}\0{text}".encode("utf-8", "surrogatepass"))
+
+
+def _blocks(texts: list[str]):
+    """``(start, end)`` of consecutive texts of ``BLOCK_CHARS`` characters together."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > BLOCK_CHARS:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if texts:
+        yield start, len(texts)
 
 
 def leaked_items(
@@ -95,86 +162,96 @@ def leaked_items(
 
     def make_items():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, toks, hashes, at, lens = [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = words(text)
-                size = k if len(w) >= span else len(w)
-                for i, h in enumerate(gram_hashes(w, size)) if size else ():
-                    ids.append(key)
-                    toks.append(" ".join(w))
-                    hashes.append(int(h.astype(np.int64)))
-                    at.append(i)
-                    lens.append(size)
-            return pa.record_batch([pa.array(ids, batch.schema.field(0).type), pa.array(toks, pa.string()), pa.array(hashes, pa.int64()), pa.array(at, pa.int32()), pa.array(lens, pa.int32())], names=["item", "item_words", "hash", "item_at", "size"])
+            keys, ids, toks, prints = [], [], [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                form = folded(text)
+                w = WORD.findall(form)
+                if w:
+                    size = k if len(w) >= span else len(w)
+                    keys.append(_key(name, form))
+                    ids.append(name)
+                    toks.append(w)
+                    prints.append([(int(h), i) for i, h in enumerate(gram_hashes(word_hashes([form])[1], size).astype(np.int64))])
+            return pa.record_batch(
+                [pa.array(keys, pa.binary()), pa.array(ids, batch.schema.field(0).type), pa.array(toks, pa.list_(pa.string())), pa.array([[{"hash": h, "item_at": i} for h, i in p] for p in prints], pa.list_(pa.struct([("hash", pa.int64()), ("item_at", pa.int32())])))],
+                names=["item_key", "item", "item_words", "prints"],
+            )
 
         return one
 
     rows = items.select(item_id, item_text).filter(F.col(item_text).isNotNull()).distinct()
-    prints = stage(arrow_map(rows, make_items, f"item {item_kind}, item_words string, hash bigint, item_at int, size int"))
-    sizes = [r.size for r in prints.select("size").distinct().collect()]  # at most `span` values
-    short = sorted(s for s in sizes if s != k or k == span)
-    # Whole items of k words are k-grams too, but must be met without winnowing.
-    if prints.filter((F.col("size") == k) & (F.size(F.split("item_words", " ")) == k)).limit(1).count():
-        short = sorted({*short, k})
-    bits = prints.select((F.col("hash").bitwiseAND((1 << FILTER_BITS) - 1)).alias("b"))
-    bits = bits.groupBy(F.shiftright("b", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 31 AS int)))").alias("m")).toArrow()
-    mask = np.zeros(1 << (FILTER_BITS - 5), np.uint32)  # 8 MB, and as much at most from the table above
-    mask[bits.column("w").to_numpy()] = bits.column("m").to_numpy().astype(np.uint32)
+    known = stage(arrow_map(rows, make_items, f"item_key binary, item {item_kind}, item_words array<string>, prints array<struct<hash:bigint,item_at:int>>"))
+    prints = stage(known.select("item_key", F.inline("prints")))
+    size = F.size("item_words")
+    lengths = known.filter(size < span).select(size.alias("n")).distinct()
+    # Whole items must be met without winnowing; at most `span` lengths.
+    short = sorted({r.n for r in lengths.collect()} | ({k} if k == span else set()))
+    # Of 256 bits a hash or more, each sets two: short items are looked up at every word.
+    bits = int(np.clip(np.ceil(np.log2(256 * max(prints.count(), 1))), *FILTER_BITS))
+    low = prints.select(F.explode(F.array(*[F.shiftrightunsigned("hash", n).bitwiseAND((1 << bits) - 1) for n in (0, 32)])).alias("b"))
+    low = low.groupBy(F.shiftright("b", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 31 AS int)))").alias("m")).toArrow()  # no more than the filter
+    mask = np.zeros(1 << (bits - 5), np.uint32)
+    mask[low.column("w").to_numpy()] = low.column("m").to_numpy().astype(np.uint32)
     shared = spark.sparkContext.broadcast(mask)
 
     def make_docs():
         table = shared.value
 
-        def known(h: np.ndarray) -> np.ndarray:
-            low = h & np.uint64((1 << FILTER_BITS) - 1)
-            return (table[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+        def seen(h: np.ndarray) -> np.ndarray:
+            good = np.ones(len(h), dtype=bool)
+            for n in (0, 32):
+                own = (h >> np.uint64(n)) & np.uint64((1 << bits) - 1)
+                good &= (table[(own >> np.uint64(5)).astype(np.int64)] >> (own & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+            return good
+
+        def found(forms: list[str]):
+            """Text, word within the text and hash of every kept k-gram that an item may have."""
+            text, hashes = word_hashes(forms)
+            first = np.searchsorted(text, np.arange(len(forms)))
+            out = []
+            for length, window in ((k, span - k + 1), *((n, 1) for n in short)):
+                grams = gram_hashes(hashes, length)
+                at = winnow(grams, window)
+                at = at[text[: len(at)] == text[length + window - 2 :][: len(at)]]
+                at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at  # positions only ascend
+                at = at[seen(grams[at])]
+                out.append((text[at], at - first[text[at]], grams[at]))
+            return (np.concatenate(x) for x in zip(*out))
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, toks, hits = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = words(text)
-                found = []
-                grams = gram_hashes(w, k)
-                if len(grams):
-                    at = winnow(grams, span - k + 1)
-                    found += [(h, i) for h, i, y in zip(grams[at], at, known(grams[at])) if y]
-                for s in short:
-                    grams = gram_hashes(w, s)
-                    at = np.flatnonzero(known(grams)) if len(grams) else ()
-                    found += [(grams[i], i) for i in at]
-                if found:
-                    ids.append(key)
-                    toks.append(" ".join(w))
-                    hits.append([{"hash": int(np.uint64(h).astype(np.int64)), "at": int(i)} for h, i in found])
-            return pa.record_batch([pa.array(ids, batch.schema.field(0).type), pa.array(toks, pa.string()), pa.array(hits, pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32())])))], names=["doc", "doc_words", "hits"])
+            names, forms = batch.column(0).to_pylist(), [folded(t) for t in batch.column(1).to_pylist()]
+            keys, ids, toks, hits = [], [], [], []
+            for a, b in _blocks(forms):
+                text, at, hashes = found(forms[a:b])
+                order = np.argsort(text, kind="stable")
+                text, at, hashes = text[order], at[order], hashes[order].astype(np.int64)
+                own, starts = np.unique(text, return_index=True)
+                for t, x, y in zip(own.tolist(), starts, [*starts[1:], len(text)]):
+                    keys.append(_key(names[a + t], forms[a + t]))
+                    ids.append(names[a + t])
+                    toks.append(WORD.findall(forms[a + t]))
+                    hits.append([{"hash": h, "at": i} for h, i in zip(hashes[x:y].tolist(), at[x:y].tolist())])
+            return pa.record_batch([pa.array(keys, pa.binary()), pa.array(ids, batch.schema.field(0).type), pa.array(toks, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32())])))], names=["doc_key", "doc", "doc_words", "hits"])
 
         return one
 
     texts = docs.select(doc_id, doc_text).filter(F.col(doc_text).isNotNull())
-    hits = arrow_map(texts, make_docs, f"doc {doc_kind}, doc_words string, hits array<struct<hash:bigint,at:int>>")
-    hits = hits.select("doc", "doc_words", F.inline("hits"))
+    hit = stage(arrow_map(texts, make_docs, f"doc_key binary, doc {doc_kind}, doc_words array<string>, hits array<struct<hash:bigint,at:int>>"))
 
     def make_check():
-        @lru_cache(maxsize=64)
-        def split(text: str) -> list[str]:
-            return text.split(" ")
-
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out_d, out_i, seen = [], [], set()
-            for d, dw, at, i, iw, item_at in zip(*(batch.column(c).to_pylist() for c in ("doc", "doc_words", "at", "item", "item_words", "item_at"))):
-                if (d, i) in seen:
-                    continue
-                item = split(iw)
-                if shared_run(split(dw), item, at, item_at) >= min(span, len(item)):
-                    seen.add((d, i))
-                    out_d.append(d)
-                    out_i.append(i)
-            return pa.record_batch([pa.array(out_d, batch.schema.field("doc").type), pa.array(out_i, batch.schema.field("item").type)], names=["doc", "item"])
+            own = [batch.column(c).to_pylist() for c in ("doc_words", "item_words", "places")]
+            good = [any(shared_run(d, i, p["at"], p["item_at"], min(span, len(i))) >= min(span, len(i)) for p in places) for d, i, places in zip(*own)]
+            rows = pa.array(np.flatnonzero(good))
+            return pa.record_batch([batch.column("doc").take(rows), batch.column("item").take(rows)], names=["doc", "item"])
 
         return one
 
-    met = hits.join(prints.drop("size"), "hash")
-    checked = arrow_map(met, make_check, f"doc {doc_kind}, item {item_kind}").distinct()
+    # The texts join once a pair, after its hits have been put together.
+    met = hit.select("doc_key", F.inline("hits")).join(small(prints), "hash").groupBy("doc_key", "item_key").agg(F.collect_set(F.struct("at", "item_at")).alias("places"))
+    once = hit.select("doc_key", "doc", "doc_words").dropDuplicates(["doc_key"])
+    pairs = met.join(once, "doc_key").join(small(known.select("item_key", "item", "item_words").dropDuplicates(["item_key"])), "item_key")
+    checked = arrow_map(pairs.select("doc", "doc_words", "item", "item_words", "places"), make_check, f"doc {doc_kind}, item {item_kind}").distinct()
     return checked.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id))
 
 

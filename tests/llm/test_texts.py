@@ -65,11 +65,28 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), empty).count() == 0
 
 
+def test_words_of_many_texts_hash_like_those_of_one():
+    texts = [leakage.folded(t) for t in ("One two, ONE!", "", "two\none", "…", "ʼn 二 x²")]
+    text, hashes = leakage.word_hashes(texts)
+    names = [(i, w) for i, t in enumerate(texts) for w in leakage.WORD.findall(t)]
+    assert [i for i, _ in names] == text.tolist()
+    by = {}
+    for (_, w), h in zip(names, hashes.tolist()):
+        assert by.setdefault(w, h) == h
+    assert len(set(by.values())) == len(by)
+
+
+def test_runs_are_extended_from_a_hit():
+    doc, item = "a b c d e f".split(), "x b c d e y".split()
+    assert leakage.shared_run(doc, item, 3, 3, 9) == 4 and leakage.shared_run(doc, item, 3, 3, 2) == 2 and leakage.shared_run(doc, item, 0, 0, 3) == 0
+
+
 def test_winnowing_keeps_a_hash_of_every_long_enough_run():
     r = random.Random(2)
     for _ in range(50):
-        w = [str(r.randint(0, 9)) for _ in range(60)]
-        h = leakage.gram_hashes(w, 8)
+        text, one = leakage.word_hashes([" ".join(str(r.randint(0, 9)) for _ in range(60))])
+        h = leakage.gram_hashes(one, 8)
+        assert len(h) == 53 and not text.any()
         kept = set(leakage.winnow(h, 5))
         assert all(kept & set(range(a, a + 5)) for a in range(len(h) - 4))
 
