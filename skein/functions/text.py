@@ -26,7 +26,8 @@ STOPWORDS = (
 _LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 _STRIP = "(?U)^[\\s\x1c-\x1f\x85]+|[\\s\x1c-\x1f\x85]+$"
 _LETTER = r"[\p{L}\p{N}_]"
-_MATH = r"(?s)\$\$.*?\$\$|\$[^$]*\$|\\begin\{.*?\}.*?\\end\{.*?\}|\\[a-zA-Z]+\s*|<[^>]{1,60}>"
+# Fixed value: formulas, commands and placeholders.
+MATH = r"(?s)\$\$.*?\$\$|\$[^$]*\$|\\begin\{.*?\}.*?\\end\{.*?\}|\\[a-zA-Z]+\s*|<[^>]{1,60}>"
 
 
 def _strip(text: Column) -> Column:
@@ -94,7 +95,7 @@ def resolve_preprocessor(choice: str | Callable[[Column], Column] | None) -> Cal
 
 def strip_math(text: Column) -> Column:
     """Replace formulas, commands and placeholders by a space."""
-    return F.regexp_replace(text, _MATH, " ")
+    return F.regexp_replace(text, MATH, " ")
 
 
 def normalize_alnum(text: Column) -> Column:

@@ -29,6 +29,11 @@ def py_token_starts(text: str) -> list[int]:
     return [m.start() for m in _PIECE.finditer(text)] + [len(text)]
 
 
+def count_pieces(text: str) -> int:
+    """Number of pieces."""
+    return len(_PIECE.findall(text))
+
+
 @F.pandas_udf(ArrayType(IntegerType()))
 def token_starts(texts: pd.Series) -> pd.Series:
     """Start of every piece, and the length of the text at the end. Linear, unlike a fold over arrays."""

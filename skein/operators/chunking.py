@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import count_tokens, py_token_starts, resolve_overlap
+from ..functions.tokens import count_pieces, count_tokens, py_token_starts, resolve_overlap
 from ..functions.vectors import dot, unit
 from ..schema import SPANS, chunk_key
 from .pages import page_of
@@ -96,23 +96,36 @@ def sentence_list(text: str, cap: int | None = None) -> list[tuple[int, int, int
     return out
 
 
+def _upto(sizes: list[int]) -> np.ndarray:
+    """Tokens before each position, and all of them at the end."""
+    return np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype=np.int64))])
+
+
+def _follow(last: np.ndarray, following: np.ndarray) -> list[tuple[int, int]]:
+    """The runs ``[first, last)`` met from position 0 on, by tables of where each ends and what comes next."""
+    runs, at, n = [], 0, len(last)
+    while at < n:
+        runs.append((at, int(last[at])))
+        at = n if last[at] == n else int(following[at])
+    return runs
+
+
 def group_sentences(sentences: list[tuple[int, int, int]], count: int, overlap: int, cap: int, floor: int | None) -> list[tuple]:
-    """Greedy groups: closed by the cap, or by the count once the floor is met; each advances by one sentence at least."""
-    spans, first = [], 0
-    while first < len(sentences):
-        last, tokens = first, 0
-        while last < len(sentences):
-            size = sentences[last][2]
-            enough = last - first >= count and (floor is None or tokens >= floor)
-            if last > first and (tokens + size > cap or enough):
-                break
-            tokens += size
-            last += 1
-        spans.append((sentences[first][0], sentences[last - 1][1], tokens, last - first))
-        if last == len(sentences):
-            break
-        first += max(1, last - first - overlap)
-    return spans
+    """Groups of ``count`` sentences, or as many as reach ``floor`` tokens, that stay within ``cap`` tokens.
+
+    A sentence over the cap is a group of its own. ``overlap`` sentences are repeated
+    where the group has more. Where a group would end is found for every sentence at
+    once from the running sum of tokens.
+    """
+    n = len(sentences)
+    upto, first = _upto([size for _, _, size in sentences]), np.arange(n)
+    full = np.maximum(np.searchsorted(upto, upto[:-1] + cap, side="right") - 1, first + 1)
+    enough = first + count
+    if floor is not None:
+        enough = np.maximum(enough, np.searchsorted(upto, upto[:-1] + floor, side="left"))
+    last = np.minimum(np.minimum(full, enough), n)
+    runs = _follow(last, np.maximum(last - overlap, first + 1))
+    return [(sentences[a][0], sentences[b - 1][1], int(upto[b] - upto[a]), b - a) for a, b in runs]
 
 
 def sentence(content: Column, sentences_per_chunk: int = 5, overlap: int = 1, dynamic_min: bool = False) -> Column:
@@ -127,43 +140,43 @@ def sentence(content: Column, sentences_per_chunk: int = 5, overlap: int = 1, dy
 # --- recursive -----------------------------------------------------------------------
 
 
-def _atoms(text: str, a: int, b: int, size: int, separators: tuple[str, ...]) -> list[tuple[int, int, int]]:
-    """Ranges that tile ``[a, b)``, each of ``size`` tokens at most, cut at the coarsest separator that does it."""
-    starts = py_token_starts(text[a:b])
-    n = len(starts) - 1
-    if n <= size:
-        return [(a, b, n)] if b > a else []
-    for level, sep in enumerate(separators):
-        cuts = [a]
-        at = text.find(sep, a, b)
-        while at >= 0:
-            cuts.append(at + len(sep))
-            at = text.find(sep, at + len(sep), b)
-        if cuts[-1] < b:
-            cuts.append(b)
-        if len(cuts) > 2:
-            return [x for p, q in zip(cuts, cuts[1:]) for x in _atoms(text, p, q, size, separators[level + 1 :])]
-    return [(a + starts[i], a + starts[min(i + size, n)], min(i + size, n) - i) for i in range(0, n, size)]
+def _tokens_between(text: str, cuts: np.ndarray) -> np.ndarray:
+    return np.array([count_pieces(text[a:b]) for a, b in zip(cuts, cuts[1:])], dtype=np.int64)
+
+
+def atom_cuts(text: str, size: int, separators: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that cut ``text`` into atoms of ``size`` tokens at most, and the tokens of each.
+
+    One separator after the other cuts the parts that are still too large behind each
+    of its occurrences; what no separator makes small enough is cut by tokens.
+    """
+    cuts = np.array([0, len(text)] if text else [0])
+    tokens = _tokens_between(text, cuts)
+    for separator in separators:
+        if not (tokens > size).any():
+            return cuts, tokens
+        ends = np.array([m.end() for m in re.finditer(re.escape(separator), text)], dtype=np.int64)
+        part = np.searchsorted(cuts, ends - len(separator), side="right") - 1
+        ends = ends[(tokens[part] > size) & (ends <= cuts[part + 1])]
+        fresh = np.union1d(cuts, ends)
+        if len(fresh) > len(cuts):
+            cuts, tokens = fresh, _tokens_between(text, fresh)
+    more = [cuts]
+    for i in np.flatnonzero(tokens > size):
+        more.append(cuts[i] + np.array(py_token_starts(text[cuts[i] : cuts[i + 1]])[size:-1:size]))
+    if len(more) > 1:
+        cuts = np.union1d(cuts, np.concatenate(more[1:])).astype(np.int64)
+        tokens = _tokens_between(text, cuts)
+    return cuts, tokens
 
 
 def recursive_spans(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[tuple]:
-    """Atoms merged greedily up to ``size`` tokens; each span repeats whole atoms of the one before, ``overlap`` tokens at most."""
-    atoms = _atoms(text, 0, len(text), size, separators)
-    spans, first = [], 0
-    while first < len(atoms):
-        last, total = first, 0
-        while last < len(atoms) and (last == first or total + atoms[last][2] <= size):
-            total += atoms[last][2]
-            last += 1
-        spans.append((atoms[first][0], atoms[last - 1][1], total, None))
-        if last == len(atoms):
-            break
-        back, nxt = 0, last
-        while nxt - 1 > first and back + atoms[nxt - 1][2] <= overlap:
-            nxt -= 1
-            back += atoms[nxt][2]
-        first = nxt
-    return spans
+    """As many atoms at a time as ``size`` tokens hold; whole atoms of ``overlap`` tokens at most are repeated."""
+    cuts, tokens = atom_cuts(text, size, separators)
+    upto, first = _upto(tokens), np.arange(len(tokens))
+    last = np.maximum(np.searchsorted(upto, upto[:-1] + size, side="right") - 1, first + 1)
+    back = np.searchsorted(upto, upto[last] - overlap, side="left")
+    return [(int(cuts[a]), int(cuts[b]), int(upto[b] - upto[a]), None) for a, b in _follow(last, np.maximum(back, first + 1))]
 
 
 def recursive(content: Column, chunk_size: int = 512, overlap: int | str = 64, separators: tuple[str, ...] = SEPARATORS) -> Column:
@@ -176,19 +189,13 @@ def recursive(content: Column, chunk_size: int = 512, overlap: int | str = 64, s
 
 
 def seam_groups(sentences: list[tuple[int, int, int]], distances: list[float], threshold: float | None, cap: int) -> list[tuple]:
-    """Sentences grouped: a group closes after a distance of ``threshold`` or more, or before the cap is exceeded."""
-    spans, first, tokens = [], 0, 0
-    for i, (_, _, size) in enumerate(sentences):
-        if i > first and tokens + size > cap:
-            spans.append((sentences[first][0], sentences[i - 1][1], tokens, i - first))
-            first, tokens = i, 0
-        tokens += size
-        if threshold is not None and i < len(distances) and distances[i] >= threshold:
-            spans.append((sentences[first][0], sentences[i][1], tokens, i + 1 - first))
-            first, tokens = i + 1, 0
-    if first < len(sentences):
-        spans.append((sentences[first][0], sentences[-1][1], tokens, len(sentences) - first))
-    return spans
+    """Sentences between seams, which are distances of ``threshold`` or more, in runs of ``cap`` tokens at most."""
+    n = len(sentences)
+    upto, first = _upto([size for _, _, size in sentences]), np.arange(n)
+    seams = np.flatnonzero(np.asarray(distances[: max(n - 1, 0)]) >= threshold) + 1 if threshold is not None else np.empty(0, np.int64)
+    stops = np.append(seams, n)
+    last = np.minimum(stops[np.searchsorted(stops, first, side="right")], np.maximum(np.searchsorted(upto, upto[:-1] + cap, side="right") - 1, first + 1)) if n else first
+    return [(sentences[a][0], sentences[b - 1][1], int(upto[b] - upto[a]), b - a) for a, b in _follow(last, last)]
 
 
 def seam_threshold(distances: list[float], percentile: float) -> float | None:
@@ -261,10 +268,12 @@ CHUNKERS: dict[str, ChunkerSpec] = {
 }
 
 
+# Words that switch an option on.
+SWITCHED_ON = {"1", "true", "yes", "on"}
+
+
 def _coerce(text: str, like: Any) -> Any:
-    if isinstance(like, bool):
-        return text.strip().lower() in ("1", "true", "yes", "on")
-    return type(like)(text)
+    return text.strip().lower() in SWITCHED_ON if isinstance(like, bool) else type(like)(text)
 
 
 def parse_chunker(spec: str) -> tuple[ChunkerSpec, dict[str, Any]]:
