@@ -14,10 +14,14 @@ def pool_depth(k: int, pool: int = POOL) -> int:
 
 
 def minmax(rankings: DataFrame, keys: list[str], score: str = "score", out: str = "normalized") -> DataFrame:
-    """``rankings`` with each score's place between the least and most of its ``keys``; 1 where all are equal."""
-    w = Window.partitionBy(*keys)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return rankings.withColumn(out, F.when(high == low, F.lit(1.0)).otherwise((F.col(score) - low) / F.nullif(high - low, F.lit(0.0))))
+    """``rankings`` with each score's place between the least and most of its ``keys``; 1 where all are equal.
+
+    The bounds are aggregated and joined back, so that a large group isn't brought together.
+    """
+    bounds = rankings.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min(score).alias("__low"), F.max(score).alias("__high"))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    placed = F.when(F.col("__high") == F.col("__low"), F.lit(1.0)).otherwise((F.col(score) - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0)))
+    return rankings.join(bounds, on).select(*[c for c in rankings.columns if c != out], placed.alias(out))
 
 
 def _ranked(scores: DataFrame, k: int, query_id: str, item: str) -> DataFrame:

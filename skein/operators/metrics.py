@@ -16,23 +16,26 @@ def ideal_gain(n: Column, k: int) -> Column:
     return total
 
 
-def query_metrics(rankings: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+def query_metrics(rankings: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = KS, by: list[str] | None = None) -> DataFrame:
     """``query_id``, ``mrr`` and ``hit_rate_at_k, precision_at_k, coverage_at_k, ndcg_at_k`` for each k.
 
     ``rankings(query_id, chunk_id, rank)``, ``relevant(query_id, chunk_id)``. A query
     without results has zeros; a query without relevant chunks no row. A chunk counts
     once in a ranking, at its best rank. Precision divides by k, not by what came back.
+    With ``by``, columns of ``rankings`` without nulls, each of their values is a ranking
+    of its own, in which those queries count that have results there.
     """
+    keys = [*(by or []), "query_id"]
     rel = relevant.select("query_id", "chunk_id").filter("query_id is not null and chunk_id is not null").distinct()
-    once = rankings.filter("rank is not null").groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"))
-    found = rel.join(once, ["query_id", "chunk_id"], "left")
+    once = rankings.filter("rank is not null").groupBy(*keys, "chunk_id").agg(F.min("rank").alias("rank"))
+    found = (once.select(*keys).distinct().join(rel, "query_id") if by else rel).join(once, [*keys, "chunk_id"], "left")
     rank = F.col("rank")
     aggs = [F.count(F.lit(1)).alias("__n"), F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("mrr")]
     for k in ks:
         aggs.append(F.count_if(rank <= k).alias(f"__h{k}"))
         aggs.append(F.coalesce(F.sum(F.when(rank <= k, 1.0 / F.log2(rank + 1.0))), F.lit(0.0)).alias(f"__g{k}"))
-    rows = found.groupBy("query_id").agg(*aggs)
-    out = ["query_id", F.round("mrr", 6).alias("mrr")]
+    rows = found.groupBy(*keys).agg(*aggs)
+    out = [*keys, F.round("mrr", 6).alias("mrr")]
     for k in ks:
         hits = F.col(f"__h{k}")
         out += [

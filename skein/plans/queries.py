@@ -19,7 +19,7 @@ from ..schema import blank_to_null
 from ..sources.tables import read_table
 from ..streaming import ingest
 from . import experiments as X
-from .runs import USAGE_PRICES, runs_sql, runs_table
+from .runs import runs_sql, runs_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,9 +49,9 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "chunks").dropDuplicates(["chunk_id"])
 
 
-def windows(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of the first chunker, to which the SQL of its queries keeps, too."""
-    return chunks(spark, d).filter(F.col("chunk_id").contains(":fs:"))
+def by_chunker(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with a chunker that isn't null, as each has an index of its own."""
+    return chunks(spark, d).withColumn("chunker", F.coalesce("chunker", F.lit("")))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,6 @@ def top_scored(spark: SparkSession, d: str, k: int, kind: str | None = None) ->
 
 _PAPERS = "papers_ AS (SELECT DISTINCT document_id, paper_id, source, content FROM papers)"
 _CHUNKS = "chunks_ AS (SELECT DISTINCT ON (chunk_id) * FROM chunks)"
-_WINDOWS = "windows_ AS (SELECT DISTINCT ON (chunk_id) * FROM chunks WHERE contains(chunk_id, ':fs:'))"
 _VECTORS = "vectors_ AS (SELECT DISTINCT ON (chunk_id) * FROM chunk_vectors WHERE len(embedding) = 96)"
 _ASKED = "asked_ AS (SELECT DISTINCT query_id, query FROM queries WHERE query IS NOT NULL AND CAST(substr(query_id, 2) AS INT) % 20 = 0)"
 _SCORED = "scored_ AS (SELECT query_id, lower(trim(retriever_type)) AS retriever_type, chunk_id, max(score) AS score FROM rankings WHERE query_id IS NOT NULL AND isfinite(score) GROUP BY ALL)"
@@ -367,33 +366,33 @@ def bm25_tokens_stemmed(spark: SparkSession, d: str) -> DataFrame:
 
 
 _INDEX = (
-    f"{_WINDOWS}, t AS (SELECT chunk_id, {_terms('content')} AS ts FROM windows_), o AS (SELECT chunk_id, unnest(CASE WHEN len(ts) > 0 THEN ts ELSE ['<empty>'] END) AS term FROM t), "
-    "tf AS (SELECT chunk_id, term, count(*) AS tf FROM o GROUP BY ALL), dl AS (SELECT chunk_id, sum(tf) AS dl FROM tf GROUP BY ALL), size AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), "
-    "df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), raw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS w, avgdl FROM df, size), "
-    "idf AS (SELECT term, df, CASE WHEN w < 0 THEN 0.25 * (SELECT avg(w) FROM raw) ELSE w END AS idf, avgdl FROM raw)"
+    f"{_CHUNKS}, t AS (SELECT coalesce(chunker, '') AS chunker, chunk_id, {_terms('content')} AS ts FROM chunks_), o AS (SELECT chunker, chunk_id, unnest(CASE WHEN len(ts) > 0 THEN ts ELSE ['<empty>'] END) AS term FROM t), "
+    "tf AS (SELECT chunker, chunk_id, term, count(*) AS tf FROM o GROUP BY ALL), dl AS (SELECT chunker, chunk_id, sum(tf) AS dl FROM tf GROUP BY ALL), size AS (SELECT chunker, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY ALL), "
+    "df AS (SELECT chunker, term, count(*) AS df FROM tf GROUP BY ALL), raw AS (SELECT chunker, term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS w, avgdl FROM df JOIN size USING (chunker)), "
+    "mean AS (SELECT chunker, avg(w) AS mean FROM raw GROUP BY ALL), idf AS (SELECT chunker, term, df, CASE WHEN w < 0 THEN 0.25 * mean ELSE w END AS idf, avgdl FROM raw JOIN mean USING (chunker))"
 )
 
 
-@query(f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf WHERE term <> '<empty>'")
+@query(f"WITH {_INDEX} SELECT chunker, term, df, round(idf, 6) AS idf FROM idf WHERE term <> '<empty>'")
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
-    w = lexical.fit(windows(spark, d), stem=False).weights
-    return w.select("term", "df", F.round("idf", 6).alias("idf"))
+    w = lexical.fit(by_chunker(spark, d), stem=False, group="chunker").weights
+    return w.select("chunker", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(
     f"WITH {_INDEX}, {_ASKED}, q AS (SELECT query_id, term, count(*) AS m FROM (SELECT query_id, unnest({_terms('query')}) AS term FROM asked_) GROUP BY ALL), "
-    "s AS (SELECT query_id, chunk_id, round(sum(m * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (chunk_id) GROUP BY ALL), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, score FROM r WHERE rank <= 5 AND score > 0"
+    "s AS (SELECT query_id, chunker, chunk_id, round(sum(m * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN idf USING (term) JOIN tf USING (chunker, term) JOIN dl USING (chunker, chunk_id) GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunker ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunker, CAST(rank AS INT) AS rank, chunk_id, score FROM r WHERE rank <= 5 AND score > 0"
 )
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.search(lexical.fit(windows(spark, d), stem=False), asked(spark, d), 5)
+    """The best chunks of every chunker, each with an index of its own."""
+    return lexical.search(lexical.fit(by_chunker(spark, d), stem=False, group="chunker"), asked(spark, d), 5)
 
 
 @query()
 def bm25_topk_stemmed(spark: SparkSession, d: str) -> DataFrame:
     """The best chunks of every chunker, each with an index of its own."""
-    rows = chunks(spark, d).withColumn("chunker", F.coalesce("chunker", F.lit("")))
-    return lexical.search(lexical.fit(rows, stem=True, group="chunker"), asked(spark, d), 5)
+    return lexical.search(lexical.fit(by_chunker(spark, d), stem=True, group="chunker"), asked(spark, d), 5)
 
 
 @query(
@@ -523,6 +522,7 @@ def answer_extractive(spark: SparkSession, d: str) -> DataFrame:
     return A.extractive_answer(_passages(spark, d, 3))
 
 
+USAGE_PRICES = [("small", 0.4, 0.1, 1.6), ("medium", 2.5, None, 10.0), ("large", 10.0, 2.5, 40.0)]
 _PRICES = "prices_(model, pin, pcached, pout) AS (VALUES " + ", ".join(f"('{m}', {i}::DOUBLE, {'NULL' if c is None else c}::DOUBLE, {o}::DOUBLE)" for m, i, c, o in USAGE_PRICES) + ")"
 
 
@@ -569,7 +569,7 @@ def judge_means(spark: SparkSession, d: str) -> DataFrame:
 
 def _starts(spark: SparkSession, d: str) -> DataFrame:
     """Where the sections of every document start, by the chunks labelled with them."""
-    c = windows(spark, d).filter("end_char > start_char")
+    c = chunks(spark, d).filter("end_char > start_char")
     n = papers(spark, d).filter("content is not null").select("document_id", F.length("content").alias("n"))
     rows = c.select("document_id", "paper_id", "start_char", F.explode("section_indices").alias("section_index"))
     starts = rows.groupBy("document_id", "paper_id", "section_index").agg(F.min("start_char").alias("start_char"), F.count(F.lit(1)).cast("int").alias("probe_hits"))
@@ -577,7 +577,7 @@ def _starts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TILES = (
-    f"{_WINDOWS}, {_PAPERS}, r AS (SELECT document_id, paper_id, start_char, unnest(section_indices) AS section_index FROM windows_ WHERE end_char > start_char), "
+    f"{_CHUNKS}, {_PAPERS}, r AS (SELECT document_id, paper_id, start_char, unnest(section_indices) AS section_index FROM chunks_ WHERE end_char > start_char), "
     "b AS (SELECT document_id, r.paper_id, section_index, min(start_char) AS start_char, CAST(count(*) AS INT) AS probe_hits FROM r GROUP BY ALL), "
     "tiles_ AS (SELECT document_id, b.paper_id, section_index, start_char, CAST(coalesce(lead(start_char) OVER (PARTITION BY document_id ORDER BY start_char, section_index), len(content)) AS INT) AS end_char, probe_hits FROM b JOIN papers_ p USING (document_id) WHERE content IS NOT NULL)"
 )
@@ -588,7 +588,7 @@ def section_tiling(spark: SparkSession, d: str) -> DataFrame:
     return relevance.tile_sections(_starts(spark, d))
 
 
-_OVERLAP = f"{_TILES}, {_CHUNKS}, overlap_ AS (SELECT c.chunk_id, c.paper_id, list_sort(list(DISTINCT t.section_index) FILTER (t.section_index IS NOT NULL)) AS found FROM chunks_ c LEFT JOIN tiles_ t ON t.document_id = c.document_id AND c.start_char < t.end_char AND c.end_char > t.start_char GROUP BY ALL)"
+_OVERLAP = f"{_TILES}, overlap_ AS (SELECT c.chunk_id, c.paper_id, list_sort(list(DISTINCT t.section_index) FILTER (t.section_index IS NOT NULL)) AS found FROM chunks_ c LEFT JOIN tiles_ t ON t.document_id = c.document_id AND c.start_char < t.end_char AND c.end_char > t.start_char GROUP BY ALL)"
 
 
 @query(f"WITH {_OVERLAP} SELECT chunk_id, coalesce(array_to_string(found, ','), '') AS sections FROM overlap_")
@@ -622,7 +622,7 @@ def probes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_TILES}, {_CHUNKS}, o AS (SELECT chunk_id, paper_id, section_indices AS x FROM chunks_), secs AS (SELECT DISTINCT doc_id AS paper_id, section_id FROM qrels), p AS (SELECT DISTINCT paper_id FROM papers), "
+    f"WITH {_TILES}, o AS (SELECT chunk_id, paper_id, section_indices AS x FROM chunks_), secs AS (SELECT DISTINCT doc_id AS paper_id, section_id FROM qrels), p AS (SELECT DISTINCT paper_id FROM papers), "
     "q AS (SELECT (SELECT count(*) FROM p) AS papers, (SELECT count(*) FROM p WHERE paper_id NOT IN (SELECT paper_id FROM secs WHERE paper_id IS NOT NULL)) AS missing, (SELECT count(*) FROM secs WHERE paper_id IN (SELECT paper_id FROM p)) AS sections_total, (SELECT count(*) FROM tiles_) AS sections_located, (SELECT count(*) FROM tiles_ WHERE probe_hits <= 2) AS sections_weak, "
     "(SELECT count(*) FROM (SELECT DISTINCT paper_id, unnest(x) FROM o)) AS sections_with_chunks, (SELECT count(*) FROM o) AS chunks_total, (SELECT count(*) FROM o WHERE len(x) > 0) AS chunks_labelled, (SELECT count(*) FROM o WHERE len(x) > 1) AS chunks_multi) "
     "SELECT *, round(coalesce(sections_located / nullif(sections_total, 0), 0), 6) AS located_ratio, round(coalesce(chunks_labelled / nullif(chunks_total, 0), 0), 6) AS labelled_ratio FROM q"
@@ -726,7 +726,7 @@ def grid_expand(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + runs_sql() + " SELECT chunker || '__' || embedder AS index_id, count(DISTINCT retriever) AS cells, string_agg(DISTINCT retriever, ',' ORDER BY retriever) AS retrievers FROM runs_ GROUP BY ALL")
 def grid_groups(spark: SparkSession, d: str) -> DataFrame:
-    rows = runs_table(spark).groupBy(F.concat_ws("__", "chunker", "embedder").alias("index_id"))
+    rows = runs_table(spark, d).groupBy(F.concat_ws("__", "chunker", "embedder").alias("index_id"))
     return rows.agg(F.count_distinct("retriever").alias("cells"), F.array_join(F.array_sort(F.collect_set("retriever")), ",").alias("retrievers"))
 
 
@@ -739,45 +739,45 @@ _DERIVED = (
 )
 
 
-def _runs(spark: SparkSession) -> DataFrame:
-    return X.latest(X.derive(X.valid(runs_table(spark))))
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return X.latest(X.derive(X.valid(runs_table(spark, d)))).persist()  # a row a configuration, read several times
 
 
 @query(f"WITH {_VALID} SELECT path, config_id, num_queries FROM valid_")
 def runs_valid(spark: SparkSession, d: str) -> DataFrame:
-    return X.valid(runs_table(spark)).select("path", "config_id", "num_queries")
+    return X.valid(runs_table(spark, d)).select("path", "config_id", "num_queries")
 
 
 @query(f"WITH {_DERIVED} SELECT path, alpha, fusion, label, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM derived_")
 def runs_derived(spark: SparkSession, d: str) -> DataFrame:
-    return X.derive(X.valid(runs_table(spark))).select("path", "alpha", "fusion", "label", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    return X.derive(X.valid(runs_table(spark, d))).select("path", "alpha", "fusion", "label", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
 @query(f"WITH {_DERIVED} SELECT experiment, config_id, path FROM latest_")
 def latest_runs(spark: SparkSession, d: str) -> DataFrame:
-    return _runs(spark).select("experiment", "config_id", "path")
+    return _runs(spark, d).select("experiment", "config_id", "path")
 
 
 @query(f"WITH {_DERIVED} SELECT experiment, count(DISTINCT alpha) AS alphas FROM latest_ WHERE experiment <> '' AND alpha IS NOT NULL GROUP BY ALL HAVING count(DISTINCT alpha) > 1")
 def sweeps(spark: SparkSession, d: str) -> DataFrame:
-    return X.sweeps(_runs(spark))
+    return X.sweeps(_runs(spark, d))
 
 
 @query(f"WITH {_DERIVED} SELECT metric FROM metric_ GROUP BY ALL HAVING count(DISTINCT path) = (SELECT count(DISTINCT path) FROM latest_)")
 def available_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return X.common_metrics(_runs(spark))
+    return X.common_metrics(_runs(spark, d))
 
 
 @query(f"WITH {_DERIVED}, a AS (UNPIVOT (SELECT path, chunker, embedder, retriever FROM latest_) ON chunker, embedder, retriever INTO NAME axis VALUE axis_value) SELECT axis, count(DISTINCT axis_value) AS choices FROM a GROUP BY ALL HAVING count(DISTINCT axis_value) > 1")
 def varying_axes(spark: SparkSession, d: str) -> DataFrame:
-    return X.varying_axes(_runs(spark))
+    return X.varying_axes(_runs(spark, d))
 
 
 @query(
     f"WITH {_DERIVED}, b AS (SELECT label, means['ndcg@5'] AS value, ts, path FROM latest_ WHERE means['ndcg@5'] IS NOT NULL), lo AS (SELECT 'baseline' AS role, label, value FROM b ORDER BY value, ts NULLS LAST, path LIMIT 1), hi AS (SELECT 'best' AS role, label, value FROM b ORDER BY value DESC, ts NULLS LAST, path LIMIT 1) SELECT * FROM lo UNION ALL SELECT * FROM hi"
 )
 def baseline_vs_best(spark: SparkSession, d: str) -> DataFrame:
-    return X.baseline_and_best(_runs(spark), "ndcg@5")
+    return X.baseline_and_best(_runs(spark, d), "ndcg@5")
 
 
 _GRID = _DERIVED + ", grid_ AS (SELECT * FROM latest_ WHERE experiment NOT IN (SELECT experiment FROM latest_ WHERE experiment <> '' AND alpha IS NOT NULL GROUP BY ALL HAVING count(DISTINCT alpha) > 1)), cell_ AS (SELECT label, chunker, embedder, retriever, unnest(map_keys(means)) AS metric, unnest(map_values(means)) AS value FROM grid_)"
@@ -786,23 +786,23 @@ _HEAT = ", ".join(f"'{m}'" for m in X.HEATMAP)
 
 @query(f"WITH {_GRID}, h AS (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi FROM cell_ WHERE metric IN ({_HEAT}) WINDOW w AS (PARTITION BY metric)) SELECT label, metric, value, round(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0.5 END, 6) AS shade FROM h")
 def heatmap(spark: SparkSession, d: str) -> DataFrame:
-    return X.heatmap(X.without_sweeps(_runs(spark)))
+    return X.heatmap(X.without_sweeps(_runs(spark, d)))
 
 
 @query(f"WITH {_GRID} SELECT label, " + ", ".join(f"max(value) FILTER (metric = '{m}') AS {m.replace('@', '_at_')}" for m in X.HEATMAP) + " FROM cell_ GROUP BY label")
 def heatmap_wide(spark: SparkSession, d: str) -> DataFrame:
-    return X.heatmap_wide(X.without_sweeps(_runs(spark)))
+    return X.heatmap_wide(X.without_sweeps(_runs(spark, d)))
 
 
 @query(f"WITH {_GRID}, a AS (UNPIVOT (SELECT chunker, embedder, retriever, value FROM cell_ WHERE metric = 'ndcg@5') ON chunker, embedder, retriever INTO NAME axis VALUE axis_value), m AS (SELECT axis, axis_value, round(avg(value), 6) AS mean FROM a GROUP BY ALL) SELECT axis, axis_value, mean, round(max(mean) OVER (PARTITION BY axis) - min(mean) OVER (PARTITION BY axis), 6) AS spread FROM m")
 def dimension_impact(spark: SparkSession, d: str) -> DataFrame:
-    return X.axis_impact(X.without_sweeps(_runs(spark)))
+    return X.axis_impact(X.without_sweeps(_runs(spark, d)))
 
 
-@query(f"WITH {_GRID}, a AS (SELECT metric, value FROM cell_ WHERE label = 'fixed_size:512:128 | minilm | dense'), b AS (SELECT metric, value FROM cell_ WHERE label = 'sentence:5:1 | mpnet | hybrid:0.5') SELECT metric, a.value AS before, b.value AS after, round(b.value - a.value, 6) AS delta FROM a JOIN b USING (metric)")
+@query(f"WITH {_GRID}, a AS (SELECT metric, value FROM cell_ WHERE label = 'fixed_size:128:25% | minilm | dense'), b AS (SELECT metric, value FROM cell_ WHERE label = 'fixed_size:128:25% | mpnet | hybrid:0.5') SELECT metric, a.value AS before, b.value AS after, round(b.value - a.value, 6) AS delta FROM a JOIN b USING (metric)")
 def before_after(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.without_sweeps(_runs(spark))
-    return X.before_after(rows.filter("label = 'fixed_size:512:128 | minilm | dense'"), rows.filter("label = 'sentence:5:1 | mpnet | hybrid:0.5'"))
+    rows = X.without_sweeps(_runs(spark, d))
+    return X.before_after(rows.filter("label = 'fixed_size:128:25% | minilm | dense'"), rows.filter("label = 'fixed_size:128:25% | mpnet | hybrid:0.5'"))
 
 
 @query(f"WITH {_JUDGED} SELECT substr(query_id, len(query_id)) AS label, round(avg(relevance), 6) AS relevance, round(avg(accuracy), 6) AS accuracy, round(avg(completeness), 6) AS completeness, round(avg(citation_quality), 6) AS citation_quality FROM judged_ GROUP BY ALL")
@@ -821,7 +821,7 @@ def latency_quantiles(spark: SparkSession, d: str) -> DataFrame:
     "p AS (SELECT fusion, alpha, metric, value FROM metric_ JOIN c USING (chunker, embedder) WHERE alpha IS NOT NULL AND metric IN ('ndcg@5', 'hit_rate@5', 'mrr')) SELECT *, row_number() OVER (PARTITION BY fusion, metric ORDER BY value DESC, alpha) = 1 AS peak FROM p"
 )
 def alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return X.alpha_sweep(_runs(spark))
+    return X.alpha_sweep(_runs(spark, d))
 
 
 # --- events and the star schema --------------------------------------------------------

@@ -4,12 +4,33 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from skein import schema
 from skein.plans import config, experiments
-from skein.plans.runs import run_rows, runs_table
 from skein.sources import tables
 from skein.streaming import ingest
 
 
+def run_rows():
+    """One run of each cell, a second of some, one without metrics, one in an unnamed experiment."""
+    rows = []
+    for experiment, data in (("grid_12", config.GRID_12), ("alpha_sweep", config.ALPHA_SWEEP)):
+        for i, c in enumerate(config.expand_grid(data)):
+            for again in range(1 + (i % 4 == 0)):
+                base = round(0.4 + 0.03 * ((i * 7 + again) % 11), 4)
+                means = {"hit_rate@1": base, "hit_rate@3": round(base + 0.1, 4), "hit_rate@5": round(base + 0.15, 4), "hit_rate@10": round(base + 0.2, 4), "mrr": round(base + 0.05, 4), "ndcg@5": round(base - 0.02, 4), "precision@5": 0.25, "coverage@5": round(base / 2, 4)}
+                if i % 5 == 2:
+                    means["extra"] = 1.0
+                rows.append((f"experiments/2026080{1 + again}_10{i:02d}00_{c.id}.json", experiment, c.id, c.chunker.spec, c.embedder.spec, c.retriever.spec, 450 + i, 7.5 + i, means, [1.0 + i, 2.0 + i]))
+    rows.append(("experiments/20260101_000000_empty.json", "grid_12", "empty", "sentence:5:1", "minilm", "dense", 0, 0.0, {}, []))
+    rows.append(("experiments/handmade.json", "", "handmade", "recursive:512:64", "minilm", "hybrid", 100, 3.0, {"mrr": 0.5, "ndcg@5": 0.9}, []))
+    return rows
+
+
+def runs_table(spark):
+    """The runs in the schema ``RUNS``."""
+    return spark.createDataFrame(run_rows(), schema.RUNS)
+
+
 def test_config():
     cells = config.expand_grid(config.GRID_12)
     assert len(cells) == 12 and len(config.group_by_index(cells)) == 6 and cells[0].top_k == 10
