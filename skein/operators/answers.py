@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import passage_label, snippet
+from ..registry import Registry
+from ..shared import small
 
 # Lengths, bounds of markers, and answers that need no model.
 PASSAGE_CHARS, SNIPPET_CHARS, WIDEST_RANGE, LAST_PASSAGE, LOW_CITATIONS = 5000, 300, 10, 100, 3.5
@@ -111,6 +113,62 @@ def model_column(prompt: Column, model: Callable[[str], str]) -> Column:
     return ask(prompt)
 
 
+def metered(prompt: Column, model: Callable[[str], tuple[str, int, int, int]], **retries) -> Column:
+    """``STRUCT<answer, input_tokens, cached_tokens, output_tokens>`` of a model that counts; cached tokens aren't counted as input again."""
+    ask = with_retries(model, **retries)
+
+    @F.pandas_udf("answer string, input_tokens bigint, cached_tokens bigint, output_tokens bigint")
+    def call(prompts: pd.Series) -> pd.DataFrame:
+        rows = [(None, 0, 0, 0) if p is None else ask(p) for p in prompts]
+        return pd.DataFrame([(a, max(i - c, 0), c, o) for a, i, c, o in rows], columns=["answer", "input_tokens", "cached_tokens", "output_tokens"])
+
+    return call(prompt)
+
+
+def usage_totals(usage: DataFrame, key: str = "model") -> DataFrame:
+    """``key, calls`` and the sums of tokens."""
+    return usage.groupBy(key).agg(F.count(F.lit(1)).alias("calls"), *[F.sum(c).alias(c) for c in ("input_tokens", "cached_tokens", "output_tokens")])
+
+
+#: Language models, factories of ``prompt -> answer``; none is shipped, a user registers them.
+LANGUAGE_MODELS: Registry = Registry("language model")
+
+
+def get_model(name: str) -> Callable[[str], str]:
+    """A language model by ``name`` or ``name:version``."""
+    head, _, version = name.partition(":")
+    make = LANGUAGE_MODELS.named(head)
+    return make(version) if version else make()
+
+
+def checked_question(question: str) -> str:
+    """A question that isn't blank, without outer white space."""
+    if not question or not question.strip():
+        raise ValueError("the question is empty")
+    return question.strip()
+
+
+NO_PASSAGES = "(no passages were retrieved)"
+JUDGE_TEMPLATE = "Question:\n{question}\n\nPassages:\n{context}\n\nAnswer:\n{answer}\n{reference}\nGive JSON with " + ", ".join(JUDGED) + " from 1 to 5 and a rationale."
+
+
+def judge_prompts(answers: DataFrame, contexts: DataFrame, references: DataFrame | None = None, template: str = JUDGE_TEMPLATE) -> DataFrame:
+    """``query_id, prompt``: what a judge is asked about each answer, with the passages that it was made from.
+
+    ``answers(query_id, query, answer)``, ``contexts(query_id, context)`` as ``build_context``
+    gives them, ``references(query_id, reference)``; without a reference its block is left out.
+    """
+    rows = answers.join(contexts, "query_id", "left")
+    rows = rows.join(references, "query_id", "left") if references is not None else rows.withColumn("reference", F.lit(None).cast("string"))
+    block = F.when(F.col("reference").isNotNull(), F.concat(F.lit("\nReference answer:\n"), "reference", F.lit("\n"))).otherwise(F.lit(""))
+    return rows.select("query_id", render(template, question=F.col("query"), context=F.coalesce("context", F.lit(NO_PASSAGES)), answer=F.col("answer"), reference=block).alias("prompt"))
+
+
+def judge(prompts: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """The marks that ``model`` gives, as in ``judge_scores``."""
+    return judge_scores(prompts.select("query_id", model_column(F.col("prompt"), model).alias("raw")))
+
+
 def render(template: str, **fields: Column) -> Column:
     """``template`` with ``{name}`` replaced by columns."""
     out: Column = F.lit(template)
@@ -149,7 +207,7 @@ def judge_means(scores: DataFrame) -> DataFrame:
 
 def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """``usage(model, input_tokens, cached_tokens, output_tokens)`` with ``cost_usd``; null for unknown models."""
-    p = F.broadcast(prices)  # a price list
+    p = small(prices)
     cached = F.coalesce("cached_input_per_1m", "input_per_1m")
     usd = (F.col("input_tokens") * F.col("input_per_1m") + F.col("cached_tokens") * cached + F.col("output_tokens") * F.col("output_per_1m")) / 1e6
     return usage.join(p, "model", "left").withColumn("cost_usd", usd).drop("input_per_1m", "cached_input_per_1m", "output_per_1m")

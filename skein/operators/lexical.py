@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem_terms
 from ..functions.text import lexical_terms
+from ..shared import stage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -32,7 +33,7 @@ def term_rows(rows: DataFrame, id_col: str, text: str, stem: bool = True) -> Dat
     return stem_terms(flat) if stem else flat
 
 
-def fit(rows: DataFrame, id_col: str = "chunk_id", text: str = "content", k1: float = K1, b: float = B, stem: bool = True, epsilon: float = EPSILON, group: str | None = None) -> LexicalIndex:
+def fit(rows: DataFrame, id_col: str = "chunk_id", text: str = "content", k1: float = K1, b: float = B, stem: bool = True, epsilon: float = EPSILON, group: str | None = None, staged: bool = True) -> LexicalIndex:
     """Index of the texts of ``rows``, whose ids are unique.
 
     Inverse document frequency is ``ln(n - df + 0.5) - ln(df + 0.5)``; where that is
@@ -40,6 +41,7 @@ def fit(rows: DataFrame, id_col: str = "chunk_id", text: str = "content", k1: fl
     as one occurrence of a term that no query has. Everything comes from one table
     of counts, in which a document's length and its first term travel along. Each value
     of the column ``group`` (few values, none null) has an index and statistics of its own.
+    That table is ``staged`` in the shared folder, so texts are cut into terms once.
     """
     by = [group] if group else []
     terms = rows.select(id_col, *by, F.coalesce(lexical_terms(F.col(text)), F.array().cast("array<string>")).alias("ts"))
@@ -47,6 +49,7 @@ def fit(rows: DataFrame, id_col: str = "chunk_id", text: str = "content", k1: fl
     if stem:
         flat = stem_terms(flat.filter("term is not null")).unionByName(flat.filter("term is null"))
     counts = flat.groupBy(id_col, *by, "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("heads"))
+    counts = stage(counts) if staged else counts
     postings = counts.filter("term is not null").select(*by, "term", id_col, "tf", "dl")
     empty = F.count_if(F.col("term").isNull())
     size = counts.groupBy(*by).agg(F.sum("heads").alias("n"), empty.alias("empty"), (F.sum(F.when(F.col("term").isNotNull(), F.col("tf")).otherwise(1)) / F.sum("heads")).alias("avgdl"))
@@ -60,6 +63,27 @@ def fit(rows: DataFrame, id_col: str = "chunk_id", text: str = "content", k1: fl
     return LexicalIndex(postings, weights, id_col, k1, b, stem, group)
 
 
+def tuned(index: LexicalIndex, k1: float | None = None, b: float | None = None) -> LexicalIndex:
+    """``index`` with other parameters of its score; its tables stay."""
+    return replace(index, k1=index.k1 if k1 is None else k1, b=index.b if b is None else b)
+
+
+def write_index(index: LexicalIndex, path: str) -> None:
+    """Postings in ranges of terms (a frequent term may span files), weights, and the parameters."""
+    spark = index.postings.sparkSession
+    keys = [*([index.group] if index.group else []), "term", index.id_col]
+    index.postings.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{path}/postings")
+    index.weights.write.parquet(f"{path}/weights")
+    meta = (index.id_col, index.k1, index.b, index.stem, index.group, spark.read.parquet(f"{path}/postings").select(index.id_col).distinct().count())
+    spark.createDataFrame([meta], "id_col string, k1 double, b double, stem boolean, `group` string, texts bigint").coalesce(1).write.json(f"{path}/meta")
+
+
+def read_index(spark: SparkSession, path: str) -> LexicalIndex:
+    """An index written by ``write_index``; nothing is counted anew."""
+    m = spark.read.schema("id_col string, k1 double, b double, stem boolean, `group` string").json(f"{path}/meta").first()
+    return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/weights"), m.id_col, m.k1, m.b, m.stem, m["group"])
+
+
 def search(index: LexicalIndex, queries: DataFrame, k: int = 5, query_id: str = "query_id", query: str = "query") -> DataFrame:
     """``query_id, rank, id, score``: the ``k`` best chunks of each query, then only scores above 0.
 

@@ -80,3 +80,31 @@ def set_changes(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
     w, p = wanted.select(key).distinct().withColumn("w", F.lit(1)), present.select(key).distinct().withColumn("p", F.lit(1))
     both = w.join(p, key, "full_outer")
     return both.select(key, F.when(F.col("p").isNull(), "copied").when(F.col("w").isNull(), "removed").otherwise("kept").alias("change"))
+
+
+def evaluation_rows(rankings: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = KS, depth: int | None = None) -> DataFrame:
+    """``query_metrics`` with ``ranked``, the ids that came back for each query down to ``depth``, best first."""
+    top = rankings.filter((F.col("rank") <= (depth or max(ks))) & F.col("query_id").isNotNull())
+    ids = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("r"))  # depth rows a query
+    ids = ids.select("query_id", F.transform("r", lambda x: x["chunk_id"]).alias("ranked"))
+    return query_metrics(rankings, relevant, ks).join(ids, "query_id", "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>")))
+
+
+def summary_line(means: dict[str, float], queries: int, latency_ms: float | None = None) -> str:
+    """Measures of a run for people."""
+    parts = [f"{k}={v:.3f}" for k, v in means.items()]
+    return f"{queries} queries | " + " ".join(parts) + (f" | {latency_ms:.1f} ms a query" if latency_ms is not None else "")
+
+
+# Names of measures that are no words.
+ACRONYMS = ("mrr", "ndcg")
+
+
+def pretty(metric: Column) -> Column:
+    """A measure's name as a heading: ``hit_rate@5`` gives ``Hit Rate@5``."""
+    at = F.instr(metric, "@")
+    name = F.when(at > 0, F.substring(metric, F.lit(1), at - 1)).otherwise(metric)
+    heading = F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+    for word in ACRONYMS:
+        heading = F.replace(heading, F.lit(word.title()), F.lit(word.upper()))
+    return F.concat(heading, F.when(at > 0, F.substring(metric, at, F.length(metric))).otherwise(""))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lexical_terms
 from ..functions.vectors import sigmoid
+from ..registry import Registry
 
 #: Candidates fetched for each result kept.
 DEPTH_FACTOR = 4
@@ -37,15 +38,47 @@ def model_scorer(model: Callable[[list[str], list[str]], list[float]]) -> Callab
     return score
 
 
-SCORERS: dict[str, Callable[[Column, Column], Column]] = {"overlap": lexical_overlap}
+def patient(call: Callable, limited: Callable[[Exception], bool], wait: float = 60.0, tries: int = 5) -> Callable:
+    """``call``, tried again ``wait`` seconds after an error that says the rate is ``limited``; other errors pass."""
+
+    def ask(*args):
+        import time
+
+        for _ in range(tries - 1):
+            try:
+                return call(*args)
+            except Exception as e:
+                if not limited(e):
+                    raise
+                time.sleep(wait)
+        return call(*args)
+
+    return ask
+
+
+def hosted_scorer(service: Callable[[str, list[str]], list[float]], limited: Callable[[Exception], bool] = lambda e: "429" in str(e), wait: float = 60.0, tries: int = 5) -> Callable[[Column, Column], Column]:
+    """A pair scorer from a service of ``(query, contents) -> scores``, asked once for the contents of a query in a batch."""
+    ask = patient(service, limited, wait, tries)
+
+    def score(queries: list[str], contents: list[str]) -> list[float]:
+        out = [0.0] * len(queries)
+        for q in dict.fromkeys(queries):
+            at = [i for i, x in enumerate(queries) if x == q]
+            for i, s in zip(at, ask(q, [contents[i] for i in at])):
+                out[i] = s
+        return out
+
+    return model_scorer(score)
+
+
+SCORERS: Registry = Registry("reranker", {"overlap": lexical_overlap})
 
 
 def get_scorer(spec: str) -> Callable[[Column, Column], Column]:
-    """A scorer by ``name`` or ``name:model``; hosted models must be registered by the user."""
-    name = spec.partition(":")[0]
-    if name not in SCORERS:
-        raise ValueError(f"unknown reranker {name!r}; known: {', '.join(SCORERS)}")
-    return SCORERS[name]
+    """A scorer by ``name`` or ``name:model``; a model's factory is registered by the user and gets what follows the name."""
+    name, colon, model = spec.partition(":")
+    scorer = SCORERS.named(name)
+    return scorer(model) if colon else scorer
 
 
 def rerank(rankings: DataFrame, queries: DataFrame, chunks: DataFrame, k: int | None = None, scorer: Callable[[Column, Column], Column] = lexical_overlap) -> DataFrame:

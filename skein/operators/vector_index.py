@@ -2,41 +2,85 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..registry import Registry
+
 #: Numbers of a block of query vectors sent to the workers at once (64 MB of doubles).
 BLOCK_NUMBERS = 8_000_000
 
 
+_WORD = re.compile("[^ \t\r\n\f\v]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@lru_cache(maxsize=200_000)
+def _word_number(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:4])
+
+
 def hashing_embedder(width: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """The offline embedder: signed counts of hashed words. A model may take its place."""
-    import xxhash
+    """The offline embedder: signed counts of hashed words. A model may take its place.
+
+    Words lie between ASCII blanks, ASCII letters in lower case; the first 32 bits of
+    a word's MD5 give its place, and the first of them its sign.
+    """
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), width), dtype=np.float32)
         for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = xxhash.xxh3_64_intdigest(w)
-                out[i, h % width] += 1.0 if h >> 63 else -1.0
+            h = np.fromiter((_word_number(w) for w in _WORD.findall(t.translate(_LOWER))), np.int64)
+            np.add.at(out[i], h % width, np.where(h >> 31, 1.0, -1.0))
         return out
 
     return embed
 
 
-EMBEDDERS: dict[str, Callable[[], Callable[[list[str]], np.ndarray]]] = {"hashing": hashing_embedder}
+#: Short names of public models.
+MODELS = {"minilm": "sentence-transformers/all-MiniLM-L6-v2", "mpnet": "sentence-transformers/all-mpnet-base-v2"}
+
+
+def sentence_model(name: str, batch: int = 64) -> Callable[[list[str]], np.ndarray]:
+    """An embedder by a sentence-transformers model, loaded once in each worker; vectors as the model gives them."""
+
+    def embed(texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.empty((0, 0), dtype=np.float32)
+        return np.asarray(_loaded_model(MODELS.get(name, name)).encode(texts, batch_size=batch, normalize_embeddings=False, show_progress_bar=False), dtype=np.float32)
+
+    return embed
+
+
+@lru_cache(maxsize=1)
+def _loaded_model(name: str):
+    try:
+        from sentence_transformers import SentenceTransformer
+    except ImportError as e:
+        raise RuntimeError(f"the embedder {name!r} needs the package sentence-transformers on every worker; 'hashing' needs none") from e
+    return SentenceTransformer(name)
+
+
+EMBEDDERS: Registry = Registry("embedder", {"hashing": hashing_embedder, **{n: partial(sentence_model, n) for n in MODELS}})
 
 
 def get_embedder(name: str) -> Callable[[list[str]], np.ndarray]:
-    """An embedder by name."""
-    if name not in EMBEDDERS:
-        raise ValueError(f"unknown embedder {name!r}; known: {', '.join(EMBEDDERS)}")
-    return EMBEDDERS[name]()
+    """An embedder by name. A model with other vectors for queries has them as its attribute ``queries``."""
+    return EMBEDDERS.named(name)()
+
+
+def embed_queries(text: Column, embedder: Callable[[list[str]], np.ndarray]) -> Column:
+    """Vectors of queries: by the embedder's own function for them where it has one."""
+    return embed_column(text, getattr(embedder, "queries", embedder))
 
 
 def embed_column(text: Column, embedder: Callable[[list[str]], np.ndarray]) -> Column:
@@ -127,18 +171,51 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
 def _merge_best(scores: np.ndarray, names: np.ndarray, new_scores: np.ndarray, new_names: np.ndarray, k: int):
     """The ``k`` best of each row of both, by score and then name."""
     s, n = np.concatenate([scores, new_scores], axis=1), np.concatenate([names, new_names], axis=1)
+    if s.shape[1] > k:  # equal scores at the edge are all kept for the comparison of names
+        edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+        wide = int((s >= edge).sum(axis=1).max())
+        keep = np.argpartition(-s, min(wide, s.shape[1]) - 1, axis=1)[:, :wide]
+        s, n = np.take_along_axis(s, keep, axis=1), np.take_along_axis(n, keep, axis=1)
     _, place = np.unique(n.ravel(), return_inverse=True)
     order = np.lexsort((place.reshape(n.shape), -s), axis=1)[:, :k]
     return np.take_along_axis(s, order, axis=1), np.take_along_axis(n, order, axis=1)
 
 
 def _matrix(column, width: int) -> np.ndarray:
-    values = column.to_pylist()
-    if any(len(v) != width for v in values):
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if len(whole) and not pc.all(pc.equal(pc.list_value_length(whole), width)).as_py():
         raise ValueError(f"vectors must have width {width}")
-    return np.asarray(values, dtype=np.float64).reshape(len(values), width)
+    values = whole.flatten()
+    return np.asarray(values.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(whole), width)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def add_vectors(path: str, chunks: DataFrame) -> int:
+    """Append ``chunks(chunk_id, chunk_index, content, embedding)`` to a vector table; returns how many.
+
+    A missing vector, or a width other than that of the table, is an error; no rows change nothing.
+    """
+    from ..shared import file_system
+
+    spark = chunks.sparkSession
+    row = vector_checks(chunks).first()
+    if not row.vectors:
+        return 0
+    files, target = file_system(spark, path)
+    widths = {row.least_width, row.most_width} | ({vector_checks(spark.read.parquet(path)).first().most_width} if files.exists(target) else set())
+    if row.missing or row.empty or len(widths) > 1:
+        raise ValueError(f"{row.missing + row.empty} of {row.vectors} vectors are missing; widths {sorted(map(str, widths))}")
+    chunks.write.mode("append").parquet(path)
+    return row.vectors
+
+
+STORES: Registry = Registry("vector store", {"exact": dense_topk, "faiss": dense_topk})
+
+
+def get_store(name: str) -> Callable[..., DataFrame]:
+    """The search function of a vector store by name. All are exact; ``faiss`` is kept as a name for written configurations."""
+    return STORES.named(name)

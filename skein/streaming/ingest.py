@@ -10,6 +10,8 @@ from ..functions import text as T
 from ..operators.chunking import chunk_documents
 from ..operators.lexical import term_rows
 from ..schema import DOCUMENTS
+from ..shared import file_system
+from ..sources.tables import new_documents
 
 
 def document_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
@@ -20,13 +22,17 @@ def document_stream(spark: SparkSession, folder: str, max_files: int = 100) -> D
 def ingest(documents: DataFrame, out: str, checkpoint: str, spec: str = "fixed_size", clean: str = "default", stem: bool = False) -> StreamingQuery:
     """Append chunks and postings of a stream of documents to ``out/chunks`` and ``out/postings``.
 
-    Each batch writes to a folder of its own number, so a batch that is run again
+    A document that an earlier batch had is left out. Each batch writes to a folder of its own number, so a batch that is run again
     after a failure replaces itself. Ends when no input is left.
     """
     preprocess = T.resolve_preprocessor(clean)
 
     def write(batch: DataFrame, number: int) -> None:
         rows = batch.filter("content is not null").dropDuplicates(["document_id"])
+        files, target = file_system(batch.sparkSession, f"{out}/chunks")
+        if files.exists(target):  # documents of other batches stay as they are
+            done = batch.sparkSession.read.schema("document_id string, batch int").parquet(f"{out}/chunks").filter(F.col("batch") != number)
+            rows = new_documents(rows, done)
         if preprocess:
             rows = rows.withColumn("content", preprocess(F.col("content")))
         chunks = chunk_documents(rows, spec)

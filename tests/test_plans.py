@@ -85,7 +85,7 @@ def test_files(spark, tmp_path):
         (tmp_path / "prompt" / v).mkdir(parents=True)
         (tmp_path / "prompt" / v / "answer_system.prompt").write_text(v)
         (tmp_path / "prompt" / v / "answer_user.template").write_text("{q}")
-    assert tables.read_prompt(str(tmp_path / "prompt"))["version"] == "v10"
+    assert tables.read_prompt(spark, str(tmp_path / "prompt"))["version"] == "v10"
 
 
 def test_index_round_trip(spark, tmp_path):
