@@ -87,18 +87,22 @@ def extractive_answer(passages: DataFrame, most: int = 2, chars: int = 120) -> D
     return rows.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda x: x["piece"]), " ").alias("answer"))
 
 
-def with_retries(model: Callable[[str], str], transient: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), tries: int = 3, wait: float = 2.0, growth: float = 2.0) -> Callable[[str], str]:
-    """``model`` called again after a transient error, ``wait`` seconds later and each time ``growth`` times longer."""
+def with_retries(model: Callable[[str], str], transient: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), tries: int = 3, wait: float = 2.0, growth: float = 2.0, **settings) -> Callable[[str], str]:
+    """``model`` called again after a transient error, ``wait`` seconds later and each time ``growth`` times longer.
+
+    ``settings``, such as a temperature, are passed to the model if they aren't zero or None.
+    """
+    given = {k: v for k, v in settings.items() if v}
 
     def call(prompt: str) -> str:
         import time
 
         for n in range(tries - 1):
             try:
-                return model(prompt)
+                return model(prompt, **given)
             except transient:
                 time.sleep(wait * growth**n)
-        return model(prompt)
+        return model(prompt, **given)
 
     return call
 

@@ -206,7 +206,10 @@ def seam_threshold(distances: list[float], percentile: float) -> float | None:
 
 
 def semantic(content: Column, max_tokens: int = 512, breakpoint_percentile: float = 90.0, *, embedder: Callable[[list[str]], np.ndarray]) -> Column:
-    """Closes a chunk where the vectors of adjacent sentences are farthest apart in the document."""
+    """Closes a chunk where the vectors of adjacent sentences are farthest apart in the document.
+
+    Distances are rounded to 9 decimals, so that equal ones are equal on any machine.
+    """
     if not 0 < breakpoint_percentile < 100:
         raise ValueError("breakpoint_percentile must be above 0 and below 100")
 
@@ -217,7 +220,7 @@ def semantic(content: Column, max_tokens: int = 512, breakpoint_percentile: floa
         v = np.asarray(embedder([text[a:b] for a, b, _ in parts]), dtype=np.float64)
         n = np.linalg.norm(v, axis=1, keepdims=True)
         v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
-        gaps = list(1.0 - np.clip((v[:-1] * v[1:]).sum(axis=1), -1.0, 1.0))
+        gaps = list(np.round(1.0 - np.clip((v[:-1] * v[1:]).sum(axis=1), -1.0, 1.0), 9))
         return seam_groups(parts, gaps, seam_threshold(gaps, breakpoint_percentile), max_tokens)
 
     return _span_udf(spans)(content)

@@ -68,14 +68,14 @@ def tuned(index: LexicalIndex, k1: float | None = None, b: float | None = None)
     return replace(index, k1=index.k1 if k1 is None else k1, b=index.b if b is None else b)
 
 
-def write_index(index: LexicalIndex, path: str) -> None:
+def write_index(index: LexicalIndex, path: str, mode: str = "errorifexists") -> None:
     """Postings in ranges of terms (a frequent term may span files), weights, and the parameters."""
     spark = index.postings.sparkSession
     keys = [*([index.group] if index.group else []), "term", index.id_col]
-    index.postings.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{path}/postings")
-    index.weights.write.parquet(f"{path}/weights")
+    index.postings.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).parquet(f"{path}/postings")
+    index.weights.write.mode(mode).parquet(f"{path}/weights")
     meta = (index.id_col, index.k1, index.b, index.stem, index.group, spark.read.parquet(f"{path}/postings").select(index.id_col).distinct().count())
-    spark.createDataFrame([meta], "id_col string, k1 double, b double, stem boolean, `group` string, texts bigint").coalesce(1).write.json(f"{path}/meta")
+    spark.createDataFrame([meta], "id_col string, k1 double, b double, stem boolean, `group` string, texts bigint").coalesce(1).write.mode(mode).json(f"{path}/meta")
 
 
 def read_index(spark: SparkSession, path: str) -> LexicalIndex:

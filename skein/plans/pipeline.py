@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -53,25 +55,29 @@ def release(index: Index) -> None:
         t.unpersist()
 
 
-def retrieve(index: Index, queries: DataFrame, spec: str = "hybrid", k: int = 5) -> DataFrame:
+def retrieve(index: Index, queries: DataFrame, spec: str = "hybrid", k: int = 5, store: str = "exact", **tuning: float) -> DataFrame:
     """``query_id, rank, chunk_id, score, retriever_type`` for ``queries(query_id, query)``.
 
     ``dense``, ``bm25``, or ``hybrid[:alpha[:weighted|rrf]]``. Blank queries have no results.
+    ``tuning`` may give ``k1`` and ``b`` of the lexical score, and ``pool``, how many
+    times ``k`` a hybrid reads of both rankings.
     """
+    if unknown := sorted(tuning.keys() - {"k1", "b", "pool"}):
+        raise ValueError(f"unknown retriever options {', '.join(unknown)}; known: b, k1, pool")
     name, *args = spec.split(":")
     asked = queries.filter(F.col("query").rlike(r"\S")).select("query_id", "query")
 
     def dense(depth: int) -> DataFrame:
-        q = asked.select("query_id", V.embed_column(F.col("query"), index.embedder).alias("embedding"))
-        return V.dense_topk(index.vectors, q, depth, unique=True)
+        q = asked.select("query_id", V.embed_queries(F.col("query"), index.embedder).alias("embedding"))
+        return V.get_store(store)(index.vectors, q, depth, unique=True)
 
     def sparse(depth: int) -> DataFrame:
-        return lexical.search(index.lexical, asked, depth)
+        return lexical.search(lexical.tuned(index.lexical, tuning.get("k1"), tuning.get("b")), asked, depth)
 
     if name == "hybrid":
         alpha = float(args[0]) if args and args[0] else fusion.ALPHA
         how = args[1] if len(args) > 1 else "weighted"
-        depth = fusion.pool_depth(k)
+        depth = fusion.pool_depth(k, int(tuning.get("pool", fusion.POOL)))
         found = fusion.hybrid(dense(depth), sparse(depth), k, alpha, how)
     elif name in ("dense", "bm25"):
         if args:
@@ -82,14 +88,30 @@ def retrieve(index: Index, queries: DataFrame, spec: str = "hybrid", k: int = 5)
     return found.withColumn("retriever_type", F.lit(name))
 
 
-def evaluate_cells(spark: SparkSession, cells: Iterable[Pipeline], documents: DataFrame, queries: DataFrame, judge: Callable[[DataFrame], DataFrame], embedders: Callable[[str], Embedder] = V.get_embedder, experiment: str = "", stem: bool = True) -> DataFrame:
+def swept_rankings(index: Index, queries: DataFrame, alphas: Iterable[float], k: int = 5, how: str = "weighted") -> DataFrame:
+    """Rankings of ``dense``, ``bm25`` and of a hybrid for every weight, told apart by ``retriever_type``."""
+    found = [retrieve(index, queries, s, k).withColumn("retriever_type", F.lit(s)) for s in ("dense", "bm25", *(f"hybrid:{a}:{how}" for a in alphas))]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _timed(index: Index, asked: DataFrame, cell: Pipeline, depth: int, sample: int) -> list[float]:
+    """Milliseconds that each of ``sample`` queries takes when asked alone."""
+    took = []
+    for row in asked.select("query_id", "query").limit(sample).collect():
+        began = time.time()
+        retrieve(index, asked.sparkSession.createDataFrame([row]), cell.retriever.spec, depth).collect()
+        took.append(round((time.time() - began) * 1000, 2))
+    return took
+
+
+def evaluate_cells(spark: SparkSession, cells: Iterable[Pipeline], documents: DataFrame, queries: DataFrame, judge: Callable[[DataFrame], DataFrame], embedders: Callable[[str], Embedder] = V.get_embedder, experiment: str = "", stem: bool = True, timed: int = 0, per_query: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
     """Runs of ``cells`` in the schema ``RUNS``; an index is built once for the cells that share it.
 
-    ``judge`` gives ``(query_id, chunk_id)`` for the chunks of an index. Runs hold
-    the means of all measures; latencies are left empty, as queries run together.
+    ``judge`` gives ``(query_id, chunk_id)`` for the chunks of an index. Runs hold the
+    means of all measures, and as mean latency the time of all queries together over
+    their number; latencies are those of ``timed`` queries asked alone. ``per_query`` gets
+    each cell's id and its ``evaluation_rows``, with what came back for every query.
     """
-    import time
-
     rows = []
     for group in group_by_index(cells).values():
         index = build_index(documents, group[0], embedders(group[0].embedder.name), stem)
@@ -97,12 +119,17 @@ def evaluate_cells(spark: SparkSession, cells: Iterable[Pipeline], documents: Da
         asked = queries.join(relevant.select("query_id").distinct(), "query_id", "left_semi")
         for cell in group:
             began = time.time()
-            ranked = retrieve(index, asked, cell.retriever.spec, max(cell.top_k, *metrics.KS))
+            depth = max(cell.top_k, *metrics.KS)
+            ranked = retrieve(index, asked, cell.retriever.spec, depth).persist()
             means = {r.metric.replace("_at_", "@"): r for r in metrics.mean_metrics(metrics.query_metrics(ranked, relevant)).collect()}  # one row a measure
             n = next((r.num_queries for r in means.values()), 0)
             path = time.strftime("%Y%m%d_%H%M%S") + f"_{cell.id}"
             each = round((time.time() - began) * 1000 / n, 2) if n else 0.0
-            rows.append((path, experiment, cell.id, cell.chunker.spec, cell.embedder.spec, cell.retriever.spec, n, each, {m: round(r["mean"], 4) for m, r in means.items()}, []))
+            if per_query:
+                per_query(cell.id, metrics.evaluation_rows(ranked, relevant, depth=depth))
+            alone = _timed(index, asked, cell, depth, timed) if timed else []
+            rows.append((path, experiment, cell.id, cell.chunker.spec, cell.embedder.spec, cell.retriever.spec, n, each, {m: round(r["mean"], 4) for m, r in means.items()}, alone))
+            ranked.unpersist()
         relevant.unpersist()
         release(index)
     return spark.createDataFrame(rows, RUNS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,9 +17,11 @@ from ..operators import chunking as C
 from ..operators import fusion, lexical, metrics, pages, relevance, rerank
 from ..operators import vector_index as V
 from ..schema import blank_to_null
+from ..shared import once, shared_dir
 from ..sources.tables import read_table
 from ..streaming import ingest
 from . import experiments as X
+from . import pipeline
 from .runs import runs_sql, runs_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +48,11 @@ def papers(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "papers").dropDuplicates(["document_id"])
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """``papers`` for queries that need the contents: only repeated ones are shuffled."""
+    return once(read_table(spark, d, "papers"), "document_id")
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "chunks").dropDuplicates(["chunk_id"])
 
@@ -137,7 +145,7 @@ def load_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cleaned(f: Callable[[Column], Column]) -> Query:
-    return lambda spark, d: papers(spark, d).select("document_id", f(F.col("content")).alias("content"))
+    return lambda spark, d: texts(spark, d).select("document_id", f(F.col("content")).alias("content"))
 
 
 for _name, _function, _sql in (
@@ -210,7 +218,7 @@ def _window_sql(size: int, step: int) -> str:
 
 
 def _chunked(spark: SparkSession, d: str, spec: str, embedder: Callable | None = None) -> DataFrame:
-    rows = C.chunk_documents(papers(spark, d), spec, embedder, "hashing" if embedder else None)
+    rows = C.chunk_documents(texts(spark, d), spec, embedder, "hashing" if embedder else None)
     return rows.select("document_id", "chunk_index", "start_char", "end_char", "num_tokens", F.md5("content").alias("digest"))
 
 
@@ -224,22 +232,83 @@ def chunk_sliding_window(spark: SparkSession, d: str) -> DataFrame:
     return _chunked(spark, d, "sliding_window:128:0.5")
 
 
-@query()
+# The SQL of the greedy chunkers: for every unit of a document where its run would end
+# (last) and where the next begins (following), then the chain of runs from the first.
+_RUNS = (
+    "chain_ AS (SELECT document_id, p, last, following FROM runs_of_ WHERE p = 0 UNION ALL SELECT r.document_id, r.p, r.last, r.following FROM chain_ c JOIN runs_of_ r ON r.document_id = c.document_id AND r.p = c.following AND c.last < r.n), "
+    "spans_ AS (SELECT c.document_id, f.a AS a, l.b AS b, l.upto + l.tokens - f.upto AS num_tokens FROM chain_ c JOIN units_ f ON f.document_id = c.document_id AND f.p = c.p JOIN units_ l ON l.document_id = c.document_id AND l.p = c.last - 1), "
+    "cut_ AS (SELECT s.*, substr(content, CAST(a AS INT) + 1, CAST(b - a AS INT)) AS body FROM spans_ s JOIN papers_ USING (document_id)) "
+    "SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY a) - 1 AS INT) AS chunk_index, CAST(a AS INT) AS start_char, CAST(b AS INT) AS end_char, CAST(num_tokens AS INT) AS num_tokens, md5(body) AS digest FROM cut_ WHERE regexp_matches(body, '[^ \\t\\r\\n\\f]')"
+)
+
+
+def _cut_by_tokens(size: int) -> str:
+    """``units_`` from ``pieces_(document_id, a, piece)``: the pieces, those over ``size`` tokens in windows of so many."""
+    upto = lambda e: f"coalesce(list_sum(list_transform(toks[1:{e}], lambda x: len(x))), 0)"
+    return (
+        f"tok_ AS (SELECT document_id, a, regexp_extract_all(piece, '{PIECE}') AS toks FROM pieces_), win_ AS (SELECT *, unnest(range(0, len(toks), {size})) AS i FROM tok_), "
+        f"part_ AS (SELECT document_id, a + {upto('i')} AS a, a + {upto(f'i + {size}')} AS b, least({size}, len(toks) - i) AS tokens FROM win_), "
+        "units_ AS (SELECT *, row_number() OVER w - 1 AS p, sum(tokens) OVER w - tokens AS upto, count(*) OVER (PARTITION BY document_id) AS n FROM part_ WINDOW w AS (PARTITION BY document_id ORDER BY a)), "
+    )
+
+
+def _full_runs(size: int) -> str:
+    """``full_(document_id, p, last)``: as many units as ``size`` tokens hold, one at least."""
+    return f"full_ AS (SELECT u.document_id, u.p, u.n, u.upto, u.p + greatest(1, count(v.p) FILTER (v.upto + v.tokens - u.upto <= {size})) AS last FROM units_ u JOIN units_ v ON v.document_id = u.document_id AND v.p >= u.p GROUP BY u.document_id, u.p, u.n, u.upto), "
+
+
+_SENTENCE_SQL = C.SENTENCE.replace("'", "''")
+_SENTENCES = (
+    f"{_PAPERS}, cutup_ AS (SELECT document_id, regexp_extract_all(content, '{_SENTENCE_SQL}') AS ps FROM papers_ WHERE content <> ''), flat_ AS (SELECT document_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM cutup_), "
+    "at_ AS (SELECT document_id, piece, sum(len(piece)) OVER (PARTITION BY document_id ORDER BY i) - len(piece) AS a FROM flat_), pieces_ AS (SELECT * FROM at_ WHERE regexp_matches(piece, '[^ \\t\\r\\n\\f]')), "
+)
+
+
+@query(
+    f"WITH RECURSIVE {_SENTENCES}{_cut_by_tokens(C.sentence_cap(5))}{_full_runs(C.sentence_cap(5))}"
+    f"runs_of_ AS (SELECT document_id, p, n, least(last, p + 5) AS last, greatest(p + 1, least(last, p + 5) - 1) AS following FROM full_), {_RUNS}"
+)
 def chunk_sentence(spark: SparkSession, d: str) -> DataFrame:
     return _chunked(spark, d, "sentence:5:1")
 
 
-@query()
+def _atoms_sql(size: int, separators: tuple[str, ...]) -> str:
+    """``pieces_``: contents cut behind one separator after the other where they are over ``size`` tokens."""
+    out = f"{_PAPERS}, level_0 AS (SELECT document_id, 0 AS a, content AS piece FROM papers_ WHERE content <> ''), "
+    for i, sep in enumerate(separators):
+        pattern = "(?s).*?" + sep.replace("\n", "\\n").replace(".", "\\.") + "|.+"
+        out += f"cut_{i} AS (SELECT document_id, a AS base, CASE WHEN len(regexp_extract_all(piece, '{PIECE}')) > {size} THEN regexp_extract_all(piece, '{pattern}') ELSE [piece] END AS ps FROM level_{i}), "
+        out += f"flat_{i} AS (SELECT document_id, base, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM cut_{i}), level_{i + 1} AS (SELECT document_id, sum(len(piece)) OVER (PARTITION BY document_id ORDER BY base, i) - len(piece) AS a, piece FROM flat_{i}), "
+    return out + f"pieces_ AS (SELECT * FROM level_{len(separators)}), "
+
+
+@query(
+    f"WITH RECURSIVE {_atoms_sql(512, C.SEPARATORS)}{_cut_by_tokens(512)}{_full_runs(512)}"
+    "ends_ AS (SELECT f.*, l.upto + l.tokens AS stop FROM full_ f JOIN units_ l ON l.document_id = f.document_id AND l.p = f.last - 1), "
+    f"runs_of_ AS (SELECT e.document_id, e.p, e.n, e.last, e.last - count(v.p) FILTER (e.stop - v.upto <= 64) AS following FROM ends_ e LEFT JOIN units_ v ON v.document_id = e.document_id AND v.p > e.p AND v.p < e.last GROUP BY e.document_id, e.p, e.n, e.last), {_RUNS}"
+)
 def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
     return _chunked(spark, d, "recursive:512:64")
 
 
-@query()
-def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
-    return _chunked(spark, d, "semantic:512:90", V.get_embedder("hashing"))
+def _hashed(source: str, key: str, text: str) -> str:
+    """``key, dim, x``: the nonzero numbers of the hashing embedder's vectors."""
+    words = f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\r\\n\\f\\v]+')"
+    return f"SELECT {key}, h % 64 AS dim, sum(CASE WHEN h >> 31 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM (SELECT {key}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM (SELECT {key}, unnest({words}) AS w FROM {source})) GROUP BY ALL"
 
 
-_SENTENCE_SQL = C.SENTENCE.replace("'", "''")
+@query(
+    f"WITH RECURSIVE {_SENTENCES}{_cut_by_tokens(512)}{_full_runs(512)}"
+    "body_ AS (SELECT document_id, p, substr(content, CAST(a AS INT) + 1, CAST(b - a AS INT)) AS body FROM units_ JOIN papers_ USING (document_id)), "
+    f"vec_ AS ({_hashed('body_', 'document_id, p', 'body')}), len_ AS (SELECT document_id, p, sqrt(sum(x * x)) AS l FROM vec_ GROUP BY ALL), "
+    "dot_ AS (SELECT v.document_id, v.p, sum(v.x * w.x) AS s FROM vec_ v JOIN vec_ w ON w.document_id = v.document_id AND w.p = v.p + 1 AND w.dim = v.dim GROUP BY ALL), "
+    "gap_ AS (SELECT u.document_id, u.p, round(1 - greatest(-1, least(1, coalesce(s / nullif(l.l * m.l, 0), 0))), 9) AS gap FROM units_ u LEFT JOIN dot_ d ON d.document_id = u.document_id AND d.p = u.p LEFT JOIN len_ l ON l.document_id = u.document_id AND l.p = u.p LEFT JOIN len_ m ON m.document_id = u.document_id AND m.p = u.p + 1 WHERE u.p + 1 < u.n), "
+    "thr_ AS (SELECT document_id, CASE WHEN max(gap) > min(gap) THEN quantile_cont(gap, 0.9) END AS thr FROM gap_ GROUP BY ALL), "
+    "stop_ AS (SELECT f.*, min(CASE WHEN gap >= thr THEN f.p + 1 END) OVER (PARTITION BY f.document_id ORDER BY f.p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM full_ f LEFT JOIN gap_ g ON g.document_id = f.document_id AND g.p = f.p LEFT JOIN thr_ t ON t.document_id = f.document_id), "
+    f"runs_of_ AS (SELECT document_id, p, n, least(last, coalesce(stop, n)) AS last, least(last, coalesce(stop, n)) AS following FROM stop_), {_RUNS}"
+)
+def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
+    return _chunked(spark, d, "semantic:512:90", V.get_embedder("hashing"))
 
 
 @query(
@@ -248,7 +317,7 @@ _SENTENCE_SQL = C.SENTENCE.replace("'", "''")
     "SELECT document_id, CAST(pos - 1 AS INT) AS pos, piece AS sentence FROM t WHERE regexp_matches(piece, '[^ \\t\\r\\n\\f]')"
 )
 def sentences(spark: SparkSession, d: str) -> DataFrame:
-    rows = papers(spark, d).filter("content is not null").select("document_id", F.posexplode(C.sentence_pieces(F.col("content"))).alias("pos", "sentence"))
+    rows = texts(spark, d).filter("content is not null").select("document_id", F.posexplode(C.sentence_pieces(F.col("content"))).alias("pos", "sentence"))
     return rows.filter(F.col("sentence").rlike("[^ \t\r\n\f]"))
 
 
@@ -344,7 +413,7 @@ def chunk_dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return V.dense_topk(rows, q, 5, unique=True)
 
 
-@query()
+@query(f"WITH {_CHUNKS}, e AS ({_hashed('chunks_', 'chunk_id', 'content')}) SELECT chunk_id, 64 AS width, round(coalesce(sqrt(sum(x * x)), 0), 4) AS length FROM chunks_ LEFT JOIN e USING (chunk_id) GROUP BY ALL")
 def embed_hash(spark: SparkSession, d: str) -> DataFrame:
     v = V.embed_column(F.col("content"), V.get_embedder("hashing"))
     return chunks(spark, d).select("chunk_id", v.alias("v")).select("chunk_id", F.size("v").alias("width"), F.round(norm(F.col("v")), 4).alias("length"))
@@ -365,12 +434,17 @@ def bm25_tokens_stemmed(spark: SparkSession, d: str) -> DataFrame:
     return terms.select("term", porter_stem("term").alias("stem"))
 
 
-_INDEX = (
-    f"{_CHUNKS}, t AS (SELECT coalesce(chunker, '') AS chunker, chunk_id, {_terms('content')} AS ts FROM chunks_), o AS (SELECT chunker, chunk_id, unnest(CASE WHEN len(ts) > 0 THEN ts ELSE ['<empty>'] END) AS term FROM t), "
-    "tf AS (SELECT chunker, chunk_id, term, count(*) AS tf FROM o GROUP BY ALL), dl AS (SELECT chunker, chunk_id, sum(tf) AS dl FROM tf GROUP BY ALL), size AS (SELECT chunker, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY ALL), "
-    "df AS (SELECT chunker, term, count(*) AS df FROM tf GROUP BY ALL), raw AS (SELECT chunker, term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS w, avgdl FROM df JOIN size USING (chunker)), "
-    "mean AS (SELECT chunker, avg(w) AS mean FROM raw GROUP BY ALL), idf AS (SELECT chunker, term, df, CASE WHEN w < 0 THEN 0.25 * mean ELSE w END AS idf, avgdl FROM raw JOIN mean USING (chunker))"
-)
+def _index_sql(group: str) -> str:
+    """The tables of BM25 indexes, one for each value of ``group``."""
+    return (
+        f"{_CHUNKS}, t AS (SELECT {group} AS chunker, chunk_id, {_terms('content')} AS ts FROM chunks_), o AS (SELECT chunker, chunk_id, unnest(CASE WHEN len(ts) > 0 THEN ts ELSE ['<empty>'] END) AS term FROM t), "
+        "tf AS (SELECT chunker, chunk_id, term, count(*) AS tf FROM o GROUP BY ALL), dl AS (SELECT chunker, chunk_id, sum(tf) AS dl FROM tf GROUP BY ALL), size AS (SELECT chunker, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY ALL), "
+        "df AS (SELECT chunker, term, count(*) AS df FROM tf GROUP BY ALL), raw AS (SELECT chunker, term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS w, avgdl FROM df JOIN size USING (chunker)), "
+        "mean AS (SELECT chunker, avg(w) AS mean FROM raw GROUP BY ALL), idf AS (SELECT chunker, term, df, CASE WHEN w < 0 THEN 0.25 * mean ELSE w END AS idf, avgdl FROM raw JOIN mean USING (chunker))"
+    )
+
+
+_INDEX = _index_sql("coalesce(chunker, '')")
 
 
 @query(f"WITH {_INDEX} SELECT chunker, term, df, round(idf, 6) AS idf FROM idf WHERE term <> '<empty>'")
@@ -428,6 +502,36 @@ def hybrid_rrf_topk(spark: SparkSession, d: str) -> DataFrame:
     return fusion.reciprocal_rank([top_scored(spark, d, depth, "dense"), top_scored(spark, d, depth, "bm25")], 5)
 
 
+_LEXICAL = "s AS (SELECT query_id, chunk_id, round(sum(m * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN idf USING (term) JOIN tf USING (chunker, term) JOIN dl USING (chunker, chunk_id) GROUP BY ALL)"
+
+
+@query(
+    f"WITH {_index_sql(repr(''))}, {_ASKED}, q AS (SELECT query_id, term, count(*) AS m FROM (SELECT query_id, unnest({_terms('query')}) AS term FROM asked_) GROUP BY ALL), {_LEXICAL}, "
+    "sparse AS (SELECT query_id, chunk_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20), "
+    f"qe AS ({_hashed('asked_', 'query_id', 'query')}), ce AS ({_hashed('chunks_', 'chunk_id', 'content')}), ql AS (SELECT query_id, sqrt(sum(x * x)) AS l FROM qe GROUP BY ALL), cl AS (SELECT chunk_id, sqrt(sum(x * x)) AS l FROM ce GROUP BY ALL), "
+    "dots AS (SELECT query_id, chunk_id, sum(qe.x * ce.x) AS s FROM qe JOIN ce USING (dim) GROUP BY ALL), "
+    "cosines AS (SELECT a.query_id, c.chunk_id, round(coalesce(dots.s / nullif(ql.l * cl.l, 0), 0), 6) AS score FROM (SELECT query_id FROM asked_ WHERE regexp_matches(query, '[^ \\t\\r\\n\\f]')) a CROSS JOIN (SELECT chunk_id FROM chunks_) c LEFT JOIN dots ON dots.query_id = a.query_id AND dots.chunk_id = c.chunk_id LEFT JOIN ql ON ql.query_id = a.query_id LEFT JOIN cl ON cl.chunk_id = c.chunk_id), "
+    "dense AS (SELECT * FROM cosines QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20), "
+    "sides AS (SELECT 'd' AS side, * FROM dense UNION ALL SELECT 's' AS side, * FROM sparse WHERE score > 0), "
+    "scaled AS (SELECT query_id, chunk_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM sides WINDOW w AS (PARTITION BY query_id, side)), "
+    "f AS (SELECT query_id, chunk_id, round(0.5 * sum(x), 6) AS score FROM scaled GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, score FROM r WHERE rank <= 5 AND score > 0"
+)
+def hybrid_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks and queries embedded, searched by vectors and by terms, and fused."""
+    embedder, rows = V.get_embedder("hashing"), chunks(spark, d).select("chunk_id", "content")
+    built = pipeline.Index(rows, rows.select("chunk_id", V.embed_column(F.col("content"), embedder).alias("embedding")), lexical.fit(rows, stem=False), embedder)
+    return pipeline.retrieve(built, asked(spark, d), "hybrid:0.5:weighted", 5).drop("retriever_type")
+
+
+@query(f"WITH {_INDEX} SELECT chunker, count(*) AS postings, count(DISTINCT term) AS terms, CAST(sum(tf) AS BIGINT) AS occurrences FROM tf WHERE term <> '<empty>' GROUP BY ALL")
+def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
+    """An index written and read again."""
+    path = f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}"
+    lexical.write_index(lexical.fit(by_chunker(spark, d), stem=False, group="chunker"), path)
+    p = lexical.read_index(spark, path).postings
+    return p.groupBy("chunker").agg(F.count(F.lit(1)).alias("postings"), F.count_distinct("term").alias("terms"), F.sum("tf").alias("occurrences"))
+
+
 @query(
     f"WITH {_RANKED} SELECT query_id, CAST(rank AS INT) AS rank, max(chunk_id) FILTER (retriever_type = 'dense') AS dense, max(chunk_id) FILTER (retriever_type = 'bm25') AS bm25, max(chunk_id) FILTER (retriever_type = 'hybrid') AS hybrid FROM ranked_ WHERE rank <= 5 AND retriever_type IN ('dense', 'bm25', 'hybrid') GROUP BY query_id, rank"
 )
@@ -523,6 +627,18 @@ def answer_extractive(spark: SparkSession, d: str) -> DataFrame:
 
 
 USAGE_PRICES = [("small", 0.4, 0.1, 1.6), ("medium", 2.5, None, 10.0), ("large", 10.0, 2.5, 40.0)]
+@query(
+    f"WITH {_PASSAGES}, {_ANSWERS}, x AS (SELECT query_id, string_agg(coalesce({_LABEL} || chr(10) || {_snippet('content', 5000, ' ...')}, ''), chr(10) || chr(10) ORDER BY rank) AS context, string_agg({_snippet('content', 120, '...')} || ' [' || rank || ']', ' ' ORDER BY rank) FILTER (rank <= 2) AS answer FROM passages_ GROUP BY query_id), "
+    "q AS (SELECT DISTINCT query_id, query FROM queries) SELECT query_id, 'Question:' || chr(10) || coalesce(query, '') || chr(10) || chr(10) || 'Passages:' || chr(10) || coalesce(context, '(no passages were retrieved)') || chr(10) || chr(10) || 'Answer:' || chr(10) || coalesce(x.answer, '') || chr(10) || "
+    f"coalesce(chr(10) || 'Reference answer:' || chr(10) || a.answer || chr(10), '') || chr(10) || 'Give JSON with {', '.join(A.JUDGED)} from 1 to 5 and a rationale.' AS prompt FROM q LEFT JOIN x USING (query_id) LEFT JOIN answers_ a USING (query_id)"
+)
+def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
+    passages = _passages(spark, d, 3)
+    asked_ = read_table(spark, d, "queries").select("query_id", "query").dropDuplicates(["query_id"])
+    rows = asked_.join(A.extractive_answer(passages), "query_id", "left")
+    return A.judge_prompts(rows, A.build_context(passages), _gold_answers(spark, d).withColumnRenamed("answer", "reference"))
+
+
 _PRICES = "prices_(model, pin, pcached, pout) AS (VALUES " + ", ".join(f"('{m}', {i}::DOUBLE, {'NULL' if c is None else c}::DOUBLE, {o}::DOUBLE)" for m, i, c, o in USAGE_PRICES) + ")"
 
 
@@ -691,6 +807,19 @@ def ir_means(spark: SparkSession, d: str) -> DataFrame:
     return metrics.mean_metrics(_metrics(spark, d))
 
 
+@query(f"WITH {_metric_sql()}, ids AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS ranked FROM top GROUP BY query_id) SELECT m.query_id, mrr, ndcg_at_5, coalesce(ranked, '') AS ranked FROM metrics_ m LEFT JOIN ids ON ids.query_id = m.query_id")
+def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
+    rel = read_table(spark, d, "relevance").select("query_id", "chunk_id")
+    rows = metrics.evaluation_rows(top_scored(spark, d, 10, "hybrid"), rel)
+    return rows.select("query_id", "mrr", "ndcg_at_5", F.array_join("ranked", ",").alias("ranked"))
+
+
+@query(f"WITH {_metric_sql()}, l AS (SELECT DISTINCT metric FROM (UNPIVOT metrics_ ON COLUMNS(* EXCLUDE query_id) INTO NAME metric VALUE value)), n AS (SELECT replace(metric, '_at_', '@') AS metric FROM l), p AS (SELECT metric, split_part(metric, '@', 1) AS name FROM n) SELECT metric, CASE name WHEN 'mrr' THEN 'MRR' WHEN 'ndcg' THEN 'NDCG' ELSE array_to_string(list_transform(string_split(name, '_'), lambda w: upper(w[1]) || w[2:]), ' ') END || substr(metric, len(name) + 1) AS heading FROM p")
+def pretty_metrics(spark: SparkSession, d: str) -> DataFrame:
+    names = metrics.long_metrics(_metrics(spark, d)).select(F.replace("metric", F.lit("_at_"), F.lit("@")).alias("metric")).distinct()
+    return names.select("metric", metrics.pretty(F.col("metric")).alias("heading"))
+
+
 @query("SELECT doc_id AS paper_id, count(*) AS queries FROM qrels WHERE doc_id IN (SELECT paper_id FROM papers) AND doc_id IN (SELECT paper_id FROM chunks) GROUP BY doc_id")
 def eligible_docs(spark: SparkSession, d: str) -> DataFrame:
     judged = read_table(spark, d, "qrels").withColumnRenamed("doc_id", "paper_id")
