@@ -1,9 +1,7 @@
-"""Helpers shared by the operators: shared-folder tables, hot keys, key runs."""
+"""Helpers shared by the operators: hot keys, key runs, batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,57 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
+from ..shared import release, small, stage
 
-#: Rows of a table that may be broadcast.
-BROADCAST_ROWS = 100_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where the setting is absent and everything runs on this machine (tests), a
-    temporary folder is made, once per session; on a cluster that is an error.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _OWN_DIRS:
-        _OWN_DIRS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
-    return _OWN_DIRS[context.applicationId]
-
-
-def _file_system(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the written table.
-
-    Cuts the lineage so that losing an executor costs only unfinished tasks, and
-    so that a table used twice is computed once. Removed by ``release``, or when the
-    driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    files, target = _file_system(spark, path)
-    files.deleteOnExit(target)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete a table made by ``stage`` that nothing reads any more."""
-    path = getattr(df, "_staged_at", None)
-    if path:
-        files, target = _file_system(df.sparkSession, path)
-        files.delete(target, True)
+__all__ = ["arrow_map", "hot_keys", "key_runs", "parts_for", "release", "same_keys", "small", "stage"]
 
 
 def parts_for(spark: SparkSession, rows: int, each: int) -> int:
@@ -78,15 +28,6 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int, count_col: str) -> D
     return stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col)).filter(F.col(count_col) > hot_rows))
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has ``most`` rows at the most.
-
-    A larger one stays as it is: Spark joins it by a shuffle, whose skewed partitions
-    adaptive execution splits. ``df`` must be cheap to read, such as a staged table.
-    """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], right_keys: list[str] | None = None):
     """A null-safe equality condition over ``keys``."""
     cond = None
