@@ -8,46 +8,45 @@ same forward-backward posteriors then decide. The hidden event has two values,
 boundary and none, which stand in the stream of words alike, so that the words
 after it are weighed under equal histories. It can occur only where the writing
 system admits a boundary: after a closing mark (with the quotes and brackets
-that belong to it), or at a space within Thai. Nothing inside a quotation or a
-bracket is a boundary.
+that belong to it), or at a space within a script that has no such marks. Nothing
+inside a quotation or a bracket is a boundary.
+
+Every text is read once. Many texts are cut into tokens together, in arrays over
+their characters; what is kept of them are the words around the possible boundaries,
+from which the passes and the decision work.
 """
 
 from __future__ import annotations
 
 import unicodedata
 import uuid
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import arrow_map, parts_for, stage
+from ._cluster import parts_for, stage
 
 # Marks that may end a sentence; those that do so without white space;
-# pairs of quotes and brackets.
-ENDERS = set(".?!…。！？।॥؟｡．")
-SOLID_ENDERS = set("。！？।॥؟｡")
+# pairs of quotes and brackets; marks that a sentence doesn't start with.
+ENDERS = set(".?!…。！？।॥؟｡．۔։።፧។៕။།᠃")
+SOLID_ENDERS = set("。！？।॥؟｡።፧។៕။།")
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "《": "》", "〈": "〉", "【": "】", "“": "”", "‘": "’", "«": "»", "„": "“", "‚": "‘", "‹": "›"}
 STRAIGHT = {'"', "'"}
 DASHES = set("—–-")
+NEVER_FIRST = set(",;:、，；،؛)]}")
+ROUND = set("(（[")
 
 BLANK_LINE = regex.compile(r"(?:\r\n|[\n\r\x85 ])[^\S\n\r\x85  ]*(?:\r\n|[\n\r\x85 ])\s*|\s* \s*")
-TOKEN = regex.compile(
-    r"(?P<han>[\p{Han}\p{Hiragana}\p{Katakana}ー々]{1,2})|(?P<thai>[\p{Thai}--\p{Nd}]+)"
-    r"|(?P<num>\p{Nd}+(?:[.,:]\p{Nd}+)*)"
-    r"|(?P<word>[\p{L}\p{M}]+(?:(?:-(?:\r\n|\r|\n)|['’](?=\p{L}))[\p{L}\p{M}]+)*)"
-    r"|(?P<dots>\.{2,})|(?P<mark>[^\s\w]|[\p{M}\p{N}_])",
-    regex.V1,
-)
 LIST_MARK = regex.compile(r"\s*(?:\(?\p{Nd}{1,3}(?:\.\p{Nd}{1,3})*[.)]|\(?\p{L}[.)]|\([ivxlc]+\)|[•‣◦*–-])(?=\s)")
-HYPHEN_WRAP = regex.compile(r"-(?:\r\n|\r|\n)")
-THAI_END = regex.compile(r"[\p{Thai}--\p{Nd}]", regex.V1)
+WRAP = regex.compile(r"-(?:\r\n|\r|\n)")
 
 # Symbols of the model: the paragraph's edge, the two values of the hidden event, the
 # shapes of rare words, then words.
@@ -68,167 +67,6 @@ def _shape(word: str) -> int:
     return SHAPES["<xx>"] if word[0].islower() else SHAPES["<other>"]
 
 
-class Paragraph:
-    """Tokens of one paragraph, and the places where a boundary is possible."""
-
-    __slots__ = ("names", "starts", "ends", "kinds", "gaps", "seeds", "ended", "skip")
-
-    def __init__(self, text: str, begin: int, end: int):
-        names, starts, ends, kinds = [], [], [], []
-        for m in TOKEN.finditer(text, begin, end):
-            kind, a, b = m.lastgroup, m.start(), m.end()
-            word = text[a:b]
-            if kind == "thai":
-                cut = min(b, a + 4)
-                names += ["^" + text[a:cut], "$" + text[max(a, b - 4) : b]]
-                starts += [a, cut]
-                ends += [cut, b]
-                kinds += ["thai", "thai"]
-                continue
-            if kind == "word" and "-" in word:
-                word = HYPHEN_WRAP.sub("", word)
-            names.append("…" if kind == "dots" else word)
-            starts.append(a)
-            ends.append(b)
-            kinds.append("mark" if kind == "dots" else kind)
-        self.names, self.starts, self.ends, self.kinds = names, starts, ends, kinds
-        self.skip = 0
-        if m := LIST_MARK.match(text, begin, end):
-            while self.skip < len(names) and ends[self.skip] <= m.end():
-                self.skip += 1
-        self._find_gaps(text)
-
-    def _pairs(self) -> dict[int, int]:
-        """For each closing quote or bracket that has an opening one, that one."""
-        open_at: list[tuple[int, str]] = []
-        waiting: Counter = Counter()  # closing marks of what is open
-        closes: dict[int, int] = {}
-        names, starts, ends = self.names, self.starts, self.ends
-
-        def close(i: int, mark: str) -> None:
-            while True:
-                at, wanted = open_at.pop()
-                waiting[wanted] -= 1
-                if wanted == mark:
-                    closes[i] = at
-                    return
-
-        for i, s in enumerate(names):
-            if self.kinds[i] != "mark":
-                continue
-            if s in STRAIGHT or s == "’":
-                glued_left = i > 0 and ends[i - 1] == starts[i]
-                glued_right = i + 1 < len(names) and starts[i + 1] == ends[i]
-                if waiting[s] and (glued_left or not glued_right) and (s != "'" or not (glued_right and self.kinds[i + 1] == "word")):
-                    close(i, s)
-                elif s in STRAIGHT and glued_right and not (glued_left and self.kinds[i - 1] in ("word", "num")):
-                    open_at.append((i, s))
-                    waiting[s] += 1
-            elif waiting[s]:
-                close(i, s)
-            elif s in PAIRS:
-                open_at.append((i, PAIRS[s]))
-                waiting[PAIRS[s]] += 1
-        return closes
-
-    def _find_gaps(self, text: str) -> None:
-        """``gaps``: token indices after which a boundary is possible; ``seeds``: first guesses."""
-        names, starts, ends, kinds = self.names, self.starts, self.ends, self.kinds
-        n = len(names)
-        closes = self._pairs()
-        inside = np.zeros(n + 1, dtype=np.int32)
-        for c, o in closes.items():
-            inside[o] += 1
-            inside[c] -= 1
-        inside = np.cumsum(inside)
-        self.gaps, self.seeds = [], []
-        clusters: list[tuple[int, int]] = []
-        last = -1
-        for i in range(n):
-            if i <= last:
-                continue
-            s = names[i]
-            j = i
-            if s in ENDERS:
-                while j + 1 < n and (names[j + 1] in ENDERS and starts[j + 1] == ends[j] or j + 1 in closes and closes[j + 1] < i):
-                    j += 1
-                last = j
-            elif not (kinds[i] == "thai" and i + 1 < n and starts[i + 1] > ends[i] and (kinds[i + 1] == "thai" or names[i + 1] in PAIRS)):
-                continue
-            if j + 1 >= n or inside[j] or j < self.skip:
-                continue
-            nxt = text[starts[j + 1]]
-            spaced = starts[j + 1] > ends[j]
-            lower = nxt.islower()
-            if nxt in DASHES and j + 2 < n:
-                lower = text[starts[j + 2]].islower()
-            if s in ENDERS and not spaced and (s not in SOLID_ENDERS) and not (nxt.isalpha() and not lower) and names[j + 1] not in PAIRS and nxt not in "¿¡—":
-                continue
-            if kinds[j + 1] == "mark" and names[j + 1] in ",;:、，；،؛)]}":
-                continue
-            self.gaps.append(j)
-            first = closes.get(j, -1)
-            opens = names[first - 1] if first > 0 else ""
-            whole = first >= 0 and names[first] in "(（[" and (first <= self.skip or opens in ENDERS or (first - 1) in closes)
-            self.seeds.append((0.5 if lower else 0.95) if whole else self._seed(i, j, nxt, lower, opens in (":", "：")))
-            if j > i:
-                clusters.append((i, j))
-        final = n - 1
-        while final >= 0 and (final in closes or names[final] in STRAIGHT) and names[final] not in ENDERS:
-            final -= 1
-        self.ended = final >= 0 and (names[final] in ENDERS or kinds[final] == "thai")
-        if clusters:
-            self._merge(clusters)
-
-    def _merge(self, clusters: list[tuple[int, int]]) -> None:
-        """Make a mark and the quotes or brackets closed after it one token, such as ?”; of marks alone, the last."""
-        names, starts, ends, kinds = [], [], [], []
-        at, skip = 0, self.skip
-        for i, j in [*clusters, (len(self.names), len(self.names))]:
-            names += self.names[at:i]
-            starts += self.starts[at:i]
-            ends += self.ends[at:i]
-            kinds += self.kinds[at:i]
-            if i < len(self.names):
-                marks = self.names[i : j + 1]
-                names.append(marks[-1] if ENDERS.issuperset(marks) else "".join(marks))
-                starts.append(self.starts[i])
-                ends.append(self.ends[j])
-                kinds.append("mark")
-                skip -= (j - i) * (self.skip > j)
-            at = j + 1
-        lost = np.zeros(len(self.names) + 1, dtype=np.int64)
-        for i, j in clusters:
-            lost[j] += j - i
-        lost = np.cumsum(lost)
-        self.gaps = [int(g - lost[g]) for g in self.gaps]
-        self.names, self.starts, self.ends, self.kinds, self.skip = names, starts, ends, kinds, skip
-
-    def _seed(self, i: int, j: int, nxt: str, lower: bool, announced: bool) -> float:
-        """A first guess of the probability of a boundary, from the surface alone."""
-        s, before = self.names[i], self.names[i - 1] if i else ""
-        if lower:
-            return 0.08
-        if self.kinds[i] == "thai":
-            return 0.95
-        if nxt.isupper():
-            if s == "." and i == j and i and self.ends[i - 1] == self.starts[i]:
-                if self.kinds[i - 1] == "num":
-                    return 0.4
-                if self.kinds[i - 1] == "word":
-                    return 0.05 if len(before) <= 1 else 0.4 if len(before) <= 4 else 0.9
-            return 0.9
-        if nxt.isnumeric():
-            return 0.9 if s != "." else 0.25 if len(before) <= 4 else 0.5
-        if not nxt.isalpha():
-            return 0.85 if i == j else 0.6
-        if i != j:
-            return 0.7 if announced else 0.3
-        if s == "…":
-            return 0.3
-        return 0.05 if s == "." and len(before) <= 1 else 0.9
-
-
 def paragraphs(text: str) -> list[tuple[int, int]]:
     """``(start, end)`` of the parts of ``text`` between blank lines, without outer white space."""
     spans, at = [], 0
@@ -242,143 +80,603 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+# --- characters ------------------------------------------------------------------------
+
+SPACE, HAN, SOUTH, DIGIT, LETTER, MARK, NONE = range(7)
+_SCANNED, _CASED = 0x33500, 0x1F200
+
+
+@lru_cache(maxsize=1)
+def _tables() -> dict[str, np.ndarray]:
+    """By code point: its class, and what else the rules ask of a character.
+
+    HAN are characters of scripts without spaces between words, SOUTH those whose
+    spaces part sentences or phrases, LETTER other letters and marks that combine.
+    """
+    kinds = np.full(0x110000, MARK, dtype=np.uint8)
+    letters = np.zeros(0x110000, dtype=bool)
+    both = np.zeros(0x110000, dtype=bool)
+
+    def fill(table: np.ndarray, value: int, pattern: str) -> None:
+        p = regex.compile(pattern, regex.V1)
+        for a, b in ((0, 0xD800), (0xE000, _SCANNED), (0xE0000, 0xE0200)):
+            for m in p.finditer("".join(map(chr, range(a, b)))):
+                table[a + m.start() : a + m.end()] = value
+
+    fill(kinds, NONE, r"\w+")
+    fill(kinds, MARK, r"[\p{N}_]+")
+    fill(kinds, LETTER, r"[\p{L}\p{M}]+")
+    fill(kinds, DIGIT, r"\p{Nd}+")
+    fill(kinds, SOUTH, r"[[\p{Thai}\p{Lao}]--\p{Nd}]+")
+    fill(kinds, HAN, r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]+")
+    fill(kinds, SPACE, r"\s+")
+    fill(both, 1, r"[\p{L}\p{M}]+")
+    fill(letters, 1, r"\p{L}+")
+    out = {"kind": kinds, "letter": letters, "joins": both}
+    for name in ("islower", "isupper", "isalpha", "isnumeric"):
+        table = np.zeros(0x110000, dtype=bool)
+        table[:_CASED] = list(map(getattr(str, name), map(chr, range(_CASED))))
+        table[_CASED:_SCANNED] = letters[_CASED:_SCANNED] & (name == "isalpha")  # no case beyond
+        out[name] = table
+    for name, chars in (("ender", ENDERS), ("solid", SOLID_ENDERS), ("opens", set(PAIRS)), ("dash", DASHES), ("straight", STRAIGHT), ("never", NEVER_FIRST), ("round", ROUND), ("free", set("¿¡—")), ("paired", set(PAIRS) | set(PAIRS.values()) | STRAIGHT | {"’"}), ("colon", set(":："))):
+        table = np.zeros(0x110000, dtype=bool)
+        table[[ord(c) for c in chars]] = True
+        out[name] = table
+    return out
+
+
+class Tokens(NamedTuple):
+    """Tokens of a block of texts: where they stand, their kinds, the lengths of their names, and their paragraphs."""
+
+    start: np.ndarray
+    end: np.ndarray
+    kind: np.ndarray
+    length: np.ndarray
+    wrapped: np.ndarray
+    paragraph: np.ndarray
+
+
+WORD_KIND, NUMBER_KIND, MARK_KIND, HAN_KIND, FIRST_PART, LAST_PART = range(6)
+
+
+def _runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values."""
+    edge = np.diff(np.concatenate([[0], flag.view(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _chains(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each chain, where ``linked[i]`` ties ``i`` to ``i + 1``."""
+    if not len(linked):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    tied = linked.copy()
+    tied[-1] = False
+    return np.flatnonzero(~np.concatenate([[False], tied[:-1]])), np.flatnonzero(~tied)
+
+
+def tokenize(codes: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> Tokens:
+    """Tokens of the paragraphs ``[begins, stops)`` of a block of code points.
+
+    A word is a run of letters, going on behind an apostrophe or a hyphen at a line
+    end; scripts without spaces give pairs of characters; a run of a SOUTH script
+    gives its first and its last four characters; a number may have marks inside; every
+    other character but white space is a token, and two dots or more are one.
+    """
+    t = _tables()
+    kind = t["kind"][codes]
+    where = np.zeros(len(codes) + 1, dtype=np.int32)
+    where[begins] += 1
+    where[stops] -= 1
+    kind[np.cumsum(where[:-1]) == 0] = SPACE
+    at = lambda i: codes[np.minimum(i, len(codes) - 1)]
+    inside = lambda i: (i < len(codes)) & (kind[np.minimum(i, len(codes) - 1)] != SPACE)
+
+    # Words: runs of letters from the first LETTER on, or all of a run that a joint ties to a word before.
+    joins = t["joins"][codes] & (kind != SPACE)
+    a, b = _runs(joins)
+    positions = np.flatnonzero((kind == LETTER) & joins)
+    first = positions[np.minimum(np.searchsorted(positions, a), len(positions) - 1)] if len(positions) else np.full(len(a), len(codes))
+    own = (first >= a) & (first < b)
+    gap = np.concatenate([a[1:], [len(codes) + 9]]) - b if len(a) else np.empty(0, np.int64)
+    c0, c1, c2 = at(b), at(b + 1), at(b + 2)
+    line = ((gap == 2) & ((c1 == 10) | (c1 == 13))) | ((gap == 3) & (c1 == 13) & (c2 == 10))
+    hyphen = (c0 == ord("-")) & line
+    mark = ((c0 == ord("'")) | (c0 == 0x2019)) & (gap == 1) & t["letter"][c1] & inside(b + 1)
+    paragraph = np.searchsorted(begins, a, side="right")
+    tie = (hyphen | mark) & (paragraph == np.concatenate([paragraph[1:], [-1]])) if len(a) else np.empty(0, bool)
+    whole = np.zeros(len(a), dtype=bool)
+    while True:
+        more = np.concatenate([[False], (tie & (own | whole))[:-1]]) if len(a) else whole
+        if (more == whole).all():
+            break
+        whole = more
+    word = own | whole
+    tie = tie & word
+    begin_word = np.where(whole, a, first)
+    taken = np.zeros(len(codes) + 1, dtype=np.int32)
+    taken[begin_word[word]] += 1
+    taken[b[word]] -= 1
+    is_word = np.cumsum(taken[:-1]) > 0
+    index = np.flatnonzero(word)
+    heads, tails = _chains(tie[index])
+    w_start, w_end = begin_word[index][heads], b[index][tails]
+    lost = np.concatenate([[0], np.cumsum(np.where(hyphen & tie, gap, 0)[index])])
+    w_lost = lost[tails] - lost[heads]  # the last of a chain ties nothing
+
+    # Numbers.
+    a, b = _runs(kind == DIGIT)
+    linked = (np.concatenate([a[1:], [len(codes) + 9]]) - b == 1) & np.isin(at(b), [ord(c) for c in ".,:"]) if len(a) else np.empty(0, bool)
+    if len(a):
+        paragraph = np.searchsorted(begins, a, side="right")
+        linked &= paragraph == np.concatenate([paragraph[1:], [-1]])
+    heads, tails = _chains(linked)
+    n_start, n_end = a[heads], b[tails]
+    inner = np.zeros(len(codes), dtype=bool)
+    inner[b[linked]] = True
+
+    # Characters of words, their joints included, are no marks.
+    joint = np.zeros(len(codes) + 1, dtype=np.int32)
+    joint[w_start] += 1
+    joint[w_end] -= 1
+    in_word = np.cumsum(joint[:-1]) > 0
+
+    # Scripts without spaces between words, in pairs from the start of a run.
+    a, b = _runs((kind == HAN) & ~is_word)
+    pairs = (b - a + 1) // 2
+    h_start = np.repeat(a, pairs) + 2 * (np.arange(int(pairs.sum())) - np.repeat(np.cumsum(pairs) - pairs, pairs))
+    h_end = np.minimum(h_start + 2, np.repeat(b, pairs))
+
+    # Scripts whose spaces part sentences: the two ends of a run.
+    a, b = _runs((kind == SOUTH) & ~is_word)
+    cut = np.minimum(b, a + 4)
+
+    # Marks.
+    plain = (kind == MARK) & ~in_word & ~inner
+    dot = plain & (codes == ord("."))
+    d_start, d_end = _runs(dot)
+    several = d_end - d_start > 1
+    single = plain & ~dot
+    single[d_start[~several]] = True
+    m_start = np.flatnonzero(single)
+    d_start, d_end = d_start[several], d_end[several]
+
+    starts = np.concatenate([w_start, n_start, h_start, a, cut, m_start, d_start])
+    ends = np.concatenate([w_end, n_end, h_end, cut, b, m_start + 1, d_end])
+    sizes = [len(x) for x in (w_start, n_start, h_start, a, cut, m_start, d_start)]
+    kinds = np.repeat(np.array([WORD_KIND, NUMBER_KIND, HAN_KIND, FIRST_PART, LAST_PART, MARK_KIND, MARK_KIND], dtype=np.int8), sizes)
+    lengths = np.concatenate([w_end - w_start - w_lost, n_end - n_start, h_end - h_start, cut - a + 1, np.minimum(b - a, 4) + 1, np.ones(len(m_start) + len(d_start), np.int64)])
+    wrapped = np.concatenate([w_lost > 0, np.zeros(len(starts) - len(w_start), bool)])
+    order = np.lexsort((kinds, starts))
+    starts, ends, kinds = starts[order], ends[order], kinds[order]
+    return Tokens(starts, ends, kinds, lengths[order], wrapped[order], np.searchsorted(begins, np.minimum(starts, ends - (ends > starts)), side="right") - 1)
+
+
+def _closings(codes: np.ndarray, t: Tokens) -> np.ndarray:
+    """By token, the opening quote or bracket that it closes, or -1."""
+    closes = np.full(len(t.start), -1, dtype=np.int64)
+    tables = _tables()
+    char = codes[t.start.clip(max=len(codes) - 1)]
+    single = (t.kind == MARK_KIND) & (t.end - t.start == 1)
+    picked = np.flatnonzero(single & tables["paired"][char])
+    if not len(picked):
+        return closes
+    n = len(t.start)
+    before, after = np.maximum(picked - 1, 0), np.minimum(picked + 1, n - 1)
+    left = (picked > 0) & (t.paragraph[before] == t.paragraph[picked]) & (t.end[before] == t.start[picked])
+    right = (picked + 1 < n) & (t.paragraph[after] == t.paragraph[picked]) & (t.start[after] == t.end[picked])
+    word_right = right & (t.kind[after] == WORD_KIND)
+    after_word = left & np.isin(t.kind[before], (WORD_KIND, NUMBER_KIND))
+    stack: list[tuple[int, str]] = []
+    waiting: dict[str, int] = {}
+    current = -1
+    for i, c, p, gl, gr, wr, aw in zip(picked.tolist(), map(chr, char[picked].tolist()), t.paragraph[picked].tolist(), left.tolist(), right.tolist(), word_right.tolist(), after_word.tolist()):
+        if p != current:
+            stack, waiting, current = [], {}, p
+        if c in STRAIGHT or c == "’":
+            shut = waiting.get(c) and (gl or not gr) and (c != "'" or not wr)
+            opening = c in STRAIGHT and gr and not aw
+            mate = c
+        else:
+            shut, opening, mate = waiting.get(c), c in PAIRS, PAIRS.get(c, "")
+        if shut:
+            while True:
+                at, wanted = stack.pop()
+                waiting[wanted] -= 1
+                if wanted == c:
+                    closes[i] = at
+                    break
+        elif opening:
+            stack.append((i, mate))
+            waiting[mate] = waiting.get(mate, 0) + 1
+    return closes
+
+
+class Gaps(NamedTuple):
+    """The possible boundaries of a block: token before, token where its mark began, first guess."""
+
+    last: np.ndarray
+    mark: np.ndarray
+    seed: np.ndarray
+
+
+def _seeds(codes: np.ndarray, t: Tokens, i: np.ndarray, j: np.ndarray, nxt: np.ndarray, lower: np.ndarray, whole: np.ndarray, announced: np.ndarray) -> np.ndarray:
+    """First guesses of the probability of a boundary, from the surface alone: case, lengths, marks."""
+    tables = _tables()
+    char = codes[t.start[i].clip(max=len(codes) - 1)]
+    alone = i == j
+    has = (i > 0) & (t.paragraph[np.maximum(i - 1, 0)] == t.paragraph[i])
+    before = np.maximum(i - 1, 0)
+    length = np.where(has, t.length[before], 0)
+    kind = np.where(has, t.kind[before], -1)
+    period = (char == ord(".")) & (t.end[i] - t.start[i] == 1) & (t.kind[i] == MARK_KIND)
+    dots = (t.kind[i] == MARK_KIND) & ((char == ord("…")) | (t.end[i] - t.start[i] > 1))
+    glued = period & alone & has & (t.end[before] == t.start[i])
+    upper, numeric, alpha = tables["isupper"][nxt], tables["isnumeric"][nxt], tables["isalpha"][nxt]
+    rules = [
+        (whole, np.where(lower, 0.5, 0.95)),
+        (lower, 0.08),
+        (t.kind[i] == LAST_PART, 0.95),
+        (upper & glued & (kind == NUMBER_KIND), 0.4),
+        (upper & glued & (kind == WORD_KIND), np.where(length <= 1, 0.05, np.where(length <= 4, 0.4, 0.9))),
+        (upper, 0.9),
+        (numeric, np.where(~period, 0.9, np.where(length <= 4, 0.25, 0.5))),
+        (~alpha, np.where(alone, 0.85, 0.6)),
+        (~alone, np.where(announced, 0.7, 0.3)),
+        (dots, 0.3),
+        (period & (length <= 1), 0.05),
+    ]
+    return np.select([r[0] for r in rules], [r[1] for r in rules], 0.9)
+
+
+def _gaps(codes: np.ndarray, t: Tokens, closes: np.ndarray, skip: np.ndarray) -> Gaps:
+    """Where a boundary is possible; ``skip`` is, by token, the first token of its paragraph behind a list mark."""
+    tables = _tables()
+    n = len(t.start)
+    char = codes[t.start.clip(max=len(codes) - 1)]
+    mark = t.kind == MARK_KIND
+    ender = mark & (tables["ender"][char] | (t.end - t.start > 1))
+    depth = np.zeros(n + 1, dtype=np.int64)
+    shut = np.flatnonzero(closes >= 0)
+    depth += np.bincount(closes[shut], minlength=n + 1)
+    depth[shut] -= 1
+    depth = np.cumsum(depth)[:n]
+    nxt = np.minimum(np.arange(n) + 1, n - 1)
+    same = (np.arange(n) + 1 < n) & (t.paragraph[nxt] == t.paragraph)
+    follows = same & (ender[nxt] & (t.start[nxt] == t.end) | (closes[nxt] >= 0))
+    last = np.arange(n)
+    taken = np.zeros(n, dtype=bool)
+    for i in np.flatnonzero(ender & follows).tolist():
+        if taken[i]:
+            continue
+        j = i
+        while j + 1 < n and t.paragraph[j + 1] == t.paragraph[i] and (ender[j + 1] and t.start[j + 1] == t.end[j] or 0 <= closes[j + 1] < i):
+            j += 1
+        last[i] = j
+        taken[i + 1 : j + 1] = True
+    spaced = same & (t.start[nxt] > t.end)
+    south = (t.kind == LAST_PART) & spaced & ((t.kind[nxt] == FIRST_PART) | mark[nxt] & tables["opens"][char[nxt]])
+    i = np.flatnonzero((ender & ~taken) | south & ~taken)
+    j = last[i]
+    k = np.minimum(j + 1, n - 1)
+    good = same[j] & (depth[j] == 0) & (j >= skip[j])
+    i, j, k = i[good], j[good], k[good]
+    after = char[k]
+    two = np.minimum(k + 1, n - 1)
+    lower = np.where(tables["dash"][after] & same[k], tables["islower"][char[two]], tables["islower"][after])
+    is_ender = ender[i]
+    tight = is_ender & ~spaced[j] & ~(tables["solid"][char[i]] & (t.end[i] - t.start[i] == 1))
+    blocked = tight & ~(tables["isalpha"][after] & ~lower) & ~(mark[k] & tables["opens"][after]) & ~tables["free"][after]
+    blocked |= mark[k] & (t.end[k] - t.start[k] == 1) & tables["never"][after]
+    i, j, k, after, lower = (x[~blocked] for x in (i, j, k, after, lower))
+    first = closes[j]
+    ahead = np.maximum(first - 1, 0)
+    has = (first > 0) & (t.paragraph[ahead] == t.paragraph[j])
+    whole = (first >= 0) & tables["round"][char[np.maximum(first, 0)]] & ((first <= skip[j]) | has & ender[ahead] | has & (closes[ahead] >= 0))
+    announced = has & mark[ahead] & tables["colon"][char[ahead]]
+    return Gaps(j, i, _seeds(codes, t, i, j, after, lower, whole, announced))
+
+
 class Places(NamedTuple):
-    """The places of a paragraph where a boundary is possible.
+    """Places of one text where a boundary is possible, paragraph by paragraph.
 
-    For each the two words before (``u, v``) and after (``x, y``), whether a single
-    word parts it from the place before (1) or behind (2), and the first guess; and
-    the words at the paragraph's edges, or nothing if it doesn't end like a sentence.
+    ``begin, stop, places``: a paragraph's span and how many places it has. For each
+    place the end of the sentence before it and the start of the one behind, the two
+    words before (``u, v``) and after (``x, y``), whether a single word parts it from the
+    place before (1) or behind (2), and the first guess. ``edges``: the two first and the
+    two last words of every paragraph that ends like a sentence. No word is null.
     """
 
-    u: list[int]
-    v: list[int]
-    x: list[int]
-    y: list[int]
-    link: list[int]
-    seed: list[float]
-    edges: list[int]
+    begin: list
+    stop: list
+    places: list
+    end: list
+    next: list
+    u: list
+    v: list
+    x: list
+    y: list
+    link: list
+    seed: list
+    edges: list
+
+
+NUMBER = "<num>"
+
+
+def analyse(texts: list[str]) -> list[Places]:
+    """The places of every text, all texts together."""
+    offsets = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    spans = [paragraphs(x) for x in texts]
+    counts = np.array([len(x) for x in spans], dtype=np.int64)
+    flat = np.array([p for x in spans for p in x], dtype=np.int64).reshape(-1, 2) + np.repeat(offsets[:-1], counts)[:, None]
+    block = "\n".join(texts)
+    codes = np.frombuffer(block.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    begins, stops = flat[:, 0], flat[:, 1]
+    if not len(codes) or not len(begins):
+        return [Places(*([] for _ in Places._fields)) for _ in texts]
+    t = tokenize(codes, begins, stops)
+    n = len(t.start)
+    head = np.searchsorted(t.paragraph, np.arange(len(begins)))
+    tail = np.searchsorted(t.paragraph, np.arange(len(begins)), side="right")
+    skip = head.copy()
+    for p in range(len(begins)):
+        if m := LIST_MARK.match(block, begins[p], stops[p]):
+            skip[p] += int(np.searchsorted(t.end[head[p] : tail[p]], m.end(), side="right"))
+    closes = _closings(codes, t)
+    gaps = _gaps(codes, t, closes, skip[t.paragraph])
+
+    char = codes[t.start.clip(max=len(codes) - 1)]
+    mark = t.kind == MARK_KIND
+    ender = mark & (_tables()["ender"][char] | (t.end - t.start > 1))
+    straight = mark & _tables()["straight"][char]
+    final = tail - 1
+    for p in np.flatnonzero((tail > head) & (((closes >= 0) | straight) & ~ender)[np.maximum(final, 0)]).tolist():
+        f = int(final[p])
+        while f >= head[p] and (closes[f] >= 0 or straight[f]) and not ender[f]:
+            f -= 1
+        final[p] = f
+    ended = (final >= head) & (ender | (t.kind >= FIRST_PART))[np.maximum(final, 0)]
+
+    # A mark and the quotes or brackets closed after it become one token; of marks alone, the last.
+    drop = np.zeros(n, dtype=bool)
+    merged: dict[int, str] = {}
+    end = t.end.copy()
+    for i, j in zip(gaps.mark[gaps.last > gaps.mark].tolist(), gaps.last[gaps.last > gaps.mark].tolist()):
+        drop[i + 1 : j + 1] = True
+        end[i] = t.end[j]
+        name = lambda x: "…" if t.end[x] - t.start[x] > 1 else block[t.start[x]]
+        merged[i] = name(j) if ender[i : j + 1].all() else "".join(map(name, range(i, j + 1)))
+    kept = np.flatnonzero(~drop)
+    renumber = np.cumsum(~drop) - 1
+    skip_after = np.where(skip < n, renumber[np.minimum(skip, n - 1)] + drop[np.minimum(skip, n - 1)], len(kept))
+    head_after = np.searchsorted(t.paragraph[kept], np.arange(len(begins)))
+    tail_after = np.searchsorted(t.paragraph[kept], np.arange(len(begins)), side="right")
+    skip_after = np.maximum(np.minimum(skip_after, tail_after), head_after)
+
+    def names(at: np.ndarray, within: np.ndarray, least: np.ndarray) -> list[str | None]:
+        """Names of tokens by number; null before ``least`` and beyond the paragraphs ``within``."""
+        good = (at >= least) & (at < tail_after[within])
+        own = kept[np.where(good, at, 0)]
+        out = []
+        for ok, x, a, b, k, w in zip(good.tolist(), own.tolist(), t.start[own].tolist(), t.end[own].tolist(), t.kind[own].tolist(), t.wrapped[own].tolist()):
+            if not ok:
+                out.append(None)
+            elif x in merged:
+                out.append(merged[x])
+            elif k == WORD_KIND:
+                out.append(WRAP.sub("", block[a:b]) if w else block[a:b])
+            elif k == NUMBER_KIND:
+                out.append(NUMBER)
+            elif k == FIRST_PART:
+                out.append("^" + block[a:b])
+            elif k == LAST_PART:
+                out.append("$" + block[max(b - 4, int(t.start[x - 1])) : b])
+            else:
+                out.append("…" if k == MARK_KIND and b - a > 1 else block[a:b])
+        return out
+
+    g = renumber[gaps.mark]
+    p = t.paragraph[gaps.last]
+    least = skip_after[p]
+    base = offsets[owner[p]]
+    ends, nexts = t.end[gaps.last] - base, t.start[np.minimum(gaps.last + 1, n - 1)] - base
+    neighbour = (g[1:] == g[:-1] + 1) & (p[1:] == p[:-1])
+    link = np.zeros(len(g), dtype=np.int64)
+    link[1:] += neighbour
+    link[:-1] += 2 * neighbour
+    u, v, x, y = (names(g + d, p, least) for d in (-1, 0, 1, 2))
+    closed = np.flatnonzero(ended & (tail_after > skip_after))
+    rim = [names(e, closed, skip_after[closed]) for e in (skip_after[closed], skip_after[closed] + 1, tail_after[closed] - 2, tail_after[closed] - 1)]
+    edges = [w for four in zip(*rim) for w in four]
+    places = np.bincount(p, minlength=len(begins))
+    of_text = np.searchsorted(owner, np.arange(len(texts) + 1))
+    at_place = np.concatenate([[0], np.cumsum(places)])[of_text]
+    at_edge = 4 * np.searchsorted(closed, of_text)
+    seeds = gaps.seed
+    begins, stops = begins - offsets[owner], stops - offsets[owner]
+    out = []
+    for i in range(len(texts)):
+        q, r = slice(of_text[i], of_text[i + 1]), slice(at_place[i], at_place[i + 1])
+        out.append(Places(begins[q].tolist(), stops[q].tolist(), places[q].tolist(), ends[r].tolist(), nexts[r].tolist(), u[r], v[r], x[r], y[r], link[r].tolist(), seeds[r].tolist(), edges[at_edge[i] : at_edge[i + 1]]))
+    return out
+
+
+# --- the model -------------------------------------------------------------------------
+
+
+def _kind_of(word: str) -> int:
+    """The symbol of a word that the vocabulary doesn't have."""
+    kinds = _tables()["kind"]
+    first = kinds[ord(word[0])]
+    if first in (LETTER, HAN):
+        return _shape(word)
+    return SHAPES["<other>"] if len(word) > 1 and kinds[ord(word[1])] == SOUTH else SHAPES["<mark>"]
+
+
+class Encoded(NamedTuple):
+    """The numbers of ``Places`` that the passes use, of many texts."""
+
+    u: np.ndarray
+    v: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    link: np.ndarray
+    seed: np.ndarray
+    edges: np.ndarray
 
 
 class Model:
-    """Interpolated trigram probabilities over words, marks and boundaries."""
+    """Interpolated trigram probabilities over words, marks and boundaries.
 
-    def __init__(self, vocabulary: dict[str, int], counts: dict[int, float] | None = None, prior: float = 2.0, spread: float = 100.0, trust: float = 0.5):
-        self.vocabulary, self.counts, self.prior = vocabulary, counts or {}, prior
-        self.spread, self.trust = spread, trust
-        # What follows a closing mark alone doesn't depend on which it is.
-        self.plain = {vocabulary[m]: SHAPES["<end>"] for m in ENDERS if m in vocabulary}
-        self.context: dict[int, float] = {}
-        total = 0.0
-        for key, c in self.counts.items():
-            if key < 1 << BITS:
-                total += c * (key > STAY)
-            else:
-                self.context[key >> BITS] = self.context.get(key >> BITS, 0.0) + c
-        self.total = total
-        self.floor = 1.0 / (len(vocabulary) + FIRST_WORD + 1)
+    ``words`` are the vocabulary, in order of their numbers; ``keys`` and ``values`` the
+    counts of n-grams, a key holding the numbers of its words.
+    """
 
-    def ids(self, p: Paragraph) -> list[int]:
-        get, shapes = self.vocabulary.get, SHAPES
-        return [shapes["<num>"] if k == "num" else get(w) or (shapes["<mark>"] if k == "mark" else shapes["<other>"] if k == "thai" else _shape(w)) for w, k in zip(p.names, p.kinds)]
+    def __init__(self, words: list[str], keys: np.ndarray | None = None, values: np.ndarray | None = None, prior: float = 2.0, spread: float = 100.0, trust: float = 0.5):
+        self.words, self.prior, self.spread, self.trust = words, prior, spread, trust
+        keys = np.empty(0, np.int64) if keys is None else np.asarray(keys, np.int64)
+        values = np.empty(0) if values is None else np.asarray(values, np.float64)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        longer = self.keys >= 1 << BITS
+        self.contexts, at = np.unique(self.keys[longer] >> BITS, return_inverse=True)
+        self.sums = np.bincount(at, weights=self.values[longer], minlength=len(self.contexts))
+        self.total = float(self.values[~longer & (self.keys > STAY)].sum())
+        self.floor = 1.0 / (len(words) + FIRST_WORD + 1)
+        self.table = pa.array(words, pa.string())
+        # What follows a closing mark alone doesn't depend on which it is.
+        self.plain = np.arange(len(words) + FIRST_WORD)
+        for i, w in enumerate(words):
+            if w in ENDERS:
+                self.plain[FIRST_WORD + i] = SHAPES["<end>"]
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of words; EDGE for null, a shape for a word that isn't in the vocabulary."""
+        found = pc.index_in(words, value_set=self.table)
+        out = np.where(found.is_valid().to_numpy(zero_copy_only=False), found.fill_null(0).to_numpy(zero_copy_only=False) + FIRST_WORD, EDGE).astype(np.int64)
+        rest = pc.and_(found.is_null(), words.is_valid()).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(rest).tolist():
+            w = words[i].as_py()
+            out[i] = SHAPES["<num>"] if w == NUMBER else _kind_of(w)
+        return out
 
-    def prob(self, u: int, v: int, w: int) -> float:
-        c, ctx, lam = self.counts, self.context, self.prior
-        p = (c.get(w, 0.0) + lam * self.floor) / (self.total + lam)
+    @staticmethod
+    def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(np.shape(wanted))
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], 0.0)
+
+    def prob(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Probabilities of ``w`` after ``u, v``."""
+        u, v, w = (np.asarray(z, np.int64) for z in np.broadcast_arrays(u, v, w))
+        lam = self.prior
+        p = (self._look(self.keys, self.values, w) + lam * self.floor) / (self.total + lam)
         vw = v << BITS | w
-        p = (c.get(vw, 0.0) + lam * p) / (ctx.get(v, 0.0) + lam)
-        if v == CUT or v == STAY:
-            lam = self.spread  # a rare mark must not own the few words seen after it
-        return (c.get(u << 2 * BITS | vw, 0.0) + lam * p) / (ctx.get(u << BITS | v, 0.0) + lam)
-
-    def places(self, p: Paragraph) -> Places:
-        """The words around every place of ``p`` where a boundary is possible."""
-        w = [EDGE, EDGE, *self.ids(p)[p.skip :], EDGE, EDGE]
-        last = len(w) - 3
-        at = [g - p.skip + 2 for g in p.gaps]
-        link = [(k > 0 and at[k - 1] == i - 1) + 2 * (k + 1 < len(at) and at[k + 1] == i + 1) for k, i in enumerate(at)]
-        edges = [w[2], w[3], w[last - 1], w[last]] if p.ended and last > 1 else []
-        return Places([w[i - 1] for i in at], [w[i] for i in at], [w[i + 1] for i in at], [w[i + 2] for i in at], link, p.seeds, edges)
-
-    def posteriors(self, q: Places) -> list[float]:
+        p = (self._look(self.keys, self.values, vw) + lam * p) / (self._look(self.contexts, self.sums, v) + lam)
+        lam = np.where((v == CUT) | (v == STAY), self.spread, lam)  # a rare mark must not own the few words seen after it
+        return (self._look(self.keys, self.values, u << 2 * BITS | vw) + lam * p) / (self._look(self.contexts, self.sums, u << BITS | v) + lam)
+
+    def posteriors(self, q: Encoded) -> np.ndarray:
         """For each place the probability of a boundary there.
 
         The surface cue stays in as evidence, its odds to the power ``trust``.
-        Forward-backward over the chain of places. The event before matters to
-        the next one only where a single word lies between them.
+        Forward-backward over chains of places: the event before matters to the next one
+        only where a single word lies between them. Chains are walked side by side.
         """
-        prob, trust, plain = self.prob, self.trust, self.plain
-        steps = []  # for each place the weights of (event before, event): 00, 01, 10, 11
-        for u, v, x, y, link, seed in zip(q.u, q.v, q.x, q.y, q.link, q.seed):
-            end = plain.get(v, v)
-            cut, stay = prob(end, CUT, x) * seed**trust, prob(end, STAY, x) * (1.0 - seed) ** trust
-            if not link & 2:  # else an event stands before y
-                cut *= prob(CUT, x, y)
-                stay *= prob(STAY, x, y)
-            if link & 1:
-                steps.append((prob(STAY, v, STAY) * stay, prob(STAY, v, CUT) * cut, prob(CUT, v, STAY) * stay, prob(CUT, v, CUT) * cut))
-            else:
-                one = prob(u, v, STAY) * stay, prob(u, v, CUT) * cut
-                steps.append(one + one)
-        forward, no, yes = [], 1.0, 0.0
-        for w00, w01, w10, w11 in steps:
-            no, yes = no * w00 + yes * w10, no * w01 + yes * w11
-            total = no + yes
-            no, yes = no / total, yes / total
-            forward.append((no, yes))
-        out, no, yes = [0.0] * len(steps), 1.0, 1.0
-        for k in range(len(steps) - 1, -1, -1):
-            f0, f1 = forward[k]
-            out[k] = f1 * yes / (f0 * no + f1 * yes)
-            w00, w01, w10, w11 = steps[k]
-            no, yes = w00 * no + w01 * yes, w10 * no + w11 * yes
-            total = no + yes
-            no, yes = no / total, yes / total
-        return out
-
-    def expected(self, q: Places, post: list[float], into: Counter, unsure: float = 1.0) -> None:
-        """Add the expected counts of the n-grams around hidden events to ``into``.
+        n = len(q.u)
+        if not n:
+            return np.empty(0)
+        prob, v = self.prob, self.plain[q.v]
+        cut, stay = prob(v, CUT, q.x) * q.seed**self.trust, prob(v, STAY, q.x) * (1.0 - q.seed) ** self.trust
+        ahead, behind = (q.link & 2) > 0, (q.link & 1) > 0
+        cut = np.where(ahead, cut, cut * prob(CUT, q.x, q.y))  # else an event stands before y
+        stay = np.where(ahead, stay, stay * prob(STAY, q.x, q.y))
+        w = np.empty((n, 2, 2))  # event before, event
+        w[:, 0, 0] = np.where(behind, prob(STAY, q.v, STAY), prob(q.u, q.v, STAY)) * stay
+        w[:, 0, 1] = np.where(behind, prob(STAY, q.v, CUT), prob(q.u, q.v, CUT)) * cut
+        w[:, 1, 0] = np.where(behind, prob(CUT, q.v, STAY) * stay, w[:, 0, 0])
+        w[:, 1, 1] = np.where(behind, prob(CUT, q.v, CUT) * cut, w[:, 0, 1])
+        starts = np.flatnonzero(~behind)
+        lengths = np.diff(np.append(starts, n))
+        forward, back = np.empty((n, 2)), np.ones((n, 2))
+        forward[starts] = w[starts, 0]
+        forward[starts] /= forward[starts].sum(axis=1, keepdims=True)
+        for step in range(1, int(lengths.max())):
+            at = starts[lengths > step] + step
+            f = np.einsum("ni,nij->nj", forward[at - 1], w[at])
+            forward[at] = f / f.sum(axis=1, keepdims=True)
+        for step in range(int(lengths.max()) - 1, 0, -1):
+            at = starts[lengths > step] + step
+            m = np.einsum("nij,nj->ni", w[at], back[at])
+            back[at - 1] = m / m.sum(axis=1, keepdims=True)
+        both = forward * back
+        return both[:, 1] / both.sum(axis=1)
+
+    def expected(self, q: Encoded, post: np.ndarray, unsure: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and expected counts of the n-grams around hidden events.
 
         Events of a probability between 0.2 and 0.8 enter with weight ``unsure``.
         The edges of a paragraph that ends like a sentence are certain boundaries.
         """
-        if q.edges:
-            x, y, u, v = q.edges
-            self._after(EDGE, CUT, x, y, 1.0, into)
-            self._before(u, v, CUT, 1.0, into)
-        for u, v, x, y, p in zip(q.u, q.v, q.x, q.y, post):
-            weight = unsure if 0.2 < p < 0.8 else 1.0
-            for e, c in ((CUT, p * weight), (STAY, (1.0 - p) * weight)):
-                if c >= 1e-4:
-                    self._before(u, v, e, c, into)
-                    self._after(self.plain.get(v, v), e, x, y, c, into)
-
-    @staticmethod
-    def _before(u: int, v: int, e: int, c: float, into: Counter) -> None:
-        into[e] += c
-        into[v << BITS | e] += c
-        into[u << 2 * BITS | v << BITS | e] += c
-
-    @staticmethod
-    def _after(v: int, e: int, x: int, y: int, c: float, into: Counter) -> None:
-        into[x] += c
-        into[e << BITS | x] += c
-        into[v << 2 * BITS | e << BITS | x] += c
-        into[x << BITS | y] += c
-        into[e << 2 * BITS | x << BITS | y] += c
+        keys, counts = [], []
+
+        def add(mass, *grams):
+            for words in grams:
+                key = np.zeros(len(mass), np.int64)
+                for w in words:
+                    key = key << BITS | w
+                keys.append(key)
+                counts.append(mass)
+
+        x, y, u, v = q.edges.reshape(-1, 4).T
+        one = np.ones(len(x))
+        around = lambda m, e, v, x, y: add(m, (x,), (e, x), (v, e, x), (x, y), (e, x, y))
+        up_to = lambda m, e, u, v: add(m, (np.full(len(m), e),), (v, e), (u, v, e))
+        around(one, CUT, EDGE, x, y)
+        up_to(one, CUT, u, v)
+        weight = np.where((post > 0.2) & (post < 0.8), unsure, 1.0)
+        for e, c in ((CUT, post * weight), (STAY, (1.0 - post) * weight)):
+            some = c > 0
+            up_to(c[some], e, q.u[some], q.v[some])
+            around(c[some], e, self.plain[q.v[some]], q.x[some], q.y[some])
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return found, np.bincount(at, weights=np.concatenate(counts), minlength=len(found))
+
+
+def _encoded(model: Model, columns: dict[str, pa.Array]) -> Encoded:
+    """Numbers of the flattened columns of ``Places``."""
+    words = [model.numbers(columns[n]) for n in ("u", "v", "x", "y")]
+    plain = [columns[n].to_numpy(zero_copy_only=False) for n in ("link", "seed")]
+    return Encoded(*words, plain[0].astype(np.int64), plain[1].astype(np.float64), model.numbers(columns["edges"]))
 
 
 def sentence_spans(text: str, model: Model, threshold: float = 0.5) -> list[tuple[int, int]]:
     """``(start, end)`` of the sentences of ``text``; only white space lies outside them."""
-    spans = []
-    for a, b in paragraphs(text):
-        p = Paragraph(text, a, b)
-        at = a
-        for g, q in zip(p.gaps, model.posteriors(model.places(p))):
-            if q > threshold:
-                spans.append((at, p.ends[g]))
-                at = p.starts[g + 1]
-        spans.append((at, b))
-    return spans
+    q = analyse([text])[0]
+    kinds = {"link": pa.int64(), "seed": pa.float64()}
+    post = model.posteriors(_encoded(model, {n: pa.array(getattr(q, n), kinds.get(n, pa.string())) for n in ("u", "v", "x", "y", "link", "seed", "edges")}))
+    starts, ends, _ = _decided(*(np.array(getattr(q, n), dtype=np.int64) for n in ("begin", "stop", "places", "end", "next")), post > threshold)
+    return list(zip(starts.tolist(), ends.tolist()))
+
+
+def _decided(begin, stop, places, end, nxt, cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of sentences, and the paragraph of each, from the places that are boundaries."""
+    paragraph = np.repeat(np.arange(len(begin)), places)[cut]
+    owner = np.concatenate([np.arange(len(begin)), paragraph])
+    starts, ends = np.concatenate([begin, nxt[cut]]), np.concatenate([stop, end[cut]])
+    order = np.lexsort((starts, owner))
+    last = np.lexsort((ends, owner))
+    return starts[order], ends[last], owner[order]
+
+
+# --- over tables -----------------------------------------------------------------------
+
+_PLACES = "begin array<int>, stop array<int>, places array<int>, `end` array<int>, next array<int>, u array<string>, v array<string>, x array<string>, y array<string>, link array<int>, seed array<double>, edges array<string>"
+_NUMBERS = "begin array<int>, stop array<int>, places array<int>, `end` array<int>, next array<int>, u array<int>, v array<int>, x array<int>, y array<int>, link array<int>, seed array<double>, edges array<int>"
+#: Characters analysed together, unless one text has more.
+BLOCK_CHARS = 500_000
 
 
 def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
@@ -397,71 +695,122 @@ def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     return table
 
 
-def train(texts: DataFrame, text_col: str = "content", vocabulary_size: int = 200_000, max_ngrams: int = 2_000_000, passes: int = 3) -> Model:
-    """A model of all texts of ``texts``.
+def _analysed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id_col`` and the ``Places`` of every text of ``df``, rows equal in id and text once; staged."""
+    spark = df.sparkSession
+    rows = df.select(id_col, text_col).filter(F.col(text_col).rlike(r"\S"))
+    kind = df.schema[id_col].dataType.simpleString()
 
-    Every text is counted. The model keeps the ``vocabulary_size`` most frequent
-    words (others enter by their shape) and the ``max_ngrams`` most frequent
-    n-grams: these parameters bound what is sent to the driver and the workers.
-    """
-    spark = texts.sparkSession
-    rows = texts.select(text_col).filter(F.col(text_col).rlike(r"\S"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # 16 bytes for every text of the partition
 
-    def words(batch: pa.RecordBatch, counter: Counter) -> None:
-        for text in batch.column(0).to_pylist():
-            for a, b in paragraphs(text):
-                p = Paragraph(text, a, b)
-                counter.update(w for w, k in zip(p.names, p.kinds) if k != "num")
+        def out(ids, texts, field):
+            found = analyse(texts)
+            columns = [pa.array([getattr(q, n) for q in found], t) for n, t in zip(Places._fields, types)]
+            return pa.record_batch([pa.array(ids, field.type), *columns], names=[id_col, *Places._fields])
 
-    top = _most_frequent(_counted(rows, words, "string"), vocabulary_size).toArrow().column("key").to_pylist()
-    vocabulary = {w: FIRST_WORD + i for i, w in enumerate(sorted(top))}
-    shared = SharedModel(spark, vocabulary)
+        types = [pa.list_(pa.string()) if n in ("u", "v", "x", "y", "edges") else pa.list_(pa.float64()) if n == "seed" else pa.list_(pa.int32()) for n in Places._fields]
+        for batch in batches:
+            ids, texts, size = [], [], 0
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key = xxhash.xxh3_128_digest(f"{name!r}\0{text}".encode("utf-8", "surrogatepass"))
+                if key in seen:
+                    continue
+                seen.add(key)
+                ids.append(name)
+                texts.append(text)
+                size += len(text)
+                if size > BLOCK_CHARS:
+                    yield out(ids, texts, batch.schema.field(0))
+                    ids, texts, size = [], [], 0
+            if ids:
+                yield out(ids, texts, batch.schema.field(0))
+
+    # The work is heavy on each text, and the files may be few; equal rows meet.
+    dealt = rows.repartition(parts_for(spark, df.count(), 400), F.xxhash64(id_col, text_col))
+    return stage(dealt.mapInArrow(run, f"`{id_col}` {kind}, {_PLACES}"))
+
+
+def _counted(rows: DataFrame, count: Callable[[pa.RecordBatch], tuple], kind: str) -> DataFrame:
+    """``key, n``: what ``count`` finds in the batches of ``rows``."""
 
-    def make(shared=shared):
-        model = shared.get()
+    def run(batches):
+        for batch in batches:
+            keys, n = count(batch)
+            if len(keys):
+                yield pa.record_batch([pa.array(keys, pa.string() if kind == "string" else pa.int64()), pa.array(n, pa.float64())], names=["key", "n"])
 
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [model.places(Paragraph(text, a, b)) for text in batch.column(0).to_pylist() for a, b in paragraphs(text)]
-            found = [q for q in found if q.v or q.edges]
-            kinds = [pa.list_(pa.float64()) if n == "seed" else pa.list_(pa.int32()) for n in Places._fields]
-            return pa.record_batch([pa.array([getattr(q, n) for q in found], t) for n, t in zip(Places._fields, kinds)], names=list(Places._fields))
+    return rows.mapInArrow(run, f"key {kind}, n double").groupBy("key").agg(F.round(F.sum("n"), 6).alias("n")).filter("n > 0")
 
-        return one
 
-    # The passes need only the words around possible boundaries, a small part of the texts.
-    placed = stage(arrow_map(rows, make, ", ".join(f"{n} array<{'double' if n == 'seed' else 'int'}>" for n in Places._fields)))
-    for k in range(passes + 1):
+def _flat(batch: pa.RecordBatch, names) -> dict[str, pa.Array]:
+    return {n: batch.column(n).flatten() for n in names}
 
-        def events(batch: pa.RecordBatch, counter: Counter, shared=shared, first=k == 0) -> None:
-            model = shared.get()
-            for q in map(Places, *(c.to_pylist() for c in batch.columns)):
-                model.expected(q, q.seed if first else model.posteriors(q), counter, UNSURE if first else 1.0)
 
-        grams = _most_frequent(_counted(placed, events, "long").filter(F.col("n") > 0), max_ngrams).toArrow()
-        shared = SharedModel(spark, vocabulary, grams.column(0).to_numpy(), grams.column(1).to_numpy())
-    return shared.get()
+_ENCODED = ("u", "v", "x", "y", "link", "seed", "edges")
 
 
-def _counted(rows: DataFrame, use: Callable[[pa.RecordBatch, Counter], None], kind: str, held: int = 300_000) -> DataFrame:
-    """``key, n``: what ``use`` counts in the batches of ``rows``, ``held`` keys in a worker at most."""
+def _as_encoded(batch: pa.RecordBatch) -> Encoded:
+    return Encoded(*(batch.column(n).flatten().to_numpy(zero_copy_only=False).astype(np.float64 if n == "seed" else np.int64) for n in _ENCODED))
 
-    def run(batches):
-        counter: Counter = Counter()
 
-        def out():
-            keys = list(counter)
-            batch = pa.record_batch([pa.array(keys, pa.string() if kind == "string" else pa.int64()), pa.array([float(counter[k]) for k in keys], pa.float64())], names=["key", "n"])
-            counter.clear()
-            return batch
+def _vocabulary(places: DataFrame, size: int) -> list[str]:
+    """The ``size`` most frequent words around possible boundaries, in order."""
 
+    def words(batch: pa.RecordBatch):
+        every = pa.concat_arrays([batch.column(n).flatten() for n in ("u", "v", "x", "y", "edges")])
+        found = pc.value_counts(every.drop_null().dictionary_encode())
+        return found.field("values").cast(pa.string()), found.field("counts").cast(pa.float64())
+
+    seen = _counted(places.select("u", "v", "x", "y", "edges"), words, "string").filter(F.col("key") != NUMBER)
+    return sorted(_most_frequent(seen, size).toArrow().column("key").to_pylist())
+
+
+def _numbered(places: DataFrame, shared: SharedModel) -> DataFrame:
+    """``places`` with numbers for words; staged."""
+    id_col = places.columns[0]
+    kind = places.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        model = shared.get()
         for batch in batches:
-            use(batch, counter)
-            if len(counter) > held:
-                yield out()
-        if counter:
-            yield out()
+            columns = []
+            for n in Places._fields:
+                c = batch.column(n)
+                if n in ("u", "v", "x", "y", "edges"):
+                    c = pa.ListArray.from_arrays(pc.subtract(c.offsets, c.offsets[0]).cast(pa.int32()), pa.array(model.numbers(c.flatten()), pa.int32()))
+                columns.append(c)
+            yield pa.record_batch([batch.column(0), *columns], names=[id_col, *Places._fields])
+
+    return stage(places.mapInArrow(run, f"`{id_col}` {kind}, {_NUMBERS}"))
+
+
+def _trained(numbered: DataFrame, words: list[str], max_ngrams: int, passes: int) -> Model:
+    spark = numbered.sparkSession
+    shared = SharedModel(spark, words)
+    only = numbered.select(*_ENCODED)
+    for k in range(passes + 1):
 
-    return rows.mapInArrow(run, f"key {kind}, n double").groupBy("key").agg(F.round(F.sum("n"), 6).alias("n"))
+        def events(batch: pa.RecordBatch, shared=shared, first=k == 0):
+            model, q = shared.get(), _as_encoded(batch)
+            return model.expected(q, q.seed if first else model.posteriors(q), UNSURE if first else 1.0)
+
+        grams = _most_frequent(_counted(only, events, "long"), max_ngrams).toArrow()
+        shared = SharedModel(spark, words, grams.column(0).to_numpy(), grams.column(1).to_numpy())
+    return shared.get()
+
+
+def train(texts: DataFrame, text_col: str = "content", vocabulary_size: int = 200_000, max_ngrams: int = 2_000_000, passes: int = 3) -> Model:
+    """A model of all texts of ``texts``.
+
+    Every text is counted, equal ones once. The model keeps the ``vocabulary_size`` most
+    frequent words around possible boundaries (others enter by their shape) and the
+    ``max_ngrams`` most frequent n-grams: these parameters bound what is sent to the
+    driver and the workers.
+    """
+    places = _analysed(texts.select(F.lit(0).alias("id"), text_col), "id", text_col)
+    words = _vocabulary(places, vocabulary_size)
+    return _trained(_numbered(places, SharedModel(texts.sparkSession, words)), words, max_ngrams, passes)
 
 
 _MODELS: dict[str, Model] = {}
@@ -470,46 +819,43 @@ _MODELS: dict[str, Model] = {}
 class SharedModel:
     """A model for the workers: broadcast, and built once in each of them."""
 
-    def __init__(self, spark, vocabulary: dict[str, int], keys=None, values=None):
+    def __init__(self, spark, words: list[str], keys=None, values=None):
         self.name = uuid.uuid4().hex
-        self.held = spark.sparkContext.broadcast((vocabulary, keys, values))
+        self.held = spark.sparkContext.broadcast((words, keys, values))
 
     def get(self) -> Model:
         if self.name not in _MODELS:
-            vocabulary, keys, values = self.held.value
             _MODELS.clear()
-            _MODELS[self.name] = Model(vocabulary, None if keys is None else dict(zip(keys.tolist(), values.tolist())))
+            _MODELS[self.name] = Model(*self.held.value)
         return _MODELS[self.name]
 
 
-def split_sentences(df: DataFrame, id_col: str = "document_id", text_col: str = "content", model: Model | None = None, threshold: float = 0.5) -> DataFrame:
+def split_sentences(df: DataFrame, id_col: str = "document_id", text_col: str = "content", model: Model | None = None, threshold: float = 0.5, vocabulary_size: int = 200_000, max_ngrams: int = 2_000_000, passes: int = 3) -> DataFrame:
     """``(id_col, start_char, end_char)`` of every sentence of every text of ``df``.
 
-    Trains on ``df`` unless a ``model`` is given. Null, empty and blank texts give
-    no rows; repeated rows count once; a null id is kept; other columns are ignored.
+    Trains on ``df`` unless a ``model`` is given, within the bounds of ``train``. Null,
+    empty and blank texts give no rows; repeated rows count once; a null id is kept;
+    other columns are ignored.
     """
-    rows = df.select(id_col, text_col).filter(F.col(text_col).rlike(r"\S"))
+    spark = df.sparkSession
+    places = _analysed(df, id_col, text_col)
+    words = model.words if model else _vocabulary(places, vocabulary_size)
+    numbered = _numbered(places, SharedModel(spark, words))
     if model is None:
-        # Every pass is heavy on each text, and the files may be few.
-        rows = stage(rows.repartition(parts_for(df.sparkSession, df.count(), 400)))
-        model = train(rows, text_col)
-    keys = np.fromiter(model.counts, dtype=np.int64, count=len(model.counts))
-    values = np.fromiter(model.counts.values(), dtype=np.float64, count=len(model.counts))
-    shared = SharedModel(df.sparkSession, model.vocabulary, keys, values)
+        model = _trained(numbered, words, max_ngrams, passes)
+    shared = SharedModel(spark, words, model.keys, model.values)
     kind = df.schema[id_col].dataType.simpleString()
 
-    def make():
+    def run(batches):
         own = shared.get()
-
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, starts, ends = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                spans = sentence_spans(text, own, threshold)
-                ids += [key] * len(spans)
-                starts += [a for a, _ in spans]
-                ends += [b for _, b in spans]
-            return pa.record_batch([pa.array(ids, batch.schema.field(0).type), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[id_col, "start_char", "end_char"])
-
-        return one
-
-    return arrow_map(rows, make, f"`{id_col}` {kind}, start_char int, end_char int").distinct()
+        for batch in batches:
+            cut = own.posteriors(_as_encoded(batch)) > threshold
+            parts = (batch.column(n).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for n in ("begin", "stop", "places", "end", "next"))
+            starts, ends, paragraph = _decided(*parts, cut)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("begin")).to_numpy(zero_copy_only=False))[paragraph]
+            yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[id_col, "start_char", "end_char"])
+
+    # Different texts of one id may have sentences in the same place.
+    several = numbered.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").limit(1).isEmpty()
+    spans = numbered.mapInArrow(run, f"`{id_col}` {kind}, start_char int, end_char int")
+    return spans if several else spans.distinct()

@@ -1,6 +1,9 @@
+import itertools
 import random
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -122,6 +125,7 @@ def test_split_edges(spark):
 
 ENGLISH = ["The first value rose by 3.5 points.", "Dr. A. Smith saw it.", "Was it so?", "“Stop. Look again.” was printed there.", "We saw Fig. 4 and Sec. 12 for it.", "It fell (cf. Sec. 3, approx. 0.5) again.", "Then it ended."]
 CHINESE = ["我们发现结果。", "“可靠吗？”他问道。", "此外，它改善了。"]
+LAO = ["ພວກເຮົາພົບຜົນ", "ຄ່ານີ້ຫຼຸດລົງ"]
 THAI = ["เราพบว่าดัชนีลดผลลัพธ์", "ค่า 18.80 หน่วยหมายถึงตัวอย่าง", "ทีมงานใช้ Sundavar ช่วยอธิบาย"]
 
 
@@ -131,7 +135,7 @@ def test_sentences_of_many_scripts(spark):
     for k in range(300):
         parts, at = [], 0
         for _ in range(r.randint(1, 4)):
-            kind, gap = r.choice([(ENGLISH, " "), (CHINESE, ""), (THAI, " ")])
+            kind, gap = r.choice([(ENGLISH, " "), (CHINESE, ""), (THAI, " "), (LAO, " ")])
             for i in range(n := r.randint(1, 4)):
                 s = r.choice(kind)
                 truth.add((f"d{k}", at, at + len(s)))
@@ -156,16 +160,63 @@ def test_sentences_of_many_scripts(spark):
 
 
 def test_blank_lines_and_pairs_bound_sentences():
-    model = sentences.Model({})
+    model = sentences.Model([])
     spans = lambda t: [t[a:b] for a, b in sentences.sentence_spans(t, model)]
     assert spans("1.2 Methods\r\n\r\nA title\nover lines\n \n(a) An item") == ["1.2 Methods", "A title\nover lines", "(a) An item"]
-    p = sentences.Paragraph("(One thing. Two.) “A? B!” said.", 0, 31)
-    assert [p.names[g] for g in p.gaps] == [".)", "!”"]
+    assert sentences.analyse(["(One thing. Two.) “A? B!” said."])[0].v == [".)", "!”"]
+
+
+def test_tokens():
+    def words(text):
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        t = sentences.tokenize(codes, np.array([0]), np.array([len(text)]))
+        return [text[a:b] for a, b in zip(t.start.tolist(), t.end.tolist())]
+
+    assert words("It's 3.5, vari-\nable x... a²") == ["It's", "3.5", ",", "vari-\nable", "x", "...", "a", "²"]
+    assert words("汉字学 abc汉字 'tis 1.2.3. 5:") == ["汉字", "学", "abc汉字", "'", "tis", "1.2.3", ".", "5", ":"]
+    assert words("ภาษาไทยดี x-\r\n汉d") == ["ภาษา", "ไทยดี", "x-\r\n汉d"] and words("") == []
+
+
+def test_texts_are_analysed_alike_alone_and_together():
+    r = random.Random(9)
+    pieces = [*ENGLISH, *CHINESE, *THAI, "\n\n", " \n", "(a) ", "“", "”", "(", ")", "'", "... ", "-\n", "x", "۔ ", "ບົດຄວາມ ", "። "]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 12))) for _ in range(300)]
+    assert sentences.analyse(texts) == [sentences.analyse([t])[0] for t in texts]
+
+
+def walk_by_hand(model, q):
+    """Posteriors of one chain by all ways to place boundaries."""
+    n, total, yes = len(q.u), 0.0, np.zeros(len(q.u))
+    p = lambda *w: float(model.prob(*w))
+    for events in itertools.product((0, 1), repeat=n):
+        m, e = 1.0, [(sentences.STAY, sentences.CUT)[x] for x in events]
+        for k in range(n):
+            before = e[k - 1] if q.link[k] & 1 else q.u[k]
+            m *= p(before, q.v[k], e[k]) * p(int(model.plain[q.v[k]]), e[k], q.x[k]) * (q.seed[k] if events[k] else 1 - q.seed[k]) ** model.trust
+            m *= 1.0 if q.link[k] & 2 else p(e[k], q.x[k], q.y[k])
+        total += m
+        yes += m * np.array(events)
+    return yes / total
+
+
+def test_posteriors_equal_all_ways_to_place_boundaries():
+    texts = ["Go. No. So it is. Ja! Ok? We saw p. 4 of Sec. A. B. Then.", "A. B. C. D.", "One. Two."]
+    words = sorted({w for q in sentences.analyse(texts) for n in "uvxy" for w in getattr(q, n) if w and w != sentences.NUMBER})
+    r = np.random.default_rng(4)
+    model = sentences.Model(words)
+    for text in texts:
+        q = sentences.analyse([text])[0]
+        kinds = {"link": pa.int64(), "seed": pa.float64()}
+        e = sentences._encoded(model, {n: pa.array(getattr(q, n), kinds.get(n, pa.string())) for n in sentences._ENCODED})
+        for _ in range(2):
+            assert np.allclose(model.posteriors(e), walk_by_hand(model, e))
+            keys, counts = model.expected(e, model.posteriors(e))
+            model = sentences.Model(words, keys, counts * r.uniform(0.5, 2.0, len(keys)))
 
 
 @pytest.mark.parametrize(("text", "sentences_"), [("(a. b.) " * 20_000, 20_000), ("((" * 50_000, 1), ("„x? " * 20_000, 20_000), ("a" * 200_000, 1)])
 def test_very_long_texts(text, sentences_):
-    spans = sentences.sentence_spans(text, sentences.Model({}))
+    spans = sentences.sentence_spans(text, sentences.Model([]))
     assert len(spans) == sentences_ and spans[-1][1] == len(text.rstrip())
     assert canonical.canonical(text) == text and splitting.piece_spans(text)[-1][1] == len(text)
 
