@@ -685,6 +685,8 @@ def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     A histogram of frequencies finds them, so only the bucket that reaches the limit is sorted.
     """
     table = stage(counts)
+    if table.count() <= limit:
+        return table
     bucket = F.floor(F.log2("n") * 16)
     sizes = sorted(((r.b, r.c) for r in table.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
     kept = 0
@@ -856,6 +858,6 @@ def split_sentences(df: DataFrame, id_col: str = "document_id", text_col: str =
             yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[id_col, "start_char", "end_char"])
 
     # Different texts of one id may have sentences in the same place.
-    several = numbered.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").limit(1).isEmpty()
+    unique = numbered.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").isEmpty()
     spans = numbered.mapInArrow(run, f"`{id_col}` {kind}, start_char int, end_char int")
-    return spans if several else spans.distinct()
+    return spans if unique else spans.distinct()
