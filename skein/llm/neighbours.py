@@ -4,14 +4,17 @@ Vectors get binary codes from learned rotations (iterative quantization of the
 principal axes). A code is split into substrings, each with its index. Two codes
 within the Hamming radius ``substrings * (probe + 1) - 1`` agree in some substring up
 to ``probe`` bits, so visiting the cells within ``probe`` bits of one's own in every
-index retrieves them all. Within a cell, candidates are ranked by their exact
-cosines; a row sends on at most its ``k`` best of a cell. Rows of equal direction
+index retrieves them all. Codes that meet in a cell are compared: only those within a
+wider radius, beyond which a pair hardly reaches the least similarity, are ranked, by
+the exact cosines of their vectors, and every pair once, in the first of the indexes in
+which it meets. A row sends on at most its ``k`` best of a cell. Rows of equal direction
 are one class throughout; full cells are cut into blocks and met block by block.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import combinations
 
 import numpy as np
@@ -44,15 +47,42 @@ def fit_codes(sample: np.ndarray, bits: int, rounds: int = 40, seed: int = 7) ->
     return np.concatenate(parts, axis=1)
 
 
-def index_plan(rows: int, target: int = 8192) -> tuple[int, int, int]:
+#: Bits of a code that are compared in a cell.
+CODE_BITS = 128
+
+
+def index_plan(rows: int, target: int = 4096) -> tuple[int, int, int]:
     """Bits of a substring, bits to probe, and number of substrings, for ``rows`` codes.
 
-    Cells shall hold about ``target`` rows. Short substrings are met exactly in many
+    Cells shall hold about ``target`` rows. Short substrings are met exactly in a few
     indexes; longer ones, which more rows need, in more indexes, or within a bit or two
     in fewer, so that a pair at cosine 0.80 shares a cell about as often in all plans.
     """
-    bits = int(np.clip(np.ceil(np.log2(max(rows, 1) / target)), 8, 24))
-    return (bits, 0, {8: 16, 9: 21, 10: 27}[bits]) if bits <= 10 else (bits, 1, 8) if bits <= 14 else (bits, 2, 6)
+    bits = int(np.clip(np.ceil(np.log2(max(rows, 1) / target)), 5, 24))
+    return (bits, 0, {5: 8, 6: 10, 7: 13, 8: 16, 9: 21, 10: 27}[bits]) if bits <= 10 else (bits, 1, 8) if bits <= 14 else (bits, 2, 6)
+
+
+def code_radius(least: float, bits: int = CODE_BITS, spread: float = 2.0) -> int:
+    """The Hamming radius that a pair at cosine ``least`` exceeds only by ``spread`` standard deviations, were bits independent."""
+    differ = math.acos(max(-1.0, min(1.0, least))) / math.pi
+    return math.ceil(bits * differ + spread * math.sqrt(bits * differ * (1.0 - differ)))
+
+
+def substrings(codes: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """``(rows, tables)``: the numbers that the substrings of packed codes stand for."""
+    flat = np.unpackbits(codes, axis=1, count=tables * bits)
+    return flat.reshape(len(codes), tables, bits).astype(np.int32) @ (1 << np.arange(bits, dtype=np.int32))
+
+
+def first_meeting(own: np.ndarray, others: np.ndarray, table: int, cell: int, probe: int) -> np.ndarray:
+    """Whether pairs of codes, as substrings, meet in ``cell`` of ``table`` first.
+
+    Both visit the cells with up to ``probe`` of their zero bits set, so they meet in a
+    table where each lacks no more bits of the other, first where both are joined.
+    """
+    lacks = np.bitwise_count(others & ~own)
+    meets = (lacks <= probe) & (np.bitwise_count(own & ~others) <= probe)
+    return (np.argmax(meets, axis=1) == table) & (own[:, table] | others[:, table] == cell)
 
 
 def _read_vectors(column) -> np.ndarray:
@@ -64,41 +94,40 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def best_in_cell(own: np.ndarray, others: np.ndarray, k: int, least: float, same: bool, block: int = 256):
-    """Of each row of ``own`` its ``k`` best in ``others``: row, column, rounded cosine.
+def best_in_cell(vectors: np.ndarray, codes: np.ndarray, subs: np.ndarray, own: np.ndarray, others: np.ndarray, k: int, least: float, radius: int, table: int, cell: int, probe: int, block: int = 512):
+    """Of each row of ``own`` its ``k`` best in ``others``: row, other row, rounded cosine.
 
-    ``others`` must be sorted by id; ties go to the earlier column. Single precision
-    finds the candidates, with a margin for its error; doubles rank them.
+    Rows must be in order of their ids; ties go to the earlier one. Pairs beyond
+    ``radius`` and those that meet in another index before aren't ranked.
     """
-    margin = 4e-6
-    small, big = own.astype(np.float32), others.astype(np.float32)
-    rows, cols, sims = [], [], []
+    words = np.ascontiguousarray(codes).view(np.uint64)
+    found = []
     for at in range(0, len(own), block):
-        s = small[at : at + block] @ big.T
-        if same:
-            s[np.arange(len(s)), at + np.arange(len(s))] = -2.0
-        hit = s >= least - margin
-        many = np.flatnonzero(hit.sum(axis=1) > 4 * k)
-        if len(many):
-            kth = -np.partition(-s[many], k - 1, axis=1)[:, k - 1]
-            hit[many] &= s[many] >= (kth - margin)[:, None]
-        r, c = np.nonzero(hit)
-        if not len(r):
+        part = own[at : at + block]
+        apart = np.zeros((len(part), len(others)), dtype=np.uint16)
+        for w in range(CODE_BITS // 64):
+            apart += np.bitwise_count(words[part, w][:, None] ^ words[others, w][None, :])
+        r, c = np.nonzero(apart <= radius)
+        i, j = part[r], others[c]
+        good = i != j
+        i, j = i[good], j[good]
+        exact = []
+        for x in range(0, len(i), 65536):
+            a, b = i[x : x + 65536], j[x : x + 65536]
+            new = first_meeting(subs[a], subs[b], table, cell, probe)
+            cosine = np.full(len(a), -2.0)
+            cosine[new] = np.round(np.einsum("ij,ij->i", vectors[a[new]], vectors[b[new]]), 6)
+            exact.append(cosine)
+        if not exact:
             continue
-        exact = np.concatenate([np.einsum("ij,ij->i", own[at + r[x : x + 65536]], others[c[x : x + 65536]]) for x in range(0, len(r), 65536)])
-        exact = np.round(exact, 6)
-        keep = exact >= least
-        r, c, exact = r[keep], c[keep], exact[keep]
-        order = np.lexsort((c, -exact, r))
-        r, c, exact = r[order], c[order], exact[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r, side="left")
-        keep = place < k
-        rows.append(at + r[keep])
-        cols.append(c[keep])
-        sims.append(exact[keep])
-    if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(sims)
+        cosine = np.concatenate(exact)
+        keep = cosine >= least
+        i, j, cosine = i[keep], j[keep], cosine[keep]
+        order = np.lexsort((j, -cosine, i))
+        i, j, cosine = i[order], j[order], cosine[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+        found.append((i[keep], j[keep], cosine[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
 def _direction_classes(df: DataFrame, id_col: str, vector_col: str, width: int) -> tuple[DataFrame, DataFrame]:
@@ -157,55 +186,55 @@ def similar_pairs(
     empty = spark.createDataFrame([], f"id {kind}, other {kind}, similarity double")
     if not total:
         return empty
-    picked = classes.filter(F.pmod(F.xxhash64("key"), F.lit(total)) < 2 * sample_rows).select("vector").limit(sample_rows).toArrow()
+    by_hash = F.xxhash64("key")
+    picked = classes.filter(F.pmod(by_hash, F.lit(total)) < 2 * sample_rows).select("vector", by_hash.alias("h")).orderBy("h").limit(sample_rows).toArrow()
     sample = _unit(_read_vectors(picked.column(0)))
     bits, probe, tables = plan or index_plan(total)
-    rotation = spark.sparkContext.broadcast(fit_codes(sample, tables * bits))
+    rotation = spark.sparkContext.broadcast(fit_codes(sample, max(CODE_BITS, tables * bits)))
     flips = [sum(1 << b for b in c) for n in range(probe + 1) for c in combinations(range(bits), n)]
+    radius = code_radius(least)
 
     def make_codes():
         matrix = rotation.value
-        powers = 1 << np.arange(bits)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            codes = _unit(_read_vectors(batch.column("vector"))) @ matrix > 0
-            cells = codes.reshape(len(codes), tables, bits) @ powers + (np.arange(tables) << bits)
-            return pa.record_batch([batch.column("rep"), batch.column("vector"), pa.array(list(cells.astype(np.int32)), pa.list_(pa.int32()))], names=["rep", "vector", "cells"])
+            codes = np.packbits(_unit(_read_vectors(batch.column("vector"))) @ matrix > 0, axis=1)
+            cells = substrings(codes, bits, tables) + (np.arange(tables, dtype=np.int32) << bits)
+            return pa.record_batch([batch.column("rep"), batch.column("vector"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(list(cells), pa.list_(pa.int32()))], names=["rep", "vector", "code", "cells"])
 
         return one
 
-    coded = arrow_map(classes.select("rep", "vector"), make_codes, f"rep {kind}, vector binary, cells array<int>")
+    coded = arrow_map(classes.select("rep", "vector"), make_codes, f"rep {kind}, vector binary, code binary, cells array<int>")
     # A row lies in its own cell and visits those with some of its zero bits set: of
     # two cells that differ, both meet in each cell between them.
     at = F.explode(F.col("cells"))
     if probe:
         visited = F.flatten(F.transform("cells", lambda c: F.transform(F.filter(F.lit(flips), lambda f: c.bitwiseAND(f) == 0), lambda f: c.bitwiseOR(f))))
         at = F.explode(visited)
-    rows = coded.select("rep", "vector", at.alias("cell"))
+    rows = coded.select("rep", "vector", "code", at.alias("cell"))
     # Cells of several blocks: at most one for each cell_rows rows, so a small table.
     sizes = coded.select(at.alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("blocks")).filter("blocks > 1")
     placed = rows.join(small(stage(sizes)), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = placed.select("cell", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "rep", "vector")
+    units = placed.select("cell", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "rep", "vector", "code")
 
     def meet(batches):
-        for table in key_runs(batches, ["cell", "x", "y"]):
-            unit = _unit(_read_vectors(table.column("vector").combine_chunks()))
-            reps = table.column("rep").combine_chunks()
-            x, y, block = table.column("x")[0].as_py(), table.column("y")[0].as_py(), table.column("block").to_numpy()
-            if x == y:
-                sides = [(np.arange(len(unit)), np.arange(len(unit)), True)]
-            else:
-                one, two = np.flatnonzero(block == x), np.flatnonzero(block == y)
-                sides = [(one, two, False), (two, one, False)]
-            for own, others, same in sides:
-                r, c, s = best_in_cell(unit[own], unit[others], k, least, same)
+        for met in key_runs(batches, ["cell", "x", "y"]):
+            unit = _unit(_read_vectors(met.column("vector").combine_chunks()))
+            codes = np.frombuffer(b"".join(met.column("code").to_pylist()), dtype=np.uint8).reshape(len(unit), -1)
+            subs, codes = substrings(codes, bits, tables), codes[:, : CODE_BITS // 8]
+            reps = met.column("rep").combine_chunks()
+            cell, x, y = (met.column(c)[0].as_py() for c in ("cell", "x", "y"))
+            block = met.column("block").to_numpy()
+            one, two = np.flatnonzero(block == x), np.flatnonzero(block == y)
+            for own, others in [(one, one)] if x == y else [(one, two), (two, one)]:
+                r, c, sim = best_in_cell(unit, codes, subs, own, others, k, least, radius, cell >> bits, cell & ((1 << bits) - 1), probe)
                 if len(r):
-                    yield pa.record_batch([reps.take(pa.array(own[r])), reps.take(pa.array(others[c])), pa.array(s)], names=["rep", "near", "similarity"])
+                    yield pa.record_batch([reps.take(pa.array(r)), reps.take(pa.array(c)), pa.array(sim)], names=["rep", "near", "similarity"])
 
     visits = total * tables * (1 + probe * bits // 2)
     ordered = units.repartition(parts_for(spark, visits, 50_000), "cell", "x", "y").sortWithinPartitions("cell", "x", "y", "rep")
-    near = ordered.mapInArrow(meet, f"rep {kind}, near {kind}, similarity double").groupBy("rep", "near").agg(F.max("similarity").alias("similarity"))
+    near = ordered.mapInArrow(meet, f"rep {kind}, near {kind}, similarity double")  # a pair is ranked once each way
     best = Window.partitionBy("rep").orderBy(F.desc("similarity"), "near")
     near = stage(near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r"))
 

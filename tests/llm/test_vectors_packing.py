@@ -40,15 +40,33 @@ def test_neighbours_equal_brute_force(spark, cell, plan):
 
 
 def test_plans_follow_the_rows():
-    assert neighbours.index_plan(1000) == neighbours.index_plan(2_000_000) == (8, 0, 16)
-    assert neighbours.index_plan(8_000_000)[:2] == (10, 0) and neighbours.index_plan(30_000_000)[:2] == (12, 1)
+    assert neighbours.index_plan(1000) == neighbours.index_plan(100_000) == (5, 0, 8) and neighbours.index_plan(1_000_000) == (8, 0, 16)
+    assert neighbours.index_plan(4_000_000)[:2] == (10, 0) and neighbours.index_plan(15_000_000)[:2] == (12, 1)
 
 
 def test_plans_keep_the_chance_to_share_a_cell():
     agree = 1 - math.acos(0.8) / math.pi
-    for rows in (1000, 3_000_000, 8_000_000):
+    for rows in (1000, 200_000, 500_000, 1_000_000, 2_000_000, 4_000_000):
         bits, probe, tables = neighbours.index_plan(rows)
-        assert probe == 0 and 1 - (1 - agree**bits) ** tables > 0.935
+        assert probe == 0 and 1 - (1 - agree**bits) ** tables > 0.93
+
+
+@pytest.mark.parametrize(("bits", "probe", "tables"), [(3, 0, 4), (4, 1, 3), (5, 2, 2)])
+def test_a_pair_is_ranked_in_one_cell(bits, probe, tables):
+    flips = [f for f in range(1 << bits) if bin(f).count("1") <= probe]
+    r = np.random.default_rng(5)
+    own, others = r.integers(0, 1 << bits, (2, 300, tables)).astype(np.int32)
+    for a, b in zip(own, others):
+        both = [{c | f for f in flips if c & f == 0} & {d | f for f in flips if d & f == 0} for c, d in zip(a.tolist(), b.tolist())]
+        met = [(t, c) for t in range(tables) for c in both[t]]
+        chosen = [m for m in met if neighbours.first_meeting(a[None], b[None], m[0], m[1], probe)[0]]
+        assert len(chosen) == (1 if met else 0)
+
+
+def test_substrings_and_radius():
+    codes = np.packbits(np.array([[1, 0, 1, 1, 1, 0, 0, 1, 0, 1, 1, 0, 0, 0, 0, 0]], dtype=bool), axis=1)
+    assert neighbours.substrings(codes, 3, 4).tolist() == [[5, 3, 2, 3]]
+    assert neighbours.code_radius(0.8) == 36 and neighbours.code_radius(1.0) == 0
 
 
 @pytest.mark.parametrize(("bits", "probe"), [(10, 1), (14, 2)])
