@@ -139,14 +139,8 @@ def _digest(text: str) -> bytes:
     return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
 
-def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 50_000) -> DataFrame:
-    """``(id_col_a, id_col_b)``, smaller first, of rows whose texts look the same but are not stored alike.
-
-    Null texts and texts that look blank take no part, nor do null ids; a repeated
-    id with the same text counts once. Rows stored alike are grouped by digest
-    before any pairing, so identical copies are never compared with one another;
-    large groups are salted on both sides.
-    """
+def _digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, form, raw``: digests of the canonical form and of the text as it is stored; staged."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def make():
@@ -163,10 +157,40 @@ def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return one
 
     rows = df.select(id_col, text_col).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    digests = stage(arrow_map(rows, make, f"id {kind}, form binary, raw binary"))
+    return stage(arrow_map(rows, make, f"id {kind}, form binary, raw binary"))
+
+
+def _members(digests: DataFrame) -> DataFrame:
+    """Rows of ``digests`` whose form is stored in several ways, each once; staged."""
     kinds = digests.select("form", "raw").distinct()
     varied = kinds.groupBy("form").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("form")
-    members = stage(digests.join(varied, "form", "left_semi").distinct())
+    return stage(digests.join(varied, "form", "left_semi").distinct())
+
+
+def look_alike_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, class_id, stored_id, variants`` of every row that looks like another stored differently.
+
+    ``class_id`` is the least id of all that look the same, ``stored_id`` the least of
+    those that are stored alike too, and ``variants`` counts the ways of storing in the
+    class: what ``look_alike_pairs`` gives as pairs, in one row a document however many
+    copies there are. Null ids and texts, and texts that look blank, have no row.
+    """
+    members = _members(_digests(df, id_col, text_col))
+    stored = members.groupBy("form", "raw").agg(F.min("id").alias("stored_id"))
+    classes = stored.groupBy("form").agg(F.min("stored_id").alias("class_id"), F.count(F.lit(1)).alias("variants"))
+    named = stage(stored.join(classes, "form").select("form", "raw", "stored_id", "class_id", "variants"))
+    return members.join(small(named), ["form", "raw"]).select(F.col("id").alias(id_col), "class_id", "stored_id", "variants")
+
+
+def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 50_000) -> DataFrame:
+    """``(id_col_a, id_col_b)``, smaller first, of rows whose texts look the same but are not stored alike.
+
+    Null texts and texts that look blank take no part, nor do null ids; a repeated
+    id with the same text counts once. Rows stored alike are grouped by digest
+    before any pairing, so identical copies are never compared with one another;
+    large groups are salted on both sides. Where copies are many, see ``look_alike_classes``.
+    """
+    members = _members(_digests(df, id_col, text_col))
 
     hot = small(hot_keys(members, ["form", "raw"], hot_rows, "n"))
     salted = members.join(hot, ["form", "raw"], "left").withColumn("salts", F.ceil(F.coalesce("n", F.lit(1)) / hot_rows).cast("int"))

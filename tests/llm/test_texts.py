@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skein.llm import canonical, leakage, sentences, splitting
 
@@ -43,6 +44,16 @@ def test_pairs(spark):
     assert len(forms) == len(rows) and forms[5].text is None and forms[1].text == "fine"
 
 
+def test_classes_say_what_pairs_say(spark):
+    rows = [(1, "fine"), (2, "ﬁne"), (3, "fine"), (4, " ​"), (6, None), (7, "ｆine"), (None, "ﬁne"), (2, "ﬁne"), (9, "other"), (10, "other")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("class_id", F.lit("clash"))
+    got = {tuple(x) for x in canonical.look_alike_classes(df).collect()}
+    assert got == {(1, 1, 1, 3), (3, 1, 1, 3), (2, 1, 2, 3), (7, 1, 7, 3)}
+    pairs = {(a[0], b[0]) for a in got for b in got if a[0] < b[0] and a[1] == b[1] and a[2] != b[2]}
+    assert pairs == {tuple(x) for x in canonical.look_alike_pairs(df).collect()}
+    assert canonical.look_alike_classes(df.limit(0)).count() == 0
+
+
 def brute_leaks(docs, items, span):
     out = set()
     for d, t in docs:
@@ -111,6 +122,12 @@ def test_pieces_equal_the_rule():
         assert splitting.piece_spans(t, 120, 60, 15) == slow_pieces(t, 120, 60, 15)
 
 
+def test_sections_come_before_paragraphs():
+    t = "a " * 40 + "\n\n" + "b " * 10 + "\n# Next\n\n" + "c " * 60
+    spans = splitting.piece_spans(t, 120, 60, 15, section=r"(?m)^# ")
+    assert t[: spans[0][1]].endswith("b \n") and t[spans[0][1] :].startswith("# Next") and splitting.piece_spans(t, 120, 60, 15)[0][1] != spans[0][1]
+
+
 def test_split_edges(spark):
     long = "word " * 500
     df = spark.createDataFrame([("a", long), ("a", long), ("b", "short"), ("c", ""), ("d", None), (None, "z" * 1300)], "document_id string, content string").selectExpr("*", "1 as start_char")
