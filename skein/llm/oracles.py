@@ -79,7 +79,7 @@ P7 = (
 )
 
 # The packings can't be listed; what they must hold can. Every document has a text of its own id.
-P6 = "SELECT window_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS overfull, 0 AS broken, 0 AS cut, true AS filled FROM context_windows"
+P6 = "SELECT window_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS cut, true AS filled FROM context_windows"
 
 P8_CLASSES = (
     f"WITH f AS (SELECT doc_id, text, {_canonical('text')} AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), g AS (SELECT DISTINCT * FROM f WHERE regexp_matches(form, '[^ \\t\\r\\n]')) "
