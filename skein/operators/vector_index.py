@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import Registry
+from ..shared import file_system, stage
 
 #: Numbers of a block of query vectors sent to the workers at once (64 MB of doubles).
 BLOCK_NUMBERS = 8_000_000
@@ -131,12 +132,13 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     rows = vectors.select(id_col, vector).filter(F.col(vector).isNotNull())
     rows = rows if unique else rows.dropDuplicates([id_col])
     found = spark.createDataFrame([], schema)
-    asked = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull()).dropDuplicates([query_id])
-    width = asked.select(F.max(F.size(query_vector))).first()[0]
+    # Query vectors may come from a model: they are made once.
+    asked = stage(queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull()).dropDuplicates([query_id]))
+    width, total = asked.select(F.max(F.size(query_vector)), F.count(F.lit(1))).first()
     if k < 1 or not width:
         return found.select(query_id, F.lit(1).alias("rank"), id_col, "score")
     per_block = max(1, BLOCK_NUMBERS // width)
-    blocks = max(1, -(-asked.count() // per_block))
+    blocks = max(1, -(-total // per_block))
     for b in range(blocks):
         part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
         table = part.toArrow()
@@ -199,8 +201,6 @@ def add_vectors(path: str, chunks: DataFrame) -> int:
 
     A missing vector, or a width other than that of the table, is an error; no rows change nothing.
     """
-    from ..shared import file_system
-
     spark = chunks.sparkSession
     row = vector_checks(chunks).first()
     if not row.vectors:

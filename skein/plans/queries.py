@@ -57,9 +57,14 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "chunks").dropDuplicates(["chunk_id"])
 
 
+def chunk_texts(spark: SparkSession, d: str) -> DataFrame:
+    """``chunks`` for queries that need the contents: only repeated ones are shuffled."""
+    return once(read_table(spark, d, "chunks"), "chunk_id")
+
+
 def by_chunker(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with a chunker that isn't null, as each has an index of its own."""
-    return chunks(spark, d).withColumn("chunker", F.coalesce("chunker", F.lit("")))
+    return chunk_texts(spark, d).withColumn("chunker", F.coalesce("chunker", F.lit("")))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -341,7 +346,7 @@ def chunk_summary(spark: SparkSession, d: str) -> DataFrame:
     "SELECT count(*) AS chunks, CAST(count_if(NOT coalesce(x = y, false)) AS BIGINT) AS broken FROM j"
 )
 def verify_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return C.verify_offsets(papers(spark, d), chunks(spark, d))
+    return C.verify_offsets(texts(spark, d), chunk_texts(spark, d))
 
 
 # --- vectors ---------------------------------------------------------------------------
@@ -416,7 +421,7 @@ def chunk_dense_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_CHUNKS}, e AS ({_hashed('chunks_', 'chunk_id', 'content')}) SELECT chunk_id, 64 AS width, round(coalesce(sqrt(sum(x * x)), 0), 4) AS length FROM chunks_ LEFT JOIN e USING (chunk_id) GROUP BY ALL")
 def embed_hash(spark: SparkSession, d: str) -> DataFrame:
     v = V.embed_column(F.col("content"), V.get_embedder("hashing"))
-    return chunks(spark, d).select("chunk_id", v.alias("v")).select("chunk_id", F.size("v").alias("width"), F.round(norm(F.col("v")), 4).alias("length"))
+    return chunk_texts(spark, d).select("chunk_id", v.alias("v")).select("chunk_id", F.size("v").alias("width"), F.round(norm(F.col("v")), 4).alias("length"))
 
 
 # --- lexical search and fusion ---------------------------------------------------------
@@ -518,7 +523,7 @@ _LEXICAL = "s AS (SELECT query_id, chunk_id, round(sum(m * idf * tf * 2.5 / (tf
 )
 def hybrid_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and queries embedded, searched by vectors and by terms, and fused."""
-    embedder, rows = V.get_embedder("hashing"), chunks(spark, d).select("chunk_id", "content")
+    embedder, rows = V.get_embedder("hashing"), chunk_texts(spark, d).select("chunk_id", "content")
     built = pipeline.Index(rows, rows.select("chunk_id", V.embed_column(F.col("content"), embedder).alias("embedding")), lexical.fit(rows, stem=False), embedder)
     return pipeline.retrieve(built, asked(spark, d), "hybrid:0.5:weighted", 5).drop("retriever_type")
 
@@ -573,7 +578,7 @@ _LABEL = "'[' || rank || '] ' || source || coalesce(' p' || page_number, '')"
 
 @query(f"WITH {_CHUNKS} SELECT chunk_id, '[1] ' || source || coalesce(' p' || page_number, '') AS label, {_snippet('content', 300, '...')} AS snippet FROM chunks_")
 def passage_snippets(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d)
+    c = chunk_texts(spark, d)
     return c.select("chunk_id", T.passage_label(F.lit(1), F.col("source"), F.col("page_number")).alias("label"), T.snippet(F.col("content"), 300, "...").alias("snippet"))
 
 
@@ -716,16 +721,34 @@ def chunk_section_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 def _paragraph_sections(spark: SparkSession, d: str) -> DataFrame:
     """Every paragraph of a paper as a section of it."""
-    p = papers(spark, d).filter("content is not null")
+    p = texts(spark, d).filter("content is not null")
     return p.select("paper_id", F.posexplode(F.split("content", "\n\n")).alias("section_index", "text"))
 
 
-@query()
+_PROSE = r"regexp_replace(lower(regexp_replace(text, '\$\$.*?\$\$|\$[^$]*\$|\\begin\{.*?\}.*?\\end\{.*?\}|\\[a-zA-Z]+\s*|<[^>]{1,60}>', ' ', 'gs')), '[^a-z0-9]', '', 'g')"
+
+
+# Sections one after the other: from the cursor, the first probe found says where a section
+# begins, and the cursor moves behind that. Fallback probes are shorter, at the first offsets.
+_FOUND = (
+    "list_filter(list_transform({probes}, lambda o: [o, strpos(substr(flat, cursor + 1), substr(p, CAST(o AS INT) + 1, {width})) - 1]), lambda x: x[2] >= 0)"
+)
+
+
+@query(
+    f"WITH RECURSIVE {_PAPERS}, doc_ AS (SELECT document_id, paper_id, content, regexp_replace(lower(content), '[^a-z0-9]', '', 'g') AS flat, list_filter(range(len(content)), lambda i: regexp_matches(lower(content[i + 1]), '^[a-z0-9]')) AS spots FROM papers_ WHERE content IS NOT NULL), "
+    f"sec_ AS (SELECT paper_id, i - 1 AS i, {_PROSE} AS p FROM (SELECT paper_id, unnest(ps) AS text, generate_subscripts(ps, 1) AS i FROM (SELECT paper_id, string_split(content, chr(10) || chr(10)) AS ps FROM papers_ WHERE content IS NOT NULL))), "
+    "probed_ AS (SELECT *, CASE WHEN len(p) >= 40 THEN range(0, len(p) - 39, greatest(1, (len(p) - 40) // 12)) ELSE []::BIGINT[] END AS wide, range(0, least(4, greatest(len(p) - 23, 0))) AS near FROM sec_), "
+    "walk_ AS (SELECT document_id, CAST(-1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS cursor, CAST(NULL AS BIGINT) AS place, CAST(0 AS BIGINT) AS hits FROM doc_ UNION ALL "
+    "SELECT document_id, i, CASE WHEN place IS NULL THEN cursor ELSE place + 1 END, place, hits FROM (SELECT *, CASE WHEN spot < len(spots) THEN spot END AS place FROM (SELECT *, CASE WHEN len(w) > 0 THEN greatest(cursor, cursor + w[1][2] - w[1][1]) WHEN len(s) > 0 THEN greatest(cursor, cursor + s[1][2] - s[1][1]) END AS spot, CASE WHEN len(w) > 0 THEN len(w) ELSE 1 END AS hits FROM "
+    f"(SELECT d.document_id, q.i, cursor, spots, {_FOUND.format(probes='wide', width=40)} AS w, {_FOUND.format(probes='near', width=24)} AS s FROM walk_ JOIN doc_ d USING (document_id) JOIN probed_ q ON q.paper_id = d.paper_id AND q.i = walk_.i + 1)))), "
+    "hit_ AS (SELECT document_id, paper_id, CAST(i AS INT) AS section_index, CAST(spots[place + 1] AS INT) AS start_char, len(content) AS n, CAST(hits AS INT) AS probe_hits FROM walk_ JOIN doc_ USING (document_id) WHERE place IS NOT NULL) "
+    "SELECT document_id, paper_id, section_index, start_char, CAST(coalesce(lead(start_char) OVER (PARTITION BY document_id ORDER BY start_char, section_index), n) AS INT) AS end_char, probe_hits FROM hit_"
+)
 def locate_sections(spark: SparkSession, d: str) -> DataFrame:
-    return relevance.locate_sections(papers(spark, d), _paragraph_sections(spark, d))
+    return relevance.locate_sections(texts(spark, d), _paragraph_sections(spark, d))
 
 
-_PROSE = r"regexp_replace(lower(regexp_replace(text, '\$\$.*?\$\$|\$[^$]*\$|\\begin\{.*?\}.*?\\end\{.*?\}|\\[a-zA-Z]+\s*|<[^>]{1,60}>', ' ', 'gs')), '[^a-z0-9]', '', 'g')"
 
 
 @query(
