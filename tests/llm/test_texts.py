@@ -183,6 +183,14 @@ def test_blank_lines_and_pairs_bound_sentences():
     assert sentences.analyse(["(One thing. Two.) “A? B!” said."])[0].v == [".)", "!”"]
 
 
+def test_sums_of_sentences_show_faults(spark):
+    df = spark.createDataFrame([("a", "One two. Three"), ("a", "One two. Three"), ("b", " "), ("c", None)], "document_id string, content string")
+    spans = lambda *x: spark.createDataFrame([("a", *p) for p in x], "document_id string, start_char int, end_char int")
+    sums = lambda *x: [tuple(r) for r in sentences.sentence_sums(df, spans(*x)).collect()]
+    assert sums((0, 8), (9, 14)) == [("a", 11, 0, 0)] and sums((0, 9), (7, 14)) == [("a", 11, 1, 1)]
+    assert [tuple(r) for r in sentences.sentence_sums(df, sentences.split_sentences(df)).collect()] == [("a", 11, 0, 0)]
+
+
 def test_tokens():
     def words(text):
         codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
