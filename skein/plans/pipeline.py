@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..operators import answers, chunking, fusion, lexical, metrics, rerank
 from ..operators import vector_index as V
 from ..schema import RUNS
+from ..sources import tables
 from .config import Pipeline, group_by_index
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -30,6 +31,24 @@ class Index:
     embedder: Embedder
 
 
+@dataclass(frozen=True)
+class Parts:
+    """The components that a configuration names."""
+
+    load: Callable[..., DataFrame]
+    chunk: Callable[[DataFrame], DataFrame]
+    embed: Embedder
+    search: Callable[..., DataFrame]
+
+
+def build_parts(cell: Pipeline) -> Parts:
+    """Loader, chunker, embedder and store of ``cell``; a name that isn't known raises before any data is read."""
+    embed, options = V.get_embedder(cell.embedder.name), dict(cell.loader.options)
+    chunking.parse_chunker(cell.chunker.spec)
+    load, search = tables.get_loader(cell.loader.name), V.get_store(cell.store.name)
+    return Parts(partial(load, **options), lambda docs: chunking.chunk_documents(docs, cell.chunker.spec, embed, cell.embedder.spec), embed, search)
+
+
 def clean_documents(documents: DataFrame, clean: str = "default") -> DataFrame:
     """Documents with cleaned content. Page maps of changed contents are dropped, as they no longer hold."""
     step = T.resolve_preprocessor(clean)

@@ -97,6 +97,15 @@ def test_evaluation(spark):
     pipeline.release(index)
 
 
+def test_parts_of_a_configuration(spark):
+    parts = pipeline.build_parts(config.Pipeline.build({"embedder": "hashing", "chunker": "sentence:2:1", "loader": {"name": "pymupdf", "layout": "text"}}))
+    docs = spark.createDataFrame([("d", "p", "s", None, None, 1, [0], "One. Two. Three.", None, None, None)], DOCUMENTS)
+    assert parts.chunk(docs).count() == 2 and parts.load.keywords == {"layout": "text"} and parts.search is V.dense_topk
+    for bad in ({"store": "none"}, {"loader": "none"}, {"chunker": "none"}, {"embedder": "none"}):
+        with pytest.raises(ValueError, match="unknown"):
+            pipeline.build_parts(config.Pipeline.build({"embedder": "hashing", **bad}))
+
+
 def test_measures(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 3.0), (None, "z", 2.0)], "g string, i string, score double")
     assert {(r.i, r.normalized) for r in fusion.minmax(df, ["g"]).collect()} == {("x", 0.0), ("y", 1.0), ("z", 1.0)}
