@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shared import release, small, stage
 
-__all__ = ["arrow_map", "hot_keys", "key_runs", "parts_for", "release", "same_keys", "small", "stage"]
+__all__ = ["arrow_map", "hot_keys", "key_runs", "parts_for", "release", "same_keys", "small", "span_hashes", "stage"]
 
 
 def parts_for(spark: SparkSession, rows: int, each: int) -> int:
@@ -80,3 +80,37 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+# --- hashes of spans -------------------------------------------------------------------
+
+#: Characters that operators on texts put together in one array, unless one text has more.
+BLOCK_CHARS = 1_000_000
+BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base, and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        both = [np.full(max(n, BLOCK_CHARS), x, np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64))]
+        for one in both:
+            one[0] = 1
+            np.cumprod(one, out=one)
+        _POWERS[:] = both
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers with their bits spread."""
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def span_hashes(codes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of starts and ends that gives 64-bit hashes of those spans of ``codes``, equal for equal spans."""
+    power, inverse = _powers(len(codes) + 1)
+    upto = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[:-1], out=upto[1:])
+    return lambda starts, ends: mixed((upto[ends] - upto[starts]) * inverse[starts])

@@ -21,16 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import arrow_map, small, stage
+from ._cluster import BASE, BLOCK_CHARS, arrow_map, mixed, small, span_hashes, stage
 from .canonical import canonical
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: log2 of the least and the most bits of the filter sent to the workers (8 kB, 128 MB).
 FILTER_BITS = (16, 30)
-#: Characters hashed at once, unless one text has more.
-BLOCK_CHARS = 1_000_000
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def folded(text: str) -> str:
@@ -53,26 +49,6 @@ def _word_characters() -> np.ndarray:
     return table
 
 
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base, and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        both = [np.full(max(n, BLOCK_CHARS), x, np.uint64) for x in (_BASE, _INVERSE)]
-        for one in both:
-            one[0] = 1
-            np.cumprod(one, out=one)
-        _POWERS[:] = both
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of every word of the (folded) texts, one text after the other: its text, and its hash."""
     codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -80,10 +56,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside[1:-1] = _word_characters()[codes]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _powers(len(codes) + 1)
-    upto = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[:-1], out=upto[1:])
-    hashes = _mixed((upto[ends] - upto[starts]) * inverse[starts])
+    hashes = span_hashes(codes)(starts, ends)
     begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
     return np.searchsorted(begins, starts, side="right") - 1, hashes
 
@@ -95,8 +68,8 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for i in range(k):
-        out = out * np.uint64(_BASE) + hashes[i : i + n]
-    return _mixed(out) + np.uint64(k)
+        out = out * np.uint64(BASE) + hashes[i : i + n]
+    return mixed(out) + np.uint64(k)
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:

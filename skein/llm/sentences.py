@@ -18,7 +18,6 @@ from which the passes and the decision work.
 
 from __future__ import annotations
 
-import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import once
-from ._cluster import parts_for, stage
+from ._cluster import parts_for, span_hashes, stage
 
 # Marks that may end a sentence; those that do so without white space;
 # pairs of quotes and brackets; marks that a sentence doesn't start with.
@@ -59,15 +58,6 @@ UNSURE = 0.1
 BITS = 21
 
 
-@lru_cache(maxsize=200_000)
-def _shape(word: str) -> int:
-    if len(word) == 1:
-        return SHAPES["<X>"] if word.isupper() else SHAPES["<x>"] if word.islower() else SHAPES["<other>"]
-    if word[0].isupper() or unicodedata.category(word[0]) == "Lt":
-        return SHAPES["<XX>"] if word.isupper() else SHAPES["<Xx>"]
-    return SHAPES["<xx>"] if word[0].islower() else SHAPES["<other>"]
-
-
 def paragraphs(text: str) -> list[tuple[int, int]]:
     """``(start, end)`` of the parts of ``text`` between blank lines, without outer white space."""
     spans, at = [], 0
@@ -378,30 +368,41 @@ def _gaps(codes: np.ndarray, t: Tokens, closes: np.ndarray, skip: np.ndarray) ->
 
 
 class Places(NamedTuple):
-    """Places of one text where a boundary is possible, paragraph by paragraph.
+    """Places of texts where a boundary is possible, paragraph by paragraph.
 
-    ``begin, stop, places``: a paragraph's span and how many places it has. For each
-    place the end of the sentence before it and the start of the one behind, the two
-    words before (``u, v``) and after (``x, y``), whether a single word parts it from the
-    place before (1) or behind (2), and the first guess. ``edges``: the two first and the
-    two last words of every paragraph that ends like a sentence. No word is null.
+    ``spans``: a row for every paragraph, its begin and stop and how many places it has.
+    A row for every place: ``cuts``, the end of the sentence before it and the start of
+    the one behind; ``words``, the two before and the two after; ``cues``, the first guess, and
+    whether a single word parts it from the place before (1) or behind (2). ``edges``: the
+    two first and the two last words of every paragraph that ends like a sentence.
     """
 
-    begin: list
-    stop: list
-    places: list
-    end: list
-    next: list
-    u: list
-    v: list
-    x: list
-    y: list
-    link: list
-    seed: list
-    edges: list
+    spans: np.ndarray
+    cuts: np.ndarray
+    words: np.ndarray
+    cues: np.ndarray
+    edges: np.ndarray
+
+
+# Words are hashes, the lowest bits of which say the shape; 0 is the edge of a paragraph.
+SHAPE_BITS = 4
+KINDS = {"spans": np.int32, "cuts": np.int32, "words": np.int64, "cues": np.float64, "edges": np.int64}
+WIDTHS = {"spans": 3, "cuts": 2, "words": 4, "cues": 2, "edges": 4}
 
 
-NUMBER = "<num>"
+def _with_shape(hashes: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    return ((hashes << np.uint64(SHAPE_BITS)) | shape.astype(np.uint64)).view(np.int64)
+
+
+def word_hash(name: str, shape: int) -> int:
+    """The hash of one word."""
+    codes = np.frombuffer(name.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return int(_with_shape(span_hashes(codes)(np.array([0]), np.array([len(codes)])), np.array([shape]))[0])
+
+
+@lru_cache(maxsize=1)
+def _ender_hashes() -> np.ndarray:
+    return np.array(sorted(word_hash(c, SHAPES["<mark>"]) for c in ENDERS), dtype=np.int64)
 
 
 def analyse(texts: list[str]) -> list[Places]:
@@ -415,7 +416,7 @@ def analyse(texts: list[str]) -> list[Places]:
     owner = np.repeat(np.arange(len(texts)), counts)
     begins, stops = flat[:, 0], flat[:, 1]
     if not len(codes) or not len(begins):
-        return [Places(*([] for _ in Places._fields)) for _ in texts]
+        return [Places(*(np.empty((0, WIDTHS[f]), KINDS[f]) for f in Places._fields)) for _ in texts]
     t = tokenize(codes, begins, stops)
     n = len(t.start)
     head = np.searchsorted(t.paragraph, np.arange(len(begins)))
@@ -441,13 +442,13 @@ def analyse(texts: list[str]) -> list[Places]:
 
     # A mark and the quotes or brackets closed after it become one token; of marks alone, the last.
     drop = np.zeros(n, dtype=bool)
-    merged: dict[int, str] = {}
+    merged: dict[int, int] = {}
     end = t.end.copy()
     for i, j in zip(gaps.mark[gaps.last > gaps.mark].tolist(), gaps.last[gaps.last > gaps.mark].tolist()):
         drop[i + 1 : j + 1] = True
         end[i] = t.end[j]
         name = lambda x: "…" if t.end[x] - t.start[x] > 1 else block[t.start[x]]
-        merged[i] = name(j) if ender[i : j + 1].all() else "".join(map(name, range(i, j + 1)))
+        merged[i] = word_hash(name(j) if ender[i : j + 1].all() else "".join(map(name, range(i, j + 1))), SHAPES["<mark>"])
     kept = np.flatnonzero(~drop)
     renumber = np.cumsum(~drop) - 1
     skip_after = np.where(skip < n, renumber[np.minimum(skip, n - 1)] + drop[np.minimum(skip, n - 1)], len(kept))
@@ -455,68 +456,56 @@ def analyse(texts: list[str]) -> list[Places]:
     tail_after = np.searchsorted(t.paragraph[kept], np.arange(len(begins)), side="right")
     skip_after = np.maximum(np.minimum(skip_after, tail_after), head_after)
 
-    def names(at: np.ndarray, within: np.ndarray, least: np.ndarray) -> list[str | None]:
-        """Names of tokens by number; null before ``least`` and beyond the paragraphs ``within``."""
+    spell, tables = span_hashes(codes), _tables()
+    small_upto = np.concatenate([[0], np.cumsum(tables["islower"][codes])])
+    dots = word_hash("…", SHAPES["<mark>"])
+    by_kind = np.array([0, SHAPES["<num>"], SHAPES["<mark>"], 0, SHAPES["<other>"], SHAPES["<other>"]])
+
+    def hashes(at: np.ndarray, within: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Words of tokens by number; 0 before ``least`` and beyond the paragraphs ``within``."""
         good = (at >= least) & (at < tail_after[within])
         own = kept[np.where(good, at, 0)]
-        out = []
-        for ok, x, a, b, k, w in zip(good.tolist(), own.tolist(), t.start[own].tolist(), t.end[own].tolist(), t.kind[own].tolist(), t.wrapped[own].tolist()):
-            if not ok:
-                out.append(None)
-            elif x in merged:
-                out.append(merged[x])
-            elif k == WORD_KIND:
-                out.append(WRAP.sub("", block[a:b]) if w else block[a:b])
-            elif k == NUMBER_KIND:
-                out.append(NUMBER)
-            elif k == FIRST_PART:
-                out.append("^" + block[a:b])
-            elif k == LAST_PART:
-                out.append("$" + block[max(b - 4, int(t.start[x - 1])) : b])
-            else:
-                out.append("…" if k == MARK_KIND and b - a > 1 else block[a:b])
-        return out
-
+        a, b, k = t.start[own], t.end[own], t.kind[own]
+        a = np.where(k == LAST_PART, np.maximum(b - 4, t.start[np.maximum(own - 1, 0)]), a)
+        one, upper, lower = t.length[own] == 1, tables["isupper"][codes[a.clip(max=len(codes) - 1)]], tables["islower"][codes[a.clip(max=len(codes) - 1)]]
+        capital = np.where(small_upto[b] > small_upto[a], SHAPES["<Xx>"], SHAPES["<XX>"])
+        word = np.where(upper, np.where(one, SHAPES["<X>"], capital), np.where(lower, np.where(one, SHAPES["<x>"], SHAPES["<xx>"]), SHAPES["<other>"]))
+        out = _with_shape(spell(a, b) ^ (k == LAST_PART).astype(np.uint64), np.where((k == WORD_KIND) | (k == HAN_KIND), word, by_kind[k]))
+        out[k == NUMBER_KIND] = SHAPES["<num>"]
+        out[(k == MARK_KIND) & (b - a > 1)] = dots
+        odd = np.isin(own, special) & good
+        for i in np.flatnonzero(odd).tolist():
+            x = int(own[i])
+            out[i] = merged[x] if x in merged else word_hash(WRAP.sub("", block[t.start[x] : t.end[x]]), int(out[i]) & 15)
+        return np.where(good, out, EDGE)
+
+    special = np.concatenate([np.fromiter(merged, np.int64, len(merged)), np.flatnonzero(t.wrapped)])
     g = renumber[gaps.mark]
     p = t.paragraph[gaps.last]
     least = skip_after[p]
     base = offsets[owner[p]]
-    ends, nexts = t.end[gaps.last] - base, t.start[np.minimum(gaps.last + 1, n - 1)] - base
+    cuts = np.stack([t.end[gaps.last] - base, t.start[np.minimum(gaps.last + 1, n - 1)] - base], axis=1)
     neighbour = (g[1:] == g[:-1] + 1) & (p[1:] == p[:-1])
     link = np.zeros(len(g), dtype=np.int64)
     link[1:] += neighbour
     link[:-1] += 2 * neighbour
-    u, v, x, y = (names(g + d, p, least) for d in (-1, 0, 1, 2))
+    words = np.stack([hashes(g + d, p, least) for d in (-1, 0, 1, 2)], axis=1)
     closed = np.flatnonzero(ended & (tail_after > skip_after))
-    rim = [names(e, closed, skip_after[closed]) for e in (skip_after[closed], skip_after[closed] + 1, tail_after[closed] - 2, tail_after[closed] - 1)]
-    edges = [w for four in zip(*rim) for w in four]
+    edges = np.stack([hashes(e, closed, skip_after[closed]) for e in (skip_after[closed], skip_after[closed] + 1, tail_after[closed] - 2, tail_after[closed] - 1)], axis=1)
     places = np.bincount(p, minlength=len(begins))
+    spans = np.stack([begins - offsets[owner], stops - offsets[owner], places], axis=1)
     of_text = np.searchsorted(owner, np.arange(len(texts) + 1))
-    at_place = np.concatenate([[0], np.cumsum(places)])[of_text]
-    at_edge = 4 * np.searchsorted(closed, of_text)
-    seeds = gaps.seed
-    begins, stops = begins - offsets[owner], stops - offsets[owner]
-    out = []
-    for i in range(len(texts)):
-        q, r = slice(of_text[i], of_text[i + 1]), slice(at_place[i], at_place[i + 1])
-        out.append(Places(begins[q].tolist(), stops[q].tolist(), places[q].tolist(), ends[r].tolist(), nexts[r].tolist(), u[r], v[r], x[r], y[r], link[r].tolist(), seeds[r].tolist(), edges[at_edge[i] : at_edge[i + 1]]))
-    return out
+    at_place, at_edge = np.concatenate([[0], np.cumsum(places)])[of_text], np.searchsorted(closed, of_text)
+    rows = {"spans": (spans, of_text), "cuts": (cuts, at_place), "words": (words, at_place), "cues": (np.stack([gaps.seed, link], axis=1), at_place), "edges": (edges, at_edge)}
+    parts = [[x[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())] for x, at in ((x.astype(KINDS[n]), at) for n, (x, at) in rows.items())]
+    return [Places(*five) for five in zip(*parts)]
 
 
 # --- the model -------------------------------------------------------------------------
 
 
-def _kind_of(word: str) -> int:
-    """The symbol of a word that the vocabulary doesn't have."""
-    kinds = _tables()["kind"]
-    first = kinds[ord(word[0])]
-    if first in (LETTER, HAN):
-        return _shape(word)
-    return SHAPES["<other>"] if len(word) > 1 and kinds[ord(word[1])] == SOUTH else SHAPES["<mark>"]
-
-
 class Encoded(NamedTuple):
-    """The numbers of ``Places`` that the passes use, of many texts."""
+    """The numbers of the words around the places, and their cues, of many texts."""
 
     u: np.ndarray
     v: np.ndarray
@@ -530,12 +519,12 @@ class Encoded(NamedTuple):
 class Model:
     """Interpolated trigram probabilities over words, marks and boundaries.
 
-    ``words`` are the vocabulary, in order of their numbers; ``keys`` and ``values`` the
-    counts of n-grams, a key holding the numbers of its words.
+    ``words`` are the hashes of the vocabulary; ``keys`` and ``values`` the counts of
+    n-grams, a key holding the numbers of its words.
     """
 
-    def __init__(self, words: list[str], keys: np.ndarray | None = None, values: np.ndarray | None = None, prior: float = 2.0, spread: float = 100.0, trust: float = 0.5):
-        self.words, self.prior, self.spread, self.trust = words, prior, spread, trust
+    def __init__(self, words: np.ndarray, keys: np.ndarray | None = None, values: np.ndarray | None = None, prior: float = 2.0, spread: float = 100.0, trust: float = 0.5):
+        self.words, self.prior, self.spread, self.trust = np.sort(np.asarray(words, np.int64)), prior, spread, trust
         keys = np.empty(0, np.int64) if keys is None else np.asarray(keys, np.int64)
         values = np.empty(0) if values is None else np.asarray(values, np.float64)
         order = np.argsort(keys)
@@ -544,23 +533,21 @@ class Model:
         self.contexts, at = np.unique(self.keys[longer] >> BITS, return_inverse=True)
         self.sums = np.bincount(at, weights=self.values[longer], minlength=len(self.contexts))
         self.total = float(self.values[~longer & (self.keys > STAY)].sum())
-        self.floor = 1.0 / (len(words) + FIRST_WORD + 1)
-        self.table = pa.array(words, pa.string())
+        self.floor = 1.0 / (len(self.words) + FIRST_WORD + 1)
         # What follows a closing mark alone doesn't depend on which it is.
-        self.plain = np.arange(len(words) + FIRST_WORD)
-        for i, w in enumerate(words):
-            if w in ENDERS:
-                self.plain[FIRST_WORD + i] = SHAPES["<end>"]
-
-    def numbers(self, words: pa.Array) -> np.ndarray:
-        """The numbers of words; EDGE for null, a shape for a word that isn't in the vocabulary."""
-        found = pc.index_in(words, value_set=self.table)
-        out = np.where(found.is_valid().to_numpy(zero_copy_only=False), found.fill_null(0).to_numpy(zero_copy_only=False) + FIRST_WORD, EDGE).astype(np.int64)
-        rest = pc.and_(found.is_null(), words.is_valid()).to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(rest).tolist():
-            w = words[i].as_py()
-            out[i] = SHAPES["<num>"] if w == NUMBER else _kind_of(w)
-        return out
+        self.plain = np.arange(len(self.words) + FIRST_WORD)
+        self.plain[FIRST_WORD + np.flatnonzero(np.isin(self.words, _ender_hashes()))] = SHAPES["<end>"]
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """The numbers of words; EDGE for none, its shape for a word that isn't in the vocabulary."""
+        if not len(self.words):
+            return words & 15
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at + FIRST_WORD, words & 15)
+
+    def encoded(self, words: np.ndarray, cues: np.ndarray, edges: np.ndarray) -> Encoded:
+        """The numbers of ``Places``."""
+        return Encoded(*np.ascontiguousarray(self.numbers(words).T), cues[:, 1].astype(np.int64), np.ascontiguousarray(cues[:, 0]), self.numbers(edges))
 
     @staticmethod
     def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -646,36 +633,27 @@ class Model:
         return found, np.bincount(at, weights=np.concatenate(counts), minlength=len(found))
 
 
-def _encoded(model: Model, columns: dict[str, pa.Array]) -> Encoded:
-    """Numbers of the flattened columns of ``Places``."""
-    words = [model.numbers(columns[n]) for n in ("u", "v", "x", "y")]
-    plain = [columns[n].to_numpy(zero_copy_only=False) for n in ("link", "seed")]
-    return Encoded(*words, plain[0].astype(np.int64), plain[1].astype(np.float64), model.numbers(columns["edges"]))
-
-
 def sentence_spans(text: str, model: Model, threshold: float = 0.5) -> list[tuple[int, int]]:
     """``(start, end)`` of the sentences of ``text``; only white space lies outside them."""
     q = analyse([text])[0]
-    kinds = {"link": pa.int64(), "seed": pa.float64()}
-    post = model.posteriors(_encoded(model, {n: pa.array(getattr(q, n), kinds.get(n, pa.string())) for n in ("u", "v", "x", "y", "link", "seed", "edges")}))
-    starts, ends, _ = _decided(*(np.array(getattr(q, n), dtype=np.int64) for n in ("begin", "stop", "places", "end", "next")), post > threshold)
+    starts, ends, _ = _decided(q.spans, q.cuts, model.posteriors(model.encoded(q.words, q.cues, q.edges)) > threshold)
     return list(zip(starts.tolist(), ends.tolist()))
 
 
-def _decided(begin, stop, places, end, nxt, cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _decided(spans: np.ndarray, cuts: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of sentences, and the paragraph of each, from the places that are boundaries."""
+    begin, stop, places = spans.T
     paragraph = np.repeat(np.arange(len(begin)), places)[cut]
     owner = np.concatenate([np.arange(len(begin)), paragraph])
-    starts, ends = np.concatenate([begin, nxt[cut]]), np.concatenate([stop, end[cut]])
-    order = np.lexsort((starts, owner))
-    last = np.lexsort((ends, owner))
+    starts, ends = np.concatenate([begin, cuts[cut, 1]]), np.concatenate([stop, cuts[cut, 0]])
+    order, last = np.lexsort((starts, owner)), np.lexsort((ends, owner))
     return starts[order], ends[last], owner[order]
 
 
 # --- over tables -----------------------------------------------------------------------
 
-_PLACES = "begin array<int>, stop array<int>, places array<int>, `end` array<int>, next array<int>, u array<string>, v array<string>, x array<string>, y array<string>, link array<int>, seed array<double>, edges array<string>"
-_NUMBERS = "begin array<int>, stop array<int>, places array<int>, `end` array<int>, next array<int>, u array<int>, v array<int>, x array<int>, y array<int>, link array<int>, seed array<double>, edges array<int>"
+#: The places of a text as a table has them: every array's bytes.
+_PLACES = ", ".join(f"{n} binary" for n in Places._fields)
 #: Characters analysed together, unless one text has more.
 BLOCK_CHARS = 500_000
 
@@ -709,10 +687,9 @@ def _analysed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def out(ids, texts, field):
             found = analyse(texts)
-            columns = [pa.array([getattr(q, n) for q in found], t) for n, t in zip(Places._fields, types)]
+            columns = [pa.array([getattr(q, n).tobytes() for q in found], pa.binary()) for n in Places._fields]
             return pa.record_batch([pa.array(ids, field.type), *columns], names=[id_col, *Places._fields])
 
-        types = [pa.list_(pa.string()) if n in ("u", "v", "x", "y", "edges") else pa.list_(pa.float64()) if n == "seed" else pa.list_(pa.int32()) for n in Places._fields]
         for batch in batches:
             ids, texts, size = [], [], 0
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -734,71 +711,45 @@ def _analysed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stage(dealt.mapInArrow(run, f"`{id_col}` {kind}, {_PLACES}"))
 
 
-def _counted(rows: DataFrame, count: Callable[[pa.RecordBatch], tuple], kind: str) -> DataFrame:
+def _arrays(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    """The arrays of many texts, one after the other."""
+    return [np.frombuffer(b"".join(batch.column(n).to_pylist()), dtype=KINDS[n]).reshape(-1, WIDTHS[n]) for n in names]
+
+
+def _counted(rows: DataFrame, count: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """``key, n``: what ``count`` finds in the batches of ``rows``."""
 
     def run(batches):
         for batch in batches:
             keys, n = count(batch)
             if len(keys):
-                yield pa.record_batch([pa.array(keys, pa.string() if kind == "string" else pa.int64()), pa.array(n, pa.float64())], names=["key", "n"])
-
-    return rows.mapInArrow(run, f"key {kind}, n double").groupBy("key").agg(F.round(F.sum("n"), 6).alias("n")).filter("n > 0")
-
-
-def _flat(batch: pa.RecordBatch, names) -> dict[str, pa.Array]:
-    return {n: batch.column(n).flatten() for n in names}
-
+                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(n, pa.float64())], names=["key", "n"])
 
-_ENCODED = ("u", "v", "x", "y", "link", "seed", "edges")
+    return rows.mapInArrow(run, "key long, n double").groupBy("key").agg(F.round(F.sum("n"), 6).alias("n")).filter("n > 0")
 
 
-def _as_encoded(batch: pa.RecordBatch) -> Encoded:
-    return Encoded(*(batch.column(n).flatten().to_numpy(zero_copy_only=False).astype(np.float64 if n == "seed" else np.int64) for n in _ENCODED))
-
-
-def _vocabulary(places: DataFrame, size: int) -> list[str]:
-    """The ``size`` most frequent words around possible boundaries, in order."""
+def _vocabulary(places: DataFrame, size: int) -> np.ndarray:
+    """The ``size`` most frequent words around possible boundaries."""
 
     def words(batch: pa.RecordBatch):
-        every = pa.concat_arrays([batch.column(n).flatten() for n in ("u", "v", "x", "y", "edges")])
-        found = pc.value_counts(every.drop_null().dictionary_encode())
-        return found.field("values").cast(pa.string()), found.field("counts").cast(pa.float64())
-
-    seen = _counted(places.select("u", "v", "x", "y", "edges"), words, "string").filter(F.col("key") != NUMBER)
-    return sorted(_most_frequent(seen, size).toArrow().column("key").to_pylist())
-
-
-def _numbered(places: DataFrame, shared: SharedModel) -> DataFrame:
-    """``places`` with numbers for words; staged."""
-    id_col = places.columns[0]
-    kind = places.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        model = shared.get()
-        for batch in batches:
-            columns = []
-            for n in Places._fields:
-                c = batch.column(n)
-                if n in ("u", "v", "x", "y", "edges"):
-                    c = pa.ListArray.from_arrays(pc.subtract(c.offsets, c.offsets[0]).cast(pa.int32()), pa.array(model.numbers(c.flatten()), pa.int32()))
-                columns.append(c)
-            yield pa.record_batch([batch.column(0), *columns], names=[id_col, *Places._fields])
+        every = np.concatenate([x.ravel() for x in _arrays(batch, "words", "edges")])
+        return np.unique(every[(every != EDGE) & (every != SHAPES["<num>"])], return_counts=True)
 
-    return stage(places.mapInArrow(run, f"`{id_col}` {kind}, {_NUMBERS}"))
+    return np.sort(_most_frequent(_counted(places.select("words", "edges"), words), size).toArrow().column("key").to_numpy())
 
 
-def _trained(numbered: DataFrame, words: list[str], max_ngrams: int, passes: int) -> Model:
-    spark = numbered.sparkSession
+def _trained(places: DataFrame, words: np.ndarray, max_ngrams: int, passes: int) -> Model:
+    spark = places.sparkSession
     shared = SharedModel(spark, words)
-    only = numbered.select(*_ENCODED)
+    only = places.select("words", "cues", "edges")
     for k in range(passes + 1):
 
         def events(batch: pa.RecordBatch, shared=shared, first=k == 0):
-            model, q = shared.get(), _as_encoded(batch)
+            model = shared.get()
+            q = model.encoded(*_arrays(batch, "words", "cues", "edges"))
             return model.expected(q, q.seed if first else model.posteriors(q), UNSURE if first else 1.0)
 
-        grams = _most_frequent(_counted(only, events, "long"), max_ngrams).toArrow()
+        grams = _most_frequent(_counted(only, events), max_ngrams).toArrow()
         shared = SharedModel(spark, words, grams.column(0).to_numpy(), grams.column(1).to_numpy())
     return shared.get()
 
@@ -812,8 +763,7 @@ def train(texts: DataFrame, text_col: str = "content", vocabulary_size: int = 20
     driver and the workers.
     """
     places = _analysed(texts.select(F.lit(0).alias("id"), text_col), "id", text_col)
-    words = _vocabulary(places, vocabulary_size)
-    return _trained(_numbered(places, SharedModel(texts.sparkSession, words)), words, max_ngrams, passes)
+    return _trained(places, _vocabulary(places, vocabulary_size), max_ngrams, passes)
 
 
 _MODELS: dict[str, Model] = {}
@@ -822,7 +772,7 @@ _MODELS: dict[str, Model] = {}
 class SharedModel:
     """A model for the workers: broadcast, and built once in each of them."""
 
-    def __init__(self, spark, words: list[str], keys=None, values=None):
+    def __init__(self, spark, words: np.ndarray, keys=None, values=None):
         self.name = uuid.uuid4().hex
         self.held = spark.sparkContext.broadcast((words, keys, values))
 
@@ -842,25 +792,23 @@ def split_sentences(df: DataFrame, id_col: str = "document_id", text_col: str =
     """
     spark = df.sparkSession
     places = _analysed(df, id_col, text_col)
-    words = model.words if model else _vocabulary(places, vocabulary_size)
-    numbered = _numbered(places, SharedModel(spark, words))
     if model is None:
-        model = _trained(numbered, words, max_ngrams, passes)
-    shared = SharedModel(spark, words, model.keys, model.values)
+        model = _trained(places, _vocabulary(places, vocabulary_size), max_ngrams, passes)
+    shared = SharedModel(spark, model.words, model.keys, model.values)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         own = shared.get()
         for batch in batches:
-            cut = own.posteriors(_as_encoded(batch)) > threshold
-            parts = (batch.column(n).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for n in ("begin", "stop", "places", "end", "next"))
-            starts, ends, paragraph = _decided(*parts, cut)
-            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("begin")).to_numpy(zero_copy_only=False))[paragraph]
+            spans, cuts, words, cues, edges = _arrays(batch, *Places._fields)
+            starts, ends, paragraph = _decided(spans, cuts, own.posteriors(own.encoded(words, cues, edges)) > threshold)
+            paragraphs_of = pc.divide(pc.binary_length(batch.column("spans")), WIDTHS["spans"] * 4).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), paragraphs_of)[paragraph]
             yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[id_col, "start_char", "end_char"])
 
     # Different texts of one id may have sentences in the same place.
-    unique = numbered.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").isEmpty()
-    spans = numbered.mapInArrow(run, f"`{id_col}` {kind}, start_char int, end_char int")
+    unique = places.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").isEmpty()
+    spans = places.mapInArrow(run, f"`{id_col}` {kind}, start_char int, end_char int")
     return spans if unique else spans.distinct()
 
 
