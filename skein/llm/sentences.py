@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import once
-from ._cluster import parts_for, span_hashes, stage
+from ._cluster import BASE, mixed, parts_for, span_hashes, stage
 
 # Marks that may end a sentence; those that do so without white space;
 # pairs of quotes and brackets; marks that a sentence doesn't start with.
@@ -504,6 +504,41 @@ def analyse(texts: list[str]) -> list[Places]:
 # --- the model -------------------------------------------------------------------------
 
 
+class Counts:
+    """Numbers by key, found for many keys at once in a table of hashed places; 0 where there is none."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        size = 1 << int(np.ceil(np.log2(4 * max(len(keys), 4))))
+        self.mask = np.uint64(size - 1)
+        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size)
+        at, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]  # of several the last stays
+            placed = self.keys[at] == keys[left]
+            self.values[at[placed]] = values[left[placed]]
+            at, left = (at[~placed] + 1) & int(self.mask), left[~placed]
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (mixed(keys.astype(np.uint64) * np.uint64(BASE)) & self.mask).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        shape, keys = np.shape(keys), np.ravel(keys)
+        at = self._place(keys)
+        here = self.keys[at]
+        out = np.where(here == keys, self.values[at], 0.0)
+        left = np.flatnonzero((here != keys) & (here >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & int(self.mask)
+            here = self.keys[at]
+            same = here == keys[left]
+            out[left[same]] = self.values[at[same]]
+            more = ~same & (here >= 0)
+            at, left = at[more], left[more]
+        return out.reshape(shape)
+
+
 class Encoded(NamedTuple):
     """The numbers of the words around the places, and their cues, of many texts."""
 
@@ -527,11 +562,10 @@ class Model:
         self.words, self.prior, self.spread, self.trust = np.sort(np.asarray(words, np.int64)), prior, spread, trust
         keys = np.empty(0, np.int64) if keys is None else np.asarray(keys, np.int64)
         values = np.empty(0) if values is None else np.asarray(values, np.float64)
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-        longer = self.keys >= 1 << BITS
-        self.contexts, at = np.unique(self.keys[longer] >> BITS, return_inverse=True)
-        self.sums = np.bincount(at, weights=self.values[longer], minlength=len(self.contexts))
+        self.keys, self.values = keys, values
+        longer = keys >= 1 << BITS
+        contexts, at = np.unique(keys[longer] >> BITS, return_inverse=True)
+        self.counts, self.sums = Counts(keys, values), Counts(contexts, np.bincount(at, weights=values[longer], minlength=len(contexts)))
         self.total = float(self.values[~longer & (self.keys > STAY)].sum())
         self.floor = 1.0 / (len(self.words) + FIRST_WORD + 1)
         # What follows a closing mark alone doesn't depend on which it is.
@@ -549,22 +583,15 @@ class Model:
         """The numbers of ``Places``."""
         return Encoded(*np.ascontiguousarray(self.numbers(words).T), cues[:, 1].astype(np.int64), np.ascontiguousarray(cues[:, 0]), self.numbers(edges))
 
-    @staticmethod
-    def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.zeros(np.shape(wanted))
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], 0.0)
-
     def prob(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Probabilities of ``w`` after ``u, v``."""
         u, v, w = (np.asarray(z, np.int64) for z in np.broadcast_arrays(u, v, w))
         lam = self.prior
-        p = (self._look(self.keys, self.values, w) + lam * self.floor) / (self.total + lam)
+        p = (self.counts[w] + lam * self.floor) / (self.total + lam)
         vw = v << BITS | w
-        p = (self._look(self.keys, self.values, vw) + lam * p) / (self._look(self.contexts, self.sums, v) + lam)
+        p = (self.counts[vw] + lam * p) / (self.sums[v] + lam)
         lam = np.where((v == CUT) | (v == STAY), self.spread, lam)  # a rare mark must not own the few words seen after it
-        return (self._look(self.keys, self.values, u << 2 * BITS | vw) + lam * p) / (self._look(self.contexts, self.sums, u << BITS | v) + lam)
+        return (self.counts[u << 2 * BITS | vw] + lam * p) / (self.sums[u << BITS | v] + lam)
 
     def posteriors(self, q: Encoded) -> np.ndarray:
         """For each place the probability of a boundary there.
@@ -582,10 +609,11 @@ class Model:
         cut = np.where(ahead, cut, cut * prob(CUT, q.x, q.y))  # else an event stands before y
         stay = np.where(ahead, stay, stay * prob(STAY, q.x, q.y))
         w = np.empty((n, 2, 2))  # event before, event
-        w[:, 0, 0] = np.where(behind, prob(STAY, q.v, STAY), prob(q.u, q.v, STAY)) * stay
-        w[:, 0, 1] = np.where(behind, prob(STAY, q.v, CUT), prob(q.u, q.v, CUT)) * cut
-        w[:, 1, 0] = np.where(behind, prob(CUT, q.v, STAY) * stay, w[:, 0, 0])
-        w[:, 1, 1] = np.where(behind, prob(CUT, q.v, CUT) * cut, w[:, 0, 1])
+        for e, weight in ((0, stay), (1, cut)):
+            event = (STAY, CUT)[e]
+            w[:, 0, e] = w[:, 1, e] = prob(q.u, q.v, event) * weight
+            for before in (0, 1):  # a single word since the event before
+                w[behind, before, e] = prob((STAY, CUT)[before], q.v[behind], event) * weight[behind]
         starts = np.flatnonzero(~behind)
         lengths = np.diff(np.append(starts, n))
         forward, back = np.empty((n, 2)), np.ones((n, 2))

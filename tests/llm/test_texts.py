@@ -218,6 +218,16 @@ def test_words_are_known_by_hash_and_shape():
     assert names("x? 学会") == [h("x", "<x>"), h("?", "<mark>"), h("学会", "<other>"), 0]
 
 
+def test_counts_are_found_by_key():
+    r = np.random.default_rng(3)
+    keys = np.unique(r.integers(0, 1 << 62, 5000))
+    table = sentences.Counts(keys, np.arange(len(keys)) + 1.0)
+    asked = np.concatenate([keys[::-1], r.integers(0, 1 << 62, 1000)])
+    wanted = {k: i + 1.0 for i, k in enumerate(keys.tolist())}
+    assert table[asked].tolist() == [wanted.get(k, 0.0) for k in asked.tolist()]
+    assert sentences.Counts(np.empty(0, np.int64), np.empty(0))[np.array([[5]])].tolist() == [[0.0]]
+
+
 def walk_by_hand(model, q):
     """Posteriors of one chain by all ways to place boundaries."""
     n, total, yes = len(q.u), 0.0, np.zeros(len(q.u))
