@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stem_terms
 from ..functions.text import lexical_terms
-from ..shared import stage
+from ..shared import BROADCAST_ROWS, stage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -93,8 +93,14 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = 5, query_id: str =
     """
     by = [index.group] if index.group else []
     asked = term_rows(queries.filter(F.col(query).isNotNull()), query_id, query, index.stem)
-    asked = asked.groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf")).join(index.weights, "term")
-    hits = index.postings.join(asked, [*by, "term"])
+    asked = stage(asked.groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf")).join(index.weights, "term"))
+    hits = index.postings
+    if asked.count() <= BROADCAST_ROWS:
+        # Postings of asked terms meet at their text, once each; there they meet the queries,
+        # so that scores are summed and cut to the best before a shuffle.
+        hits = hits.join(F.broadcast(asked.select(*by, "term").distinct()), [*by, "term"], "left_semi").repartition(index.id_col)
+        asked = F.broadcast(asked)
+    hits = hits.join(asked, [*by, "term"])
     damp = index.k1 * (1.0 - index.b + index.b * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (index.k1 + 1.0) / (F.col("tf") + damp)
     scores = hits.groupBy(query_id, *by, index.id_col).agg(F.round(F.sum(part), 6).alias("score"))
