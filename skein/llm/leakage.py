@@ -85,6 +85,26 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return at
 
 
+def without_repeats(text: np.ndarray, at: np.ndarray, hashes: np.ndarray, reach: int) -> np.ndarray:
+    """Which of the kept positions are needed, where texts repeat themselves.
+
+    Equal hashes at equal steps mean words that recur with that period. A run of
+    words inside recurs ``reach`` words from its start or end at most, so positions
+    farther in are left out: else a text of one word has as many hits as words.
+    """
+    n = len(at)
+    if n < 3:
+        return np.ones(n, dtype=bool)
+    step = np.diff(at)
+    alike = (text[1:] == text[:-1]) & (hashes[1:] == hashes[:-1])
+    tied = alike.copy()
+    tied[1:] &= ~alike[:-1] | (step[1:] == step[:-1])
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], ~tied]), np.arange(n), 0))
+    ends = np.where(np.concatenate([~tied, [True]]), np.arange(n), n)
+    last = np.minimum.accumulate(ends[::-1])[::-1]
+    return (at - at[first] < reach) | (at[last] - at < reach)
+
+
 def shared_run(doc: list[str], item: list[str], at: int, item_at: int, enough: int) -> int:
     """Equal words of ``doc`` and ``item`` around a hit, counted up to ``enough``."""
     a, b = at, item_at
@@ -188,6 +208,10 @@ def leaked_items(
                 at = at[text[: len(at)] == text[length + window - 2 :][: len(at)]]
                 at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at  # positions only ascend
                 at = at[seen(grams[at])]
+                if window > 1:
+                    at = at[without_repeats(text[at], at, grams[at], span + k)]
+                else:  # a whole item: one place of each in a text will do
+                    at = at[np.sort(np.unique(np.stack([text[at].astype(np.uint64), grams[at]]), axis=1, return_index=True)[1])] if len(at) else at
                 out.append((text[at], at - first[text[at]], grams[at]))
             return (np.concatenate(x) for x in zip(*out))
 

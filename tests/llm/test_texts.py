@@ -78,6 +78,17 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), empty).count() == 0
 
 
+def test_leaks_of_texts_that_repeat_themselves(spark):
+    r = random.Random(11)
+    phrase = lambda n: [r.choice("ab") for _ in range(n)]
+    texts = [phrase(r.randint(0, 6)) + phrase(r.randint(1, 4)) * r.randint(1, 60) + phrase(r.randint(0, 14)) for _ in range(160)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(999, "a " * 300_000)]
+    items = [(f"i{k}", " ".join(phrase(r.randint(0, 5)) + phrase(r.randint(1, 3)) * r.randint(1, 12) + phrase(r.randint(0, 8)))) for k in range(60)] + [("long", "a " * 500)]
+    got = leakage.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    found = {tuple(x) for x in got.collect()}
+    assert {x for x in found if x[0] != 999} == brute_leaks(docs[:-1], items, 12) and (999, "long") in found
+
+
 def test_words_of_many_texts_hash_like_those_of_one():
     texts = [leakage.folded(t) for t in ("One two, ONE!", "", "two\none", "…", "ʼn 二 x²")]
     text, hashes = leakage.word_hashes(texts)
