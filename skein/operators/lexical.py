@@ -12,6 +12,8 @@ from ..functions.text import lexical_terms
 from ..shared import BROADCAST_ROWS, stage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Postings that a task of a search takes.
+POSTINGS = 50_000
 
 
 @dataclass(frozen=True)
@@ -97,8 +99,10 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = 5, query_id: str =
     hits = index.postings
     if asked.count() <= BROADCAST_ROWS:
         # Postings of asked terms meet at their text, once each; there they meet the queries,
-        # so that scores are summed and cut to the best before a shuffle.
-        hits = hits.join(F.broadcast(asked.select(*by, "term").distinct()), [*by, "term"], "left_semi").repartition(index.id_col)
+        # so that scores are summed and cut to the best before a shuffle. The work is heavy on
+        # each posting, so partitions are by their number, not by bytes.
+        parts = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hits.count() // POSTINGS))
+        hits = hits.join(F.broadcast(asked.select(*by, "term").distinct()), [*by, "term"], "left_semi").repartition(parts, index.id_col)
         asked = F.broadcast(asked)
     hits = hits.join(asked, [*by, "term"])
     damp = index.k1 * (1.0 - index.b + index.b * F.col("dl") / F.col("avgdl"))
