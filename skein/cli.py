@@ -24,7 +24,10 @@ def set_up_logging(level: str = "INFO", file: str | None = None) -> None:
     handlers: list[logging.Handler] = [logging.StreamHandler()]
     if file:
         handlers.append(logging.FileHandler(f"{file}_{time.strftime('%Y%m%d_%H%M%S')}.log"))
-    logging.basicConfig(level=level, format="%(asctime)s %(levelname)s %(name)s: %(message)s", handlers=handlers, force=True)
+    for h in handlers:
+        h.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+    log.handlers[:] = handlers
+    log.setLevel(level)
 
 
 def _cell(args: argparse.Namespace) -> Pipeline:
