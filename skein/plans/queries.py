@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stem import porter_stem
-from ..functions.tokens import PIECE
+from ..functions.tokens import PIECE, token_starts
 from ..functions.vectors import norm, sigmoid, unit
 from ..operators import answers as A
 from ..operators import chunking as C
@@ -211,6 +211,14 @@ _PIECES = (
 )
 
 
+@query(_PIECES.rstrip().rstrip(",") + " SELECT document_id, CAST(i AS INT) AS token, CAST(a AS INT) AS start_char FROM s")
+def token_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where every token of a paper starts; the position after the last one is left out."""
+    starts = texts(spark, d).filter("content <> ''").select("document_id", token_starts(F.col("content")).alias("starts"))
+    rows = starts.select("document_id", F.size("starts").alias("n"), F.posexplode("starts").alias("token", "start_char"))
+    return rows.filter("token < n - 1").select("document_id", "token", "start_char")
+
+
 def _window_sql(size: int, step: int) -> str:
     return _PIECES + (
         f"n AS (SELECT document_id, content, len(ps) AS n, CAST(ceil(greatest(len(ps) - {size}, 0) / {step}) AS INT) + 1 AS k FROM w), "
