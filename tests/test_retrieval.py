@@ -61,6 +61,38 @@ def test_dense_blocks(spark, monkeypatch):
     assert {tuple(x) for x in V.dense_topk(rows, q, 4).collect()} == whole and len(whole) == 400
 
 
+def test_dense_memory(spark, monkeypatch):
+    """A worker never holds the scores of all queries for a batch of rows."""
+    r = np.random.default_rng(1)
+    m = r.standard_normal((10_000, 8)).astype(np.float32)
+    m[::7], m[1::11] = 0, m[1]
+    ids = [f"v{i:05d}" for i in r.permutation(len(m))]
+    rows = spark.createDataFrame(list(zip(ids, m.tolist(), strict=True)), "chunk_id string, embedding array<float>").coalesce(1)
+    q = rows.limit(3000).withColumnRenamed("chunk_id", "query_id")
+    plain = type(rows).mapInArrow
+
+    def measured(df, search, schema):
+        def run(batches):
+            import tracemalloc
+
+            tracemalloc.start()
+            yield from search(batches)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert peak < 60e6, peak
+
+        return plain(df, run, schema)
+
+    monkeypatch.setattr(type(rows), "mapInArrow", measured)
+    got = {(x.query_id, x["rank"]): (x.chunk_id, x.score) for x in V.dense_topk(rows, q, 3, unique=True).collect()}
+    order = np.argsort(ids)
+    n = np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    u = np.divide(m, n, out=np.zeros(m.shape), where=n > 0)
+    score = np.round(u[:3000] @ u[order].T, 6)
+    best = np.argsort(-score, axis=1, kind="stable")[:, :3]
+    assert got == {(ids[i], j + 1): (ids[order[b]], score[i, b]) for i in range(3000) for j, b in enumerate(best[i])}
+
+
 def rankings(spark, rows):
     return spark.createDataFrame(rows, "query_id string, chunk_id string, score double, rank int")
 
